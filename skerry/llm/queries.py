@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skerry.llm import conversations, sql
+from skerry.llm import conversations, pii, sql
 from skerry.plans.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,14 @@ def p1_conversations(spark: SparkSession, d: str) -> DataFrame:
     return conversations.rebuilt_conversations(table(spark, d, "messages"), table(spark, d, "threads"), table(spark, d, "role_aliases"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find_pii(pii.records_of(table(spark, d, "messages"), table(spark, d, "chunks")), table(spark, d, "person_names"))
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact_pii(pii.records_of(table(spark, d, "messages"), table(spark, d, "chunks")), table(spark, d, "person_names"))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
