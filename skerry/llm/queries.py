@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skerry.llm import conversations, pii, sql
+from skerry.llm import conversations, pii, splitting, sql
 from skerry.plans.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,9 +28,17 @@ def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redact_pii(pii.records_of(table(spark, d, "messages"), table(spark, d, "chunks")), table(spark, d, "person_names"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.oversized_ids(table(spark, d, "chunks"))
+
+
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_oversized(table(spark, d, "chunks"))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": sql.P1_FOUND, "p1_conversations": sql.P1_CONVERSATIONS}
+    return {"p1_found": sql.P1_FOUND, "p1_conversations": sql.P1_CONVERSATIONS, "p3_found": sql.P3_FOUND}
