@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skerry.llm import conversations, near, neighbours, pii, splitting, sql
+from skerry.llm import conversations, near, neighbours, pii, scans, splitting, sql
 from skerry.plans.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,14 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return near.near_groups(table(spark, d, "chunks"), table(spark, d, "documents"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.scan_defects(table(spark, d, "chunks"), table(spark, d, "documents"))
+
+
+def p6_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired_paragraphs(table(spark, d, "chunks"), table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
