@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skerry.llm import conversations, near, neighbours, pii, scans, splitting, sql
+from skerry.llm import conversations, language, mixing, near, neighbours, packing, pairs, pii, scans, splitting, sql
 from skerry.plans.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,34 @@ def p6_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return scans.repaired_paragraphs(table(spark, d, "chunks"), table(spark, d, "documents"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.pair_defects(table(spark, d, "messages"), table(spark, d, "role_aliases"))
+
+
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed(table(spark, d, "documents"), table(spark, d, "pack_sizes"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(packing.packed(table(spark, d, "documents"), table(spark, d, "pack_sizes")))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.label_faults(table(spark, d, "documents"))
+
+
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    return language.language_segments(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
