@@ -161,10 +161,11 @@ def _misread(chunks: DataFrame, body: DataFrame, divided: DataFrame, words: Data
 
 
 def _parts(chunks: DataFrame, documents: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    # Each is read several times below: written once, never computed again.
     lines = materialise(page_lines(chunks, documents), "lines")
-    body = _joined_lines(lines)
-    words = vocabulary(chunks)
-    divided = _divided(body, words)
+    body = materialise(_joined_lines(lines), "body")
+    words = materialise(vocabulary(chunks), "words")
+    divided = materialise(_divided(body, words), "divided")
     return lines, body, divided, _misread(chunks, body, divided, words, s)
 
 
