@@ -17,9 +17,14 @@ def strip(c: str | Column) -> Column:
     return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
 
 
+#: Whitespace as Unicode has it, each turned into a space before a split on the single character, which needs no regular expression.
+_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def tokens(c: str | Column) -> Column:
     """Lower-case words between whitespace; none for null."""
-    return F.filter(F.split(F.lower(F.coalesce(col(c), F.lit(""))), r"(?U)\s+"), lambda x: x != "")
+    x = F.translate(F.lower(F.coalesce(col(c), F.lit(""))), _SPACES, " " * len(_SPACES))
+    return F.array_remove(F.split(x, " "), "")
 
 
 def _ascii_forms() -> tuple[str, str, dict[str, str]]:

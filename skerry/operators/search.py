@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from skerry.functions.fixed import BM25_B, BM25_EPSILON, BM25_K1, RRF_K, TOP_K
 from skerry.functions.text import tokens
+from skerry.plans.shared import materialise
 
 
 def metadata_filter(conditions: dict) -> Column:
@@ -36,35 +38,60 @@ def doc_stats(chunks: DataFrame) -> DataFrame:
 def term_stats(chunks: DataFrame) -> DataFrame:
     """(term, df, idf) over the whole corpus; a negative idf becomes epsilon times the mean idf."""
     df = chunks.select("id", F.explode(F.array_distinct(tokens("content"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    n = chunks.agg(F.count("*").alias("n_docs"))
+    return _with_idf(df, chunks.agg(F.count("*").alias("n_docs")))
+
+
+@dataclass
+class Index:
+    """Keyword index tables in the shared folder: postings (term, id, dl, tf) sorted by term, docs (id, dl), terms (term, df, idf)."""
+
+    postings: DataFrame
+    docs: DataFrame
+    terms: DataFrame
+
+
+def build_index(chunks: DataFrame) -> Index:
+    """One pass over the texts; postings are aggregated and written once, and everything else is made from them.
+
+    Files of postings are sorted by term, so that a search for a few terms
+    skips the other row groups. To add chunks, append to the first two tables
+    and make the terms again.
+    """
+    base = chunks.select("id", tokens("content").alias("ts"))
+    docs = materialise(base.select("id", F.size("ts").alias("dl")), "docs")
+    hits = base.select("id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+    found = materialise(hits.sortWithinPartitions("term"), "postings")
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    return Index(found, docs, materialise(_with_idf(df, docs.agg(F.count("*").alias("n_docs"))), "terms"))
+
+
+def _with_idf(df: DataFrame, n: DataFrame) -> DataFrame:
     raw = df.crossJoin(F.broadcast(n)).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, BM25_EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(chunks: DataFrame, questions: DataFrame, k: int = TOP_K, where: Column | None = None) -> DataFrame:
+def bm25(chunks: DataFrame, questions: DataFrame, k: int = TOP_K, where: Column | None = None, index: Index | None = None) -> DataFrame:
     """(qid, id, score, rank from 0): the k best chunks of each question (qid, query).
 
     Statistics are over all chunks, the filter comes afterwards. A repeated
     query word counts repeatedly, chunks without any query word score 0 and
-    may fill up the list, ties go to the later id. Only postings of query
-    words are joined; the vocabulary is scanned once.
+    may fill up the list, ties go to the later id. Without an index one is
+    built first; questions are a batch small enough to broadcast.
     """
+    ix = index or build_index(chunks)
     asked = questions.select("qid", F.explode(tokens("query")).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-    words = F.broadcast(asked.select("term").distinct())
-    every = chunks.select("id", "content", tokens("content").alias("ts"))
-    sizes = every.agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("avgdl"))
-    stats = term_stats(chunks).join(words, "term", "left_semi").select("term", "idf")
-    hits = every.select("id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).join(words, "term", "left_semi")
-    hits = hits.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
-    scored = hits.join(stats, "term").join(F.broadcast(asked), "term").crossJoin(F.broadcast(sizes))
+    sizes = ix.docs.agg(F.avg("dl").alias("avgdl"))
+    weights = F.broadcast(asked.join(ix.terms.select("term", "idf"), "term"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
-    scored = scored.groupBy("qid", "id").agg(F.sum(part).alias("score"))
-    allowed = chunks if where is None else chunks.where(where)
-    scored = scored.join(allowed.select("id"), "id", "left_semi").withColumn("score", F.round("score", 6))
-    # Chunks that score 0 can only be needed from the last k by id, and k more for each that is hit.
+    scored = ix.postings.join(weights, "term").crossJoin(F.broadcast(sizes)).groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    allowed = ix.docs.select("id")
+    if where is not None:
+        allowed = chunks.where(where).select("id")
+        scored = scored.join(allowed, "id", "left_semi")
+    # Chunks that score 0 are only needed where fewer than k are hit, and then from the last 2k by id.
     found = scored.groupBy("qid").agg(F.count("*").alias("hits"))
-    last = allowed.select("id").orderBy(F.desc("id")).limit(2 * k)
+    last = allowed.orderBy(F.desc("id")).limit(2 * k)
     lacking = questions.select("qid").join(found, "qid", "left").where("coalesce(hits, 0) < " + str(k)).select("qid")
     fill = lacking.crossJoin(F.broadcast(last)).join(scored.select("qid", "id"), ["qid", "id"], "left_anti").select("qid", "id", F.lit(0.0).alias("score"))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("id"))
