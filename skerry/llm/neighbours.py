@@ -33,7 +33,7 @@ class Settings:
     dim: int = 96
     k: int = 5
     sample: int = 24_000
-    per_cell: int = 64
+    per_cell: int = 128
     cells: int = 16_384
     probes: int = 12
     parts: int = 24
@@ -41,6 +41,8 @@ class Settings:
     rerank: int = 96
     block: int = 8_192
     rounds: int = 8
+    asked: int = 6_000
+    missed: float = 0.002
     models: int = 256
 
 
@@ -50,8 +52,7 @@ class Index:
 
     centroids: np.ndarray
     books: np.ndarray
-    radius: np.ndarray
-    reach: np.ndarray
+    margin: float
     block_of: np.ndarray
     spread: np.ndarray
     hot: dict[bytes, list[int]] = field(default_factory=dict)
@@ -91,17 +92,7 @@ def fit(raw: np.ndarray, total: int, s: Settings, seed: int = 7) -> Index:
     d = np.maximum(0, 1 + (c * c).sum(1)[None] - 2 * (x @ c.T))
     own = d.argmin(1)
     dist = np.sqrt(d[np.arange(len(x)), own])
-    radius, reach = np.zeros(k), np.full(k, np.nan)
-    for j in range(k):
-        at = np.flatnonzero(own == j)
-        if len(at):
-            radius[j] = np.quantile(dist[at], 0.99)
-        # How far the k-th neighbour of a vector of this cell is: in the thinner sample at least as far as in the whole.
-        if len(at) > s.k + 1:
-            inner = np.maximum(0, 2 - 2 * (x[at] @ x[at].T))
-            reach[j] = np.sqrt(np.quantile(np.partition(inner, s.k, axis=1)[:, s.k], 0.99))
-    # Cells too small to tell take the farthest of the others.
-    reach[np.isnan(reach)] = 2.0 if np.isnan(reach).all() else np.nanmax(reach)
+    margin = _margin(x, c, own, s, rng)
     residual = (x - c[own])[rng.permutation(len(x))[:12_000]]
     width = s.dim // s.parts
     m = int(min(s.codes, max(1, len(residual) // 4)))
@@ -128,7 +119,25 @@ def fit(raw: np.ndarray, total: int, s: Settings, seed: int = 7) -> Index:
                 loads.append(0.0)
             block_of[j] = at
             loads[at] += size[j]
-    return Index(c, books, radius, reach, block_of, spread)
+    return Index(c, books, margin, block_of, spread)
+
+
+def _margin(x: np.ndarray, c: np.ndarray, own: np.ndarray, s: Settings, rng: np.random.Generator) -> float:
+    """How much farther than its own centroid a vector's neighbours' centroids are, at most for all but `missed` of the neighbours.
+
+    Asked of some sampled vectors against the whole sample, where neighbours
+    are thinner and so farther than among all vectors.
+    """
+    if len(x) <= s.k + 1:
+        return math.inf
+    ask = rng.permutation(len(x))[: s.asked]
+    gaps = []
+    for lo in range(0, len(ask), 500):
+        at = ask[lo : lo + 500]
+        near = np.argpartition(-(x[at] @ x.T), s.k, axis=1)[:, : s.k + 1]
+        d = np.sqrt(np.maximum(0, 1 + (c * c).sum(1)[None] - 2 * (x[at] @ c.T)))
+        gaps.append(np.take_along_axis(d, own[near], 1) - d[np.arange(len(at)), own[at]][:, None])
+    return float(np.quantile(np.concatenate(gaps), 1 - s.missed))
 
 
 def _vectors(b: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -162,8 +171,8 @@ def _sampled(dim: int) -> Batches:
 def probe_cells(x: np.ndarray, ix: Index, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Own cell, and (rows, probes) cells to probe with -1 for none.
 
-    A cell is left out if, by the triangle inequality with the fitted radius
-    and neighbour distance, it can hold none of the k nearest.
+    Of the nearest cells those are left out that are farther than the own
+    one by more than the fitted margin.
     """
     d = np.maximum(0, 1 + (ix.centroids * ix.centroids).sum(1)[None] - 2 * (x @ ix.centroids.T))
     n = min(s.probes, d.shape[1])
@@ -172,7 +181,7 @@ def probe_cells(x: np.ndarray, ix: Index, s: Settings) -> tuple[np.ndarray, np.n
     order = np.argsort(dn, axis=1)
     near, dn = np.take_along_axis(near, order, 1), np.sqrt(np.take_along_axis(dn, order, 1))
     own = near[:, 0].copy()
-    keep = dn - ix.radius[near] <= ix.reach[own][:, None]
+    keep = dn <= dn[:, :1] + ix.margin
     keep[:, : min(2, n)] = True
     return own, np.where(keep, near, -1)
 
@@ -182,7 +191,7 @@ _SENT = "block int, model string, chunk_id bigint, v binary, own int, probes arr
 
 def _assign(shared, s: Settings) -> Batches:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        indexes, offsets = shared.value
+        indexes, labels = shared.value
         for b in batches:
             at, raw = _vectors(b, s.dim)
             models = np.array(b.column("model").take(pa.array(at)).to_pylist(), object)
@@ -209,7 +218,7 @@ def _assign(shared, s: Settings) -> Batches:
                     take = pa.array([rows[o[0]] for o in out])
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([offsets[model] + o[1] for o in out], pa.int32()), pa.array([model] * len(out), pa.string()),
+                            pa.array([labels[model][o[1]] for o in out], pa.int32()), pa.array([model] * len(out), pa.string()),
                             pa.array(ids, pa.int64()).take(take), _binary(raw[[rows[o[0]] for o in out]]),
                             pa.array([o[2] for o in out], pa.int32()), pa.array([o[3] for o in out], pa.list_(pa.int32())),
                         ],
@@ -325,8 +334,7 @@ def nearest_neighbours(vectors: DataFrame, settings: Settings | None = None) ->
     chosen = rows.where(F.pmod(F.xxhash64("chunk_id"), F.lit(1 << 20)) < rate * (1 << 20))
     sample = chosen.mapInArrow(_sampled(s.dim), "model string, chunk_id bigint, v binary").toArrow() if counts else None
     indexes: dict[str, Index] = {}
-    offsets: dict[str, int] = {}
-    at = 0
+    blocks: dict[str, int] = {}
     for m in sorted(counts):
         mine = sample.filter(pc.equal(sample.column("model"), m))
         if not mine.num_rows:
@@ -340,12 +348,11 @@ def nearest_neighbours(vectors: DataFrame, settings: Settings | None = None) ->
         keep = np.unique(raw, axis=0)
         indexes[m] = fit(keep, counts[m], s)
         indexes[m].hot = {v: [] for v, ids in seen.items() if len(ids) >= 4}
-        offsets[m] = at
-        at += int((indexes[m].block_of + indexes[m].spread).max())
+        blocks[m] = int((indexes[m].block_of + indexes[m].spread).max())
     if not indexes:
         return spark.createDataFrame([], _FOUND + ", rank int")
     copies = _copies(rows, indexes, s)
-    shared = spark.sparkContext.broadcast((indexes, offsets))
+    shared = spark.sparkContext.broadcast((indexes, _labels(rows, blocks)))
     sent = rows.mapInArrow(_assign(shared, s), _SENT)
     found = sent.groupBy("block").applyInArrow(_search(shared, s), _FOUND)
     if copies is not None:
@@ -354,6 +361,23 @@ def nearest_neighbours(vectors: DataFrame, settings: Settings | None = None) ->
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= s.k)
 
 
+def _labels(rows: DataFrame, blocks: dict[str, int]) -> dict[str, list[int]]:
+    """A number for each block of each model, so that the hash partitioning of a shuffle gives every task as many blocks."""
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = sum(blocks.values())
+    tried = spark.range(4 * max(total, parts) + 16).select(F.col("id").cast("int").alias("n"))
+    held: dict[int, list[int]] = {}
+    for r in tried.select("n", F.pmod(F.hash("n"), F.lit(parts)).alias("p")).collect():
+        held.setdefault(r.p, []).append(r.n)
+    turns = [held[p][i] for i in range(max(map(len, held.values()))) for p in sorted(held) if i < len(held[p])]
+    out, at = {}, 0
+    for m in sorted(blocks):
+        out[m] = turns[at : at + blocks[m]]
+        at += blocks[m]
+    return out
+
+
 def _marked(hot: dict[str, dict[bytes, int]], s: Settings) -> Batches:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
