@@ -113,3 +113,39 @@ def array_table_markdown(table: Column, prefix: str = "Table:") -> Column:
     rule = F.concat(F.lit("| "), F.array_join(F.transform(head, lambda _: F.lit("---")), " | "), F.lit(" |"))
     body = F.transform(F.slice(table, F.lit(2), F.greatest(F.size(table) - 1, F.lit(0))), line)
     return F.array_join(F.concat(F.array(F.lit(prefix), line(head), rule), body), "\n")
+
+
+def paragraph_chunks(paragraphs: Column, size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> Column:
+    """ARRAY<STRUCT<section, content>> of a file's ordered ARRAY<STRUCT<heading BOOLEAN, text STRING>>.
+
+    Paragraphs gather in a buffer that a heading, or `size` characters, ends;
+    after the latter the last paragraphs of `overlap` characters in all go on
+    as one. Every buffer is packed by sentences.
+    """
+    kind = "struct<out:array<struct<section:string,text:string>>,section:string,buf:array<string>,n:int>"
+    zero = F.struct(F.array().cast("array<struct<section:string,text:string>>").alias("out"), F.lit(None).cast("string").alias("section"), F.array().cast("array<string>").alias("buf"), F.lit(0).alias("n")).cast(kind)
+
+    def flushed(a: Column) -> Column:
+        whole = F.array(F.struct(a["section"].alias("section"), F.array_join(a["buf"], " ").alias("text")))
+        return F.when(F.size(a["buf"]) > 0, F.concat(a["out"], whole)).otherwise(a["out"])
+
+    def tail(buf: Column) -> Column:
+        start = F.struct(F.array().cast("array<string>").alias("keep"), F.lit(0).alias("n"), F.lit(True).alias("on"))
+        take = lambda a, s: F.when(a["on"] & (a["n"] + F.length(s) <= overlap), F.struct(F.concat(F.array(s), a["keep"]).alias("keep"), (a["n"] + F.length(s)).alias("n"), F.lit(True).alias("on"))).otherwise(F.struct(a["keep"].alias("keep"), a["n"].alias("n"), F.lit(False).alias("on")))
+        return F.aggregate(F.reverse(buf), start, take, lambda a: F.array_join(a["keep"], " "))
+
+    def step(a: Column, p: Column) -> Column:
+        t = strip(F.coalesce(p["text"], F.lit("")))
+        buf, n = F.concat(a["buf"], F.array(t)), a["n"] + F.length(t)
+        kept = tail(buf)
+        state = lambda out, sec, b, m: F.struct(out.alias("out"), sec.alias("section"), b.alias("buf"), m.alias("n")).cast(kind)
+        full = F.struct(a["section"].alias("section"), F.array_join(buf, " ").alias("text"))
+        return (
+            F.when(F.coalesce(p["heading"], F.lit(False)), state(flushed(a), t, F.array().cast("array<string>"), F.lit(0)))
+            .when(t == "", a)
+            .when(n >= size, state(F.concat(a["out"], F.array(full)), a["section"], F.when(kept == "", F.array().cast("array<string>")).otherwise(F.array(kept)), F.length(kept)))
+            .otherwise(state(a["out"], a["section"], buf, n))
+        )
+
+    blocks = F.aggregate(paragraphs, zero, step, flushed)
+    return F.flatten(F.transform(blocks, lambda b: F.transform(sentence_chunks(b["text"], size, overlap), lambda c: F.struct(b["section"].alias("section"), c.alias("content")))))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skerry.functions import fixed
 from skerry.functions import text as tx
+from skerry.operators import answers as extract
 from skerry.operators import audit, chunking, citations, rules, search, store
 from skerry.plans import ask as flow
 from skerry.plans.session import table
@@ -497,6 +498,32 @@ def answer_cleanup(spark, d):
     return answers(spark, d).where("content is not null").select("id", rules.cleaned_answer("content").alias("answer"))
 
 
+def _asked(spark, d):
+    """Answers with the excerpts they cite as context; the query is the answer's own text."""
+    m = store.distinct_messages(table(spark, d, "messages")).where(F.size("citations") > 0)
+    return m.select("id", F.coalesce("content", F.lit("")).alias("query"), F.array_join(F.transform("citations", lambda c: c["excerpt"]), "\n\n").alias("context"))
+
+
+_ASKED = f"(SELECT id, coalesce(content, '') AS query, array_to_string(list_filter(list_transform(citations, lambda c: c.excerpt), lambda e: e IS NOT NULL), chr(10) || chr(10)) AS context FROM {_MSG} WHERE len(citations) > 0)"
+
+
+@query()
+def local_answer(spark, d):
+    return _asked(spark, d).select("id", extract.local_answer("query", "context").alias("answer"))
+
+
+@query(f"""SELECT id, CASE WHEN context = '' THEN 'I couldn''t find relevant information in your documents to answer this question. Please try rephrasing or upload documents related to: ' || query ELSE CASE WHEN a LIKE '%.' THEN a ELSE a || '.' END END AS answer
+FROM (SELECT id, query, context, array_to_string(CASE WHEN len(r) > 0 THEN r ELSE p[1:2] END, '. ') AS a FROM (SELECT *, list_filter(p[1:3], lambda s: list_has_any({_TOK % 's'}, {_TOK % 'query'})) AS r FROM (SELECT *, string_split(context, '. ') AS p FROM {_ASKED})))""")
+def fallback_answer(spark, d):
+    return _asked(spark, d).select("id", extract.fallback_answer("query", "context").alias("answer"))
+
+
+@query("SELECT id, to_json({'id': id, 'user_id': user_id, 'title': title, 'deleted': deleted})::VARCHAR AS json FROM (SELECT DISTINCT id, user_id, title, deleted FROM threads)")
+def thread_json(spark, d):
+    t = table(spark, d, "threads").select("id", "user_id", "title", "deleted").distinct()
+    return t.select("id", F.to_json(F.struct("id", "user_id", "title", "deleted"), {"ignoreNullFields": "false"}).alias("json"))
+
+
 # --- Registry, threads, collections ---
 
 

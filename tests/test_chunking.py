@@ -7,28 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from skerry.operators import chunking
-
-
-def packed(text, size=1000, overlap=200):
-    """Brute force of the sentence packer."""
-    out, cur, n = [], [], 0
-    for s in text.replace("\n", " ").split(". "):
-        s = s.strip()
-        if not s:
-            continue
-        s = s if s.endswith(".") else s + "."
-        if n + len(s) > size and cur:
-            out.append(" ".join(cur))
-            keep, m = [], 0
-            for p in reversed(cur):
-                if m + len(p) > overlap:
-                    break
-                keep.insert(0, p)
-                m += len(p)
-            cur, n = keep, m
-        cur.append(s)
-        n += len(s)
-    return out + ([" ".join(cur)] if cur else [])
+from tests_model import packed
 
 
 def run(spark, texts, column):
