@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skerry.functions.fixed import CHUNK_CHARS, OVERLAP_CHARS, TABLE_ROWS
 from skerry.functions.text import col, strip
+from skerry.operators.order import numbered
 
 
 def sentences(c: str | Column) -> Column:
@@ -92,15 +93,9 @@ def _cells(columns: list[str]) -> Column:
 
 
 def table_markdown(rows: DataFrame, order: list[str], columns: list[str], kind: str = "CSV", size: int = TABLE_ROWS) -> DataFrame:
-    """(chunk_index, row_start, row_end, content): a table's rows as Markdown, `size` rows a chunk.
-
-    Ranks of rows are row numbers over the order columns; the window is the
-    whole table, as the chunks of one file are. For many files at once
-    partition by file.
-    """
-    no = F.row_number().over(Window.orderBy(*order)) - 1
+    """(chunk_index, row_start, row_end, content): a table's rows as Markdown, `size` rows a chunk, numbered over the order columns."""
     head = f"Table ({kind}):\n| " + " | ".join(columns) + " |\n| " + " | ".join("---" for _ in columns) + " |\n"
-    r = rows.select(no.alias("n"), _cells(columns).alias("line")).withColumn("chunk_index", F.floor(F.col("n") / size))
+    r = numbered(rows.select(*dict.fromkeys(order + columns)), order, "n").select("n", _cells(columns).alias("line")).withColumn("chunk_index", F.floor(F.col("n") / size))
     g = r.groupBy("chunk_index").agg(F.min("n").alias("row_start"), F.max("n").alias("row_end"), F.array_sort(F.collect_list(F.struct("n", "line"))).alias("x"))
     return g.select("chunk_index", "row_start", "row_end", F.concat(F.lit(head), F.array_join(F.transform("x", lambda s: s["line"]), "\n")).alias("content"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from skerry.functions.fixed import BM25_B, BM25_EPSILON, BM25_K1, RRF_K, TOP_K
 from skerry.functions.text import tokens
+from skerry.operators.order import few
 from skerry.plans.shared import materialise
 
 
@@ -77,12 +78,13 @@ def bm25(chunks: DataFrame, questions: DataFrame, k: int = TOP_K, where: Column
     Statistics are over all chunks, the filter comes afterwards. A repeated
     query word counts repeatedly, chunks without any query word score 0 and
     may fill up the list, ties go to the later id. Without an index one is
-    built first; questions are a batch small enough to broadcast.
+    built first; questions are a batch of at most 10,000, else this raises.
     """
     ix = index or build_index(chunks)
     asked = questions.select("qid", F.explode(tokens("query")).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
     sizes = ix.docs.agg(F.avg("dl").alias("avgdl"))
-    weights = F.broadcast(asked.join(ix.terms.select("term", "idf"), "term"))
+    few(questions)
+    weights = asked.join(ix.terms.select("term", "idf"), "term")
     part = F.col("times") * F.col("idf") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
     scored = ix.postings.join(weights, "term").crossJoin(F.broadcast(sizes)).groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
     allowed = ix.docs.select("id")
@@ -112,8 +114,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def vector_search(vectors: DataFrame, questions: DataFrame, k: int = TOP_K) -> DataFrame:
-    """(qid, id, score, rank from 0) by cosine; questions (qid, q) is a small batch, compared with every vector in one pass."""
-    pairs = vectors.select("id", "embedding").crossJoin(F.broadcast(questions.select("qid", "q")))
+    """(qid, id, score, rank from 0) by cosine; questions (qid, q) is a batch of counted size, compared with every vector in one pass."""
+    pairs = vectors.select("id", "embedding").crossJoin(few(questions.select("qid", "q")))
     scored = pairs.select("qid", "id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
@@ -147,7 +149,7 @@ def overlap_rerank(hits: DataFrame, texts: DataFrame, questions: DataFrame, k: i
     The pluggable scorer of this build is lexical; another can be put in its
     place as a column over (query, content).
     """
-    j = hits.select("qid", "id", F.col("score").alias("original_score"), F.col("rank").alias("old")).join(texts.select("id", "content"), "id").join(F.broadcast(questions.select("qid", "query")), "qid")
+    j = hits.select("qid", "id", F.col("score").alias("original_score"), F.col("rank").alias("old")).join(texts.select("id", "content"), "id").join(questions.select("qid", "query"), "qid")
     q = F.array_distinct(tokens("query"))
     share = F.size(F.array_intersect(q, tokens("content"))) / F.greatest(F.size(q), F.lit(1))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "old")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.functions.text import strip
+from skerry.operators.order import numbered
 from skerry.operators.rules import thread_title
 
 
@@ -24,9 +25,9 @@ def distinct_messages(messages: DataFrame) -> DataFrame:
 
 def find_duplicates(documents: DataFrame) -> DataFrame:
     """(doc_id, first_doc_id): uploads whose user already has a file of the same hash; the first by created_at stays."""
-    order = Window.partitionBy("user_id", F.lower("file_hash")).orderBy("created_at", "doc_id")
-    d = documents.where("file_hash is not null and user_id is not null")
-    return d.withColumns({"first_doc_id": F.first("doc_id").over(order), "_r": F.row_number().over(order)}).where("_r > 1").select("doc_id", "first_doc_id")
+    d = documents.where("file_hash is not null and user_id is not null").select("doc_id", "user_id", F.lower("file_hash").alias("h"), "created_at")
+    first = d.groupBy("user_id", "h").agg(F.min_by("doc_id", F.struct("created_at", "doc_id")).alias("first_doc_id"))
+    return d.join(first, ["user_id", "h"]).where("doc_id <> first_doc_id").select("doc_id", "first_doc_id")
 
 
 def register(documents: DataFrame, uploads: DataFrame) -> DataFrame:
@@ -70,8 +71,7 @@ def thread_messages(threads: DataFrame, messages: DataFrame) -> DataFrame:
     """Visible threads with their messages in order: (thread_id, message_no, role, content), one row per message."""
     t = latest_threads(threads).where(~F.coalesce("deleted", F.lit(False))).select(F.col("id").alias("thread_id"))
     m = distinct_messages(messages).join(t, "thread_id", "left_semi")
-    order = Window.partitionBy("thread_id").orderBy("turn")
-    return m.select("thread_id", (F.row_number().over(order) - 1).alias("message_no"), "role", "content")
+    return numbered(m, ["turn"], "message_no", group="thread_id").select("thread_id", "message_no", "role", "content")
 
 
 def titles(threads: DataFrame, messages: DataFrame) -> DataFrame:
@@ -121,14 +121,13 @@ def markdown_export(threads: DataFrame, messages: DataFrame) -> DataFrame:
     t = latest_threads(threads).where(~F.coalesce("deleted", F.lit(False)))
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     head = F.concat(F.lit("# Conversation: "), F.coalesce("title", F.lit("Untitled")), F.lit("\n\n*Thread ID: "), F.col("id"), F.lit("*  \n*Created: "), F.coalesce(stamp("created_at"), F.lit("Unknown")), F.lit("*  \n\n"))
-    heads = t.select(F.col("id").alias("thread_id"), F.lit(-1).alias("message_no"), head.alias("markdown"))
+    heads = t.select(F.col("id").alias("thread_id"), F.lit(-1).cast("bigint").alias("message_no"), head.alias("markdown"))
     m = distinct_messages(messages).join(t.select(F.col("id").alias("thread_id")), "thread_id", "left_semi")
     who = F.when(F.lower(strip("role")).isin("user", "human"), "User").otherwise("Assistant")
     source = F.transform("citations", lambda c: F.concat(F.lit("- **"), F.coalesce(c["source_file"], F.lit("Unknown")), F.lit("**"), F.when(F.coalesce(c["page_number"], F.lit(0)) != 0, F.concat(F.lit(" (Page "), c["page_number"].cast("string"), F.lit(")"))).otherwise(""), F.when(F.coalesce(c["section"], F.lit("")) != "", F.concat(F.lit(" - *"), c["section"], F.lit("*"))).otherwise(""), F.lit("\n")))
     sources = F.when((who == "Assistant") & (F.size("citations") > 0), F.concat(F.lit("### Sources\n\n"), F.array_join(source, ""), F.lit("\n"))).otherwise("")
-    order = Window.partitionBy("thread_id").orderBy("turn")
     body = F.concat(F.lit("## "), who, F.lit(" ("), F.coalesce(stamp("created_at"), F.lit("")), F.lit(")\n\n"), F.coalesce("content", F.lit("")), F.lit("\n\n"), sources)
-    return heads.unionByName(m.select("thread_id", (F.row_number().over(order) - 1).alias("message_no"), body.alias("markdown")))
+    return heads.unionByName(numbered(m, ["turn"], "message_no", group="thread_id").select("thread_id", "message_no", body.alias("markdown")))
 
 
 def sanitised_name(name: Column, content_hash: Column) -> Column:

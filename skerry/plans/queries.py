@@ -11,6 +11,7 @@ from skerry.functions import fixed
 from skerry.functions import text as tx
 from skerry.operators import answers as extract
 from skerry.operators import audit, chunking, citations, rules, search, store
+from skerry.operators.order import numbered
 from skerry.plans import ask as flow
 from skerry.plans.session import table
 from skerry.sources import files
@@ -529,10 +530,8 @@ def thread_json(spark, d):
 
 @query("SELECT doc_id, filename, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, doc_id) AS place, user_id FROM documents WHERE user_id IS NOT NULL")
 def doc_list_by_user(spark, d):
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("user_id").orderBy(F.desc("created_at"), "doc_id")
-    return table(spark, d, "documents").where("user_id is not null").select("doc_id", "filename", F.row_number().over(order).alias("place"), "user_id")
+    t = table(spark, d, "documents").where("user_id is not null").select("doc_id", "filename", "user_id", "created_at")
+    return numbered(t, [F.desc("created_at"), "doc_id"], "place", group="user_id").select("doc_id", "filename", (F.col("place") + 1).alias("place"), "user_id")
 
 
 @query("SELECT user_id, lower(file_hash) AS file_hash, arg_min(doc_id, struct_pack(c := created_at, d := doc_id)) AS doc_id FROM documents WHERE file_hash IS NOT NULL AND user_id IS NOT NULL GROUP BY ALL")
@@ -558,11 +557,9 @@ def doc_register_delete(spark, d):
 
 @query("SELECT c.id AS collection_id, c.name, d.doc_id, d.filename, row_number() OVER (PARTITION BY c.id ORDER BY added_at, d.doc_id) - 1 AS place FROM collections c JOIN collection_documents x ON x.collection_id = c.id JOIN documents d ON d.doc_id = x.doc_id")
 def collection_docs(spark, d):
-    from pyspark.sql import Window
-
     c = table(spark, d, "collections").select(F.col("id").alias("collection_id"), "name")
     j = table(spark, d, "collection_documents").join(c, "collection_id").join(table(spark, d, "documents").select("doc_id", "filename"), "doc_id")
-    return j.select("collection_id", "name", "doc_id", "filename", (F.row_number().over(Window.partitionBy("collection_id").orderBy("added_at", "doc_id")) - 1).alias("place"))
+    return numbered(j, ["added_at", "doc_id"], "place", group="collection_id").select("collection_id", "name", "doc_id", "filename", "place")
 
 
 @query("SELECT collection_id, count(*) AS n FROM (SELECT collection_id, doc_id FROM collection_documents UNION SELECT 'col000', doc_id FROM documents WHERE source = 'faq') GROUP BY 1")
