@@ -199,15 +199,20 @@ def train(pieces: list[str], labels: np.ndarray, idf: np.ndarray, s: Settings, s
     return model
 
 
-def runs(lp: np.ndarray, size: np.ndarray, switch: float) -> np.ndarray:
-    """The language of each unit on the best path.
+def against(lp: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """What each unit holds against each language.
 
-    What a unit holds against a language counts from 1.5 nats on, up to a
-    quarter nat a letter, so that a row of names or a lone heading, about
-    which the model cannot be sure, goes along with its neighbours.
+    It counts from 1.5 nats on, up to a quarter nat a letter, so that a row of
+    names or a lone heading, about which the model cannot be sure, goes along
+    with its neighbours.
     """
-    against = np.maximum(lp.max(1, keepdims=True) - lp - 1.5, 0.0)
-    score = -np.minimum(np.minimum(against, 0.25 * size[:, None]), 12.0)
+    far = np.maximum(lp.max(1, keepdims=True) - lp - 1.5, 0.0)
+    return np.minimum(np.minimum(far, 0.25 * size[:, None]), 12.0)
+
+
+def runs(held: np.ndarray, switch: float) -> np.ndarray:
+    """The language of each unit on the path with the least held against it, each switch charged."""
+    score = -held
     best, back = score[0].copy(), []
     for i in range(1, len(score)):
         top = int(best.argmax())
@@ -237,15 +242,20 @@ def segments(texts: list[str], model: Model, s: Settings) -> list[list[tuple[int
         lo = hi
     lp = np.concatenate(lps) if lps else np.zeros((0, len(CODES)))
     size = np.array([sum(map(str.isalpha, x)) for x in flat])
-    out, at = [], 0
-    for sp in spans:
-        n = len(sp)
+    counts = np.array([len(sp) for sp in spans])
+    starts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+    held = against(lp, size)
+    total = _sums(held, starts)
+    out = []
+    for i, sp in enumerate(spans):
+        at, n = int(starts[i]), len(sp)
         own, w = lp[at : at + n], size[at : at + n]
-        at += n
         if not n or not w.any():
             out.append([])
             continue
-        path = runs(own, w, s.switch)
+        # A language that nothing is held against is the best path by itself.
+        free = int((total[i] == 0).argmax())
+        path = np.full(n, free) if total[i][free] == 0 else runs(held[at : at + n], s.switch)
         cut = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), n]
         segs = []
         for i, j in zip(cut[:-1], cut[1:]):
@@ -268,10 +278,12 @@ def _frequencies(s: Settings) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                     chars += len(texts[hi])
                     hi += 1
                 flags = np.zeros((hi - lo, BUCKETS), bool)
-                for k, t in enumerate(texts[lo:hi]):
-                    # A long text is read in stretches; which n-grams it has does not depend on them but at their borders.
-                    for at in range(0, len(t), s.chars):
-                        flags[k, grams([t[at : at + s.chars].replace("\n", " ")])[0]] = True
+                # A long text is read in stretches; which n-grams it has does not depend on them but at their borders.
+                cuts = [(k, t[at : at + s.chars]) for k, t in enumerate(texts[lo:hi]) for at in range(0, len(t), s.chars)]
+                step = len(cuts) if chars <= s.chars else 1
+                for a in range(0, len(cuts), step):
+                    idx, starts = grams([c for _, c in cuts[a : a + step]])
+                    flags[np.repeat([k for k, _ in cuts[a : a + step]], np.diff(starts)), idx] = True
                 df += flags.sum(0)
                 docs += hi - lo
                 lo = hi
