@@ -104,9 +104,14 @@ def _joined_lines(lines: DataFrame) -> DataFrame:
 
 
 def vocabulary(chunks: DataFrame) -> DataFrame:
-    """(word, n): lower-case tokens of all chunk texts without outer punctuation."""
-    words = chunks.where("content is not null").select(F.explode(F.split("content", r"\s+")).alias("w"))
-    return words.select(F.lower(_bare(F.col("w"))).alias("word")).where("word <> '' and length(word) <= 60").groupBy("word").agg(F.count("*").alias("n"))
+    """(word, n): lower-case tokens of all chunk texts without outer punctuation.
+
+    Tokens are counted as they stand first, so that only distinct ones go
+    through regular expressions.
+    """
+    flat = F.translate("content", "\t\n\x0b\x0c\r", "     ")
+    raw = chunks.where("content is not null").select(F.explode(F.split(flat, " ")).alias("w")).groupBy("w").agg(F.count("*").alias("m"))
+    return raw.select(F.lower(_bare(F.col("w"))).alias("word"), "m").where("word <> '' and length(word) <= 60").groupBy("word").agg(F.sum("m").alias("n"))
 
 
 def _divided(body: DataFrame, words: DataFrame) -> DataFrame:
