@@ -122,3 +122,20 @@ def test_hot_bucket_over_partitions(spark):
         for k, v in keep.items():
             spark.conf.set(k, v)
     assert n == 150 * 149 // 2
+
+
+def test_no_link_is_lost_at_the_least_similarity(spark):
+    rng = np.random.default_rng(11)
+    vocab, texts = [f"v{i}" for i in range(5000)], []
+    for i in range(300):
+        w = list(rng.choice(vocab, 100))
+        other = list(w)
+        for k in range(4, 100, 9):  # 11 changed words touch 33 of 98 shingles: 65 of 131 are shared
+            other[k] = f"x{i}y{k}"
+        other[4] = w[4]
+        texts += [" ".join(w), " ".join(other)]
+    s = [shingles(t) for t in texts]
+    want = {(i, i + 1) for i in range(0, 600, 2) if len(s[i] & s[i + 1]) / len(s[i] | s[i + 1]) >= 0.5}
+    assert len(want) == 300 and max(len(s[i] & s[j]) / len(s[i] | s[j]) for i, j in want) < 0.56
+    df = spark.createDataFrame([(i, t, "text", i, 0) for i, t in enumerate(texts)], SN)
+    assert {tuple(r) for r in near.near_pairs(df).collect()} == want
