@@ -6,16 +6,17 @@ vector is sent once to the block of its own cell, and to those further blocks
 that hold cells it has to probe. A task holds one block, scores codes with
 asymmetric distance tables, and reranks the best candidates in double
 precision on the spot, so full vectors are shuffled once per block they
-matter to. Cells that outgrow a block are spread over several by id, and a
-vector copied often enough to show in the sample is represented by its least
-ids, which is exact for copies.
+matter to. Cells that outgrow a block are spread over several by id. Copies of
+a vector are found over all rows; the one of the least id is indexed and
+brings the k + 1 least ids of its group along, which stand for the group
+wherever it is found, and all copies share what it finds.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skerry.plans.shared import materialise
+
 Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
@@ -55,7 +58,6 @@ class Index:
     margin: float
     block_of: np.ndarray
     spread: np.ndarray
-    hot: dict[bytes, list[int]] = field(default_factory=dict)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -163,7 +165,7 @@ def _sampled(dim: int) -> Batches:
         for b in batches:
             at, x = _vectors(b, dim)
             at = pa.array(at)
-            yield pa.RecordBatch.from_arrays([b.column("model").take(at), b.column("chunk_id").take(at), _binary(x)], names=["model", "chunk_id", "v"])
+            yield pa.RecordBatch.from_arrays([b.column("model").take(at), b.column("chunk_id").take(at), _binary(x + np.float32(0))], names=["model", "chunk_id", "v"])  # no -0.0
 
     return run
 
@@ -186,24 +188,20 @@ def probe_cells(x: np.ndarray, ix: Index, s: Settings) -> tuple[np.ndarray, np.n
     return own, np.where(keep, near, -1)
 
 
-_SENT = "block int, model string, chunk_id bigint, v binary, own int, probes array<int>"
+_SENT = "block int, model string, chunk_id bigint, v binary, own int, probes array<int>, heads array<bigint>"
 
 
 def _assign(shared, s: Settings) -> Batches:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         indexes, labels = shared.value
         for b in batches:
-            at, raw = _vectors(b, s.dim)
-            models = np.array(b.column("model").take(pa.array(at)).to_pylist(), object)
-            ids = b.column("chunk_id").take(pa.array(at)).to_numpy(zero_copy_only=False)
+            raw = np.frombuffer(b"".join(b.column("v").to_pylist()), np.float32).reshape(b.num_rows, s.dim)
+            models = np.array(b.column("model").to_pylist(), object)
+            ids = b.column("chunk_id").to_numpy(zero_copy_only=False)
             for model, ix in indexes.items():
                 mine = np.flatnonzero(models == model)
                 for lo in range(0, len(mine), 2048):
                     rows = mine[lo : lo + 2048]
-                    if ix.hot:
-                        rows = rows[[int(ids[i]) in ix.hot.get(raw[i].tobytes(), (int(ids[i]),)) for i in rows]]
-                        if not len(rows):
-                            continue
                     x = unit(raw[rows].astype(np.float64)).astype(np.float32)
                     own, probes = probe_cells(x, ix, s)
                     here = ix.block_of[own] + np.where(ix.spread[own] > 1, ids[rows].astype(np.int64) % ix.spread[own], 0)
@@ -220,16 +218,16 @@ def _assign(shared, s: Settings) -> Batches:
                         [
                             pa.array([labels[model][o[1]] for o in out], pa.int32()), pa.array([model] * len(out), pa.string()),
                             pa.array(ids, pa.int64()).take(take), _binary(raw[[rows[o[0]] for o in out]]),
-                            pa.array([o[2] for o in out], pa.int32()), pa.array([o[3] for o in out], pa.list_(pa.int32())),
+                            pa.array([o[2] for o in out], pa.int32()), pa.array([o[3] for o in out], pa.list_(pa.int32())), b.column("heads").take(take),
                         ],
-                        names=["block", "model", "chunk_id", "v", "own", "probes"],
+                        names=["block", "model", "chunk_id", "v", "own", "probes", "heads"],
                     )
 
     return run
 
 
 def search_block(ids: np.ndarray, raw: np.ndarray, own: np.ndarray, probes: list[np.ndarray], ix: Index, s: Settings) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For the vectors of one block: (query ids, neighbour ids, cosines), k at most for a query.
+    """For the vectors of one block: (query places, neighbour places, cosines), k at most for a query.
 
     Rows with own >= 0 are the block's members; every row with probes is a
     query. Codes are scored by asymmetric distance tables, the `rerank` best
@@ -288,9 +286,9 @@ def search_block(ids: np.ndarray, raw: np.ndarray, own: np.ndarray, probes: list
         cos = np.einsum("qrd,qd->qr", x64[cand], x64[q])
         cos[~good | (ids[cand] == ids[q][:, None])] = -np.inf
         top = np.lexsort((ids[cand], -cos), axis=1)[:, : s.k]
-        cos, who = np.take_along_axis(cos, top, 1), np.take_along_axis(ids[cand], top, 1)
+        cos, who = np.take_along_axis(cos, top, 1), np.take_along_axis(cand, top, 1)
         ok = np.isfinite(cos)
-        yield np.repeat(ids[q], ok.sum(1)), who[ok], cos[ok]
+        yield np.repeat(q, ok.sum(1)), who[ok], cos[ok]
 
 
 _FOUND = "model string, chunk_id bigint, neighbour bigint, cosine double"
@@ -305,15 +303,39 @@ def _search(shared, s: Settings) -> Callable[[pa.Table], pa.Table]:
         raw = np.frombuffer(b"".join(v.to_pylist()), np.float32).reshape(len(ids), -1)
         # Repeated rows of a vector have come to the same blocks and count once.
         _, once = np.unique(np.rec.fromarrays([ids, np.array([hash(r.tobytes()) for r in raw], np.int64)]), return_index=True)
-        own = t.column("own").to_numpy()[once]
-        lists = t.column("probes").to_pylist()
-        parts = list(search_block(ids[once], raw[once], own, [np.array(lists[i], np.int64) for i in once], shared.value[0][model], s))
+        ids, own = ids[once], t.column("own").to_numpy()[once]
+        lists, heads = t.column("probes").to_pylist(), t.column("heads").to_pylist()
+        parts = list(search_block(ids, raw[once], own, [np.array(lists[i], np.int64) for i in once], shared.value[0][model], s))
         q, n, c = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(3))
-        return pa.table({"model": pa.array([model] * len(q), pa.string()), "chunk_id": pa.array(q, pa.int64()), "neighbour": pa.array(n, pa.int64()), "cosine": pa.array(c, pa.float64())})
+        # A vector that stands for its copies is all of its heads, and finds them itself in its own block.
+        groups = [np.array(heads[i] or [int(x)], np.int64) for i, x in zip(once, ids)]
+        size = np.array([len(g) for g in groups], np.int64)
+        home = np.flatnonzero((own >= 0) & (size > 1))
+        q, n, c = np.concatenate([q, home]), np.concatenate([n, home]), np.concatenate([c, np.ones(len(home))])
+        found = np.concatenate([np.zeros(0, np.int64), *(groups[i] for i in n)])
+        q, c = np.repeat(ids[q], size[n]), np.repeat(c, size[n])
+        return pa.table({"model": pa.array([model] * len(q), pa.string()), "chunk_id": pa.array(q, pa.int64()), "neighbour": pa.array(found, pa.int64()), "cosine": pa.array(c, pa.float64())})
 
     return run
 
 
+_GROUP = ["model", "h1", "h2"]
+
+
+def _copies(packed: DataFrame) -> DataFrame:
+    """(model, h1, h2, chunk_id, rep): all rows of vectors that several chunks have, rep their least id."""
+    groups = packed.groupBy(*_GROUP).agg(F.min("chunk_id").alias("rep"), F.max("chunk_id").alias("last")).where("rep < last").drop("last")
+    return materialise(packed.select(*_GROUP, "chunk_id").join(groups, _GROUP).distinct(), "copies")
+
+
+def _kept(packed: DataFrame, copies: DataFrame, s: Settings) -> DataFrame:
+    """(model, chunk_id, v, heads): one row of each distinct vector, with the k + 1 least ids of its copies if there are any."""
+    least = Window.partitionBy(*_GROUP).orderBy("chunk_id")
+    heads = copies.withColumn("r", F.row_number().over(least)).where(F.col("r") <= s.k + 1).groupBy(*_GROUP, F.col("rep").alias("chunk_id")).agg(F.sort_array(F.collect_list("chunk_id")).alias("heads"))
+    marks = copies.select(*_GROUP, "chunk_id", F.lit(True).alias("copied")).join(heads, [*_GROUP, "chunk_id"], "left")
+    return packed.join(marks, [*_GROUP, "chunk_id"], "left").where("copied is null or heads is not null").select("model", "chunk_id", "v", "heads")
+
+
 def nearest_neighbours(vectors: DataFrame, settings: Settings | None = None) -> DataFrame:
     """(model, chunk_id, neighbour, cosine, rank from 1): the k nearest of every usable vector.
 
@@ -342,23 +364,24 @@ def nearest_neighbours(vectors: DataFrame, settings: Settings | None = None) ->
                 raise RuntimeError(f"no usable vector in the sample of {m}")
             continue
         raw = np.frombuffer(b"".join(mine.column("v").to_pylist()), np.float32).reshape(mine.num_rows, s.dim)
-        seen: dict[bytes, set[int]] = {}
-        for i, r in zip(mine.column("chunk_id").to_pylist(), raw):
-            seen.setdefault(r.tobytes(), set()).add(i)
         keep = np.unique(raw, axis=0)
         indexes[m] = fit(keep, counts[m], s)
-        indexes[m].hot = {v: [] for v, ids in seen.items() if len(ids) >= 4}
         blocks[m] = int((indexes[m].block_of + indexes[m].spread).max())
     if not indexes:
         return spark.createDataFrame([], _FOUND + ", rank int")
-    copies = _copies(rows, indexes, s)
+    packed = rows.mapInArrow(_sampled(s.dim), "model string, chunk_id bigint, v binary")
+    packed = packed.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v")})
+    copies = _copies(packed)
     shared = spark.sparkContext.broadcast((indexes, _labels(rows, blocks)))
-    sent = rows.mapInArrow(_assign(shared, s), _SENT)
+    sent = _kept(packed, copies, s).mapInArrow(_assign(shared, s), _SENT)
     found = sent.groupBy("block").applyInArrow(_search(shared, s), _FOUND)
-    if copies is not None:
-        found = found.unionByName(copies)
-    order = Window.partitionBy("model", "chunk_id").orderBy(F.desc("cosine"), "neighbour")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= s.k)
+    # One more than k, as a copy leaves itself out.
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("d"), "neighbour"))), 1, s.k + 1)
+    lists = found.groupBy("model", F.col("chunk_id").alias("rep")).agg(best.alias("best"))
+    each = lists.join(copies.select("model", "rep", "chunk_id"), ["model", "rep"], "left").withColumn("chunk_id", F.coalesce("chunk_id", "rep"))
+    mine = F.slice(F.filter("best", lambda x: x["neighbour"] != F.col("chunk_id")), 1, s.k)
+    out = each.select("model", "chunk_id", F.posexplode(mine).alias("pos", "n"))
+    return out.select("model", "chunk_id", F.col("n.neighbour").alias("neighbour"), (-F.col("n.d")).alias("cosine"), (F.col("pos") + 1).alias("rank"))
 
 
 def _labels(rows: DataFrame, blocks: dict[str, int]) -> dict[str, list[int]]:
@@ -378,41 +401,6 @@ def _labels(rows: DataFrame, blocks: dict[str, int]) -> dict[str, list[int]]:
     return out
 
 
-def _marked(hot: dict[str, dict[bytes, int]], s: Settings) -> Batches:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at, raw = _vectors(b, s.dim)
-            models = b.column("model").take(pa.array(at)).to_pylist()
-            no = [hot.get(m, {}).get(r.tobytes(), -1) for m, r in zip(models, raw)]
-            take = pa.array([at[i] for i, k in enumerate(no) if k >= 0], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("model").take(take), b.column("chunk_id").take(take), pa.array([k for k in no if k >= 0], pa.int32())], names=["model", "chunk_id", "vector_no"])
-
-    return run
-
-
-def _copies(rows: DataFrame, indexes: dict[str, Index], s: Settings) -> DataFrame | None:
-    """Neighbours of the copies of often copied vectors: the least ids of their group.
-
-    Fills in `hot` with the k + 1 least ids of each group, which stand for it
-    in the index. Groups are bounded by the sample, so are their least ids.
-    """
-    hot = {m: {v: i for i, v in enumerate(ix.hot)} for m, ix in indexes.items() if ix.hot}
-    if not hot:
-        return None
-    marked = rows.mapInArrow(_marked(hot, s), "model string, chunk_id bigint, vector_no int").distinct()
-    least = Window.partitionBy("model", "vector_no").orderBy("chunk_id")
-    heads = marked.withColumn("r", F.row_number().over(least)).where(F.col("r") <= s.k + 1).select("model", "vector_no", "chunk_id").collect()
-    back = {m: {i: v for v, i in x.items()} for m, x in hot.items()}
-    for h in heads:
-        indexes[h.model].hot[back[h.model][h.vector_no]].append(h.chunk_id)
-    spark = rows.sparkSession
-    small = spark.createDataFrame([(h.model, h.vector_no, h.chunk_id) for h in heads], "model string, vector_no int, neighbour bigint")
-    pairs = marked.join(F.broadcast(small), ["model", "vector_no"]).where("chunk_id <> neighbour")
-    last = small.groupBy("model", "vector_no").agg(F.max("neighbour").alias("last"))
-    # The heads themselves are searched in the index.
-    return pairs.join(F.broadcast(last), ["model", "vector_no"]).where("chunk_id > last").select("model", "chunk_id", "neighbour", F.lit(1.0).alias("cosine"))
-
-
 def neighbour_pairs(vectors: DataFrame, settings: Settings | None = None) -> DataFrame:
     """(chunk_a, chunk_b), chunk_a < chunk_b: one is among the other's k nearest."""
     n = nearest_neighbours(vectors, settings)

@@ -50,6 +50,19 @@ def test_many_copies_are_exact(spark):
     assert per[149] == {1: 50, 2: 51, 3: 52, 4: 53, 5: 54} and per[52] == {1: 50, 2: 51, 3: 53, 4: 54, 5: 55}
 
 
+def test_copies_that_the_sample_misses_are_exact(spark):
+    x = clustered(2000, 16, 3)
+    x[::10] = x[0]
+    rows = [(i, [float(v) for v in r], "m") for i, r in enumerate(x)]
+    s = neighbours.Settings(dim=16, parts=8, block=600, per_cell=64, sample=16, rerank=8)
+    per = {}
+    for r in neighbours.nearest_neighbours(spark.createDataFrame(rows[::-1], SCHEMA), s).collect():
+        per.setdefault(r.chunk_id, {})[r["rank"]] = r.neighbour
+    assert len(per) == 2000 and all(len(v) == 5 for v in per.values())
+    for i in range(0, 2000, 10):
+        assert list(dict(sorted(per[i].items())).values()) == [j for j in range(0, 60, 10) if j != i][:5]
+
+
 def test_few_and_none(spark):
     one = spark.createDataFrame([(1, [1.0] * 96, "m")], SCHEMA)
     assert neighbours.neighbour_pairs(one).count() == 0 and neighbours.neighbour_pairs(one.limit(0)).count() == 0
