@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,6 +125,46 @@ def vector_search(vectors: DataFrame, questions: DataFrame, k: int = TOP_K) -> D
     return scored.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
 
 
+def vector_search_many(vectors: DataFrame, questions: DataFrame, k: int = TOP_K) -> DataFrame:
+    """As vector_search(), for large batches: each Arrow batch of usable() vectors gives its k best for every question, so pairs are not shuffled."""
+    asked = few(questions.select("qid", "q")).toArrow()
+    qids = asked.column("qid")
+    q = np.array(asked.column("q").to_pylist(), np.float64)
+    if not len(q):
+        return vector_search(vectors, questions, k)
+    shared = vectors.sparkSession.sparkContext.broadcast((qids.to_numpy(), q / np.linalg.norm(q, axis=1, keepdims=True)))
+
+    def run(batches):
+        names, unit = shared.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids = b.column("id").to_numpy()
+            x = b.column("embedding").flatten().to_numpy().reshape(len(ids), -1)
+            x = x / np.linalg.norm(x, axis=1, keepdims=True)
+            for lo in range(0, len(unit), 256):
+                score = np.round(unit[lo : lo + 256] @ x.T, 6)
+                least = min(k, len(ids))
+                i, j = np.nonzero(score >= -np.partition(-score, least - 1, axis=1)[:, least - 1 : least])
+                order = np.lexsort((ids[j], -score[i, j], i))
+                i, j = i[order], j[order]
+                first = np.arange(len(i)) - np.searchsorted(i, i) < k
+                i, j = i[first], j[first]
+                yield pa.RecordBatch.from_arrays([pa.array(names[lo + i]), pa.array(ids[j]), pa.array(score[i, j])], names=["qid", "id", "score"])
+
+    scored = vectors.select("id", "embedding").mapInArrow(run, "qid bigint, id bigint, score double").withColumn("score", F.round("score", 6))
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    return scored.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
+
+
+def in_blocks(questions: DataFrame, searched: Callable[[DataFrame], DataFrame], most: int = 5_000) -> DataFrame:
+    """searched() of all questions, however many, in blocks of about `most` by a hash of qid; questions are counted first."""
+    rows = materialise(questions, "questions")
+    blocks = max(1, math.ceil(rows.count() / most))
+    parts = [searched(rows.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)) for i in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def fuse(keyword: DataFrame | None, vector: DataFrame | None, k: int = TOP_K, keyword_weight: float = 0.5, vector_weight: float = 0.5) -> DataFrame:
     """Weighted reciprocal-rank fusion: (qid, id, score, bm25_score, vector_score, rank from 0).
 

@@ -213,6 +213,57 @@ def context_assembly(spark, d):
     return search.contexts(search.bm25(c, questions(spark), fixed.CONTEXT_K), c)
 
 
+# --- Search for every hundredth row: no SQL, which would be too slow ---
+
+
+def every_hundredth(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """(qid, name): all rows whose id is divisible by 100, as questions."""
+    return rows.where("id % 100 = 0").select(F.col("id").alias("qid"), F.col(column).alias(name))
+
+
+@query()
+def vector_batch_knn_whole(spark, d):
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    v = v.dropDuplicates(["id"])
+    return search.in_blocks(every_hundredth(v, "embedding", "q"), lambda q: search.vector_search(v, q))
+
+
+@query()
+def vector_topk_whole(spark, d):
+    v = vectors_of(spark, d)
+    return search.in_blocks(every_hundredth(v, "embedding", "q"), lambda q: search.vector_search_many(v, q))
+
+
+@query()
+def vector_filtered_whole(spark, d):
+    v = vectors_of(spark, d)
+    allowed = chunks_of(spark, d).where(search.metadata_filter({"user_id": "u00417", "chunk_type": {"$eq": "text"}})).select("id")
+    return search.in_blocks(every_hundredth(v, "embedding", "q"), lambda q: search.vector_search_many(v.join(allowed, "id", "left_semi"), q))
+
+
+@query()
+def bm25_topk_whole(spark, d):
+    c = chunks_of(spark, d)
+    index = search.build_index(c)
+    return search.in_blocks(every_hundredth(c, "content", "query"), lambda q: search.bm25(c, q, index=index))
+
+
+@query()
+def hybrid_rrf_topk_whole(spark, d):
+    c, v = chunks_of(spark, d), vectors_of(spark, d)
+    index = search.build_index(c)
+    keyword = search.in_blocks(every_hundredth(c, "content", "query"), lambda q: search.bm25(c, q, 20, index=index))
+    vector = search.in_blocks(every_hundredth(v, "embedding", "q"), lambda q: search.vector_search_many(v, q, 20))
+    return search.fuse(keyword, vector, 10)
+
+
+@query()
+def rerank_overlap_whole(spark, d):
+    c = chunks_of(spark, d)
+    index = search.build_index(c)
+    return search.in_blocks(every_hundredth(c, "content", "query"), lambda q: search.overlap_rerank(search.bm25(c, q, index=index), c, q, fixed.RERANK_K))
+
+
 # --- Citations ---
 
 _X = "trim(regexp_replace({c}, '\\s+', ' ', 'g'))"

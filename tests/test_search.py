@@ -74,3 +74,27 @@ def test_rerank_order(spark):
     assert all_.count() == 4 and all_.where("rank = 0").first().id == 3
     assert "alpha" in search.contexts(hits, c, 2).first().context
     assert c.select(F.lit(1)).count() == 5
+
+
+def test_every_hundredth_row_is_asked(spark):
+    from pyspark.sql import functions as F
+
+    from skerry.plans import queries
+
+    d = "/root/testdata/sf0.001"
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    got = {r.qid: r.n for r in queries.QUERIES["vector_batch_knn_whole"](spark, d).groupBy("qid").agg(F.count("*").alias("n")).collect()}
+    assert got == {r.vec_id: 10 for r in e.where("vec_id % 100 = 0").select("vec_id").distinct().collect()}
+    c = spark.read.parquet(f"{d}/chunks.parquet").where("id % 100 = 0").select("id").distinct()
+    got = {r.qid for r in queries.QUERIES["bm25_topk_whole"](spark, d).select("qid").distinct().collect()}
+    assert got == {r.id for r in c.collect()} and got
+
+
+def test_blocks_equal_one_search(spark):
+    from skerry.operators import search
+
+    v = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 5)]) for i in range(40)], "id bigint, embedding array<double>")
+    q = v.selectExpr("id AS qid", "embedding AS q")
+    rows = lambda x: sorted(map(tuple, x.select("qid", "id", "score", "rank").collect()))
+    assert rows(search.in_blocks(q, lambda b: search.vector_search(v, b, 3), most=9)) == rows(search.vector_search(v, q, 3))
+    assert rows(search.vector_search_many(v, q, 3)) == rows(search.vector_search(v, q, 3))
