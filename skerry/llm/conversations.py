@@ -88,13 +88,20 @@ def rebuilt_conversations(messages: DataFrame, threads: DataFrame, aliases: Data
 
     A conversation stays one row per turn, as one row per conversation would
     gather it in one task. Threads with a fault of
-    :func:`conversation_faults` are left out; edge cases as there.
+    :func:`conversation_faults` are left out; edge cases as there. Messages
+    that only links hold together, without any thread_id, are a conversation
+    named message:<id>.
     """
     role = role_of(aliases)
     rows = in_order(messages, role, [F.col("content")]).mapInArrow(_numbered, "conv string, pid int, place bigint, rank tinyint, id string, created_at timestamp, content string")
     rows = materialise(rows, "turns")  # read twice below, and partition numbers must agree
     made = _summaries(messages, aliases)
     sound = threads.where("id is not null").select(F.col("id").alias("thread_id")).distinct().join(made, F.col("thread_id") == F.col("conv")).where(_fault().isNull()).select("thread_id")
+    # Conversations without any thread_id are named by a message; ids that look like that are not theirs.
+    named = F.col("conv").startswith("message:")
+    ids = messages.where(F.col("thread_id").startswith("message:")).select(F.col("thread_id").alias("conv"))
+    alone = made.where(named & _fault().isNull()).join(ids, "conv", "left_anti").select(F.col("conv").alias("thread_id"))
+    sound = sound.unionByName(alone).distinct()
     turns = rows.join(sound, rows.conv == sound.thread_id)
     # The place within the partition becomes the place in the conversation; only one row per conversation and partition is summed.
     sizes = rows.groupBy("conv", "pid").agg(F.count("*").alias("n"))

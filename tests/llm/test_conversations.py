@@ -75,6 +75,12 @@ def test_links_find_conversations(spark):
     assert faults(spark, rows, ["t"]) == {}
 
 
+def test_conversations_without_thread_are_rebuilt(spark):
+    rows = [("a", "t", "user", "q", None, at(0)), ("b", "t", "assistant", "a", None, at(1)), ("x", None, "user", "q", None, at(0)), ("y", None, "assistant", "a", '{"reply_to": "x"}', at(1))]
+    out = conversations.rebuilt_conversations(spark.createDataFrame(rows, SCHEMA), threads(spark, ["t"]), aliases(spark)).collect()
+    assert sorted((r.thread_id, r.turn_no, r.message_id) for r in out) == [("message:x", 0, "x"), ("message:x", 1, "y"), ("t", 0, "a"), ("t", 1, "b")]
+
+
 def test_components_equal_union_find(spark):
     import random
 
