@@ -68,8 +68,8 @@ def surnames_of(listed: list[str], most: int = 100_000) -> set[str]:
     """The listed surnames and those made of their shared stems and endings.
 
     A stem (4 letters at least) or ending (3 at least) is shared if three
-    listed surnames have it with different remainders. Beyond `most`
-    combinations only the listed ones are returned.
+    listed surnames have it with different remainders. Raises beyond `most`
+    combinations.
     """
     pre, suf = {}, {}
     for n in set(listed):
@@ -83,7 +83,7 @@ def surnames_of(listed: list[str], most: int = 100_000) -> set[str]:
     used = Counter(e for p in best for e in pre[p])
     ends = [e for e, n in used.items() if n >= 3]
     if len(best) * len(ends) > most:
-        return set(listed)
+        raise ValueError(f"more than {most} combinations of the stems and endings of surnames")
     return set(listed) | {p + e for p in best for e in ends}
 
 

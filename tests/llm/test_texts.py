@@ -130,3 +130,10 @@ def test_held_out_accuracy():
     m = language.train(texts, y, np.ones(language.BUCKETS), language.Settings())
     test = [make(en) for _ in range(50)] + [make(de) for _ in range(50)]
     assert (m.log_probs(test).argmax(1) == np.array([0] * 50 + [2] * 50)).mean() > 0.97
+
+
+def test_too_many_surname_combinations_raise():
+    names = [a + b for a in ("Brandt", "Kessel", "Lindor", "Moraal", "Ostner", "Wittek") for b in ("mann", "heim", "stein", "feld")]
+    assert set(names) <= pii.surnames_of(names)
+    with pytest.raises(ValueError):
+        pii.surnames_of(names, most=3)
