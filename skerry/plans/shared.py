@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,7 +39,13 @@ def materialise(df: DataFrame, label: str = "t") -> DataFrame:
     """Write df to the shared folder and return a scan of it, with the same schema."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skerry/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    # What the write shuffles is of no use afterwards and goes at once.
+    keep = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, keep)
     return spark.read.schema(df.schema).parquet(path)
 
 
