@@ -60,15 +60,16 @@ def conversations_of(messages: DataFrame) -> DataFrame | None:
     """Conversations of the messages without thread_id: (id, conv), or None where all have one.
 
     A message with a thread_id enters already contracted to its thread, so
-    that only links with an unidentified end are iterated. A component takes
-    the least of its threads as its name, else `message:` and its least id.
+    that only links with an unidentified end are iterated; a message that is
+    linked to but missing still holds those together that name it. A component
+    takes the least of its threads as its name, else `message:` and its least id.
     """
     lost = messages.where("thread_id is null and id is not null").select("id").distinct()
     if lost.isEmpty():
         return None
     node = lambda t, i: F.when(F.col(t).isNotNull(), F.concat(F.lit("a"), F.col(t))).otherwise(F.concat(F.lit("b"), F.col(i)))
     ends = messages.where("id is not null").groupBy("id").agg(F.min("thread_id").alias("other_thread"))
-    links = link_rows(messages).join(ends.withColumnRenamed("id", "other"), "other")
+    links = link_rows(messages).join(ends.withColumnRenamed("id", "other"), "other", "left")
     edges = links.where("thread_id is null or other_thread is null").select(node("thread_id", "id").alias("u"), node("other_thread", "other").alias("v"))
     labels = connected_components(edges)
     name = F.coalesce("component", F.concat(F.lit("b"), F.col("id")))
@@ -77,13 +78,15 @@ def conversations_of(messages: DataFrame) -> DataFrame | None:
     )
 
 
-def in_order(messages: DataFrame, role: Callable[[str], Column], extra: list[Column]) -> DataFrame:
-    """Rows (conv, created_at, rank, id, role, *extra), sorted within range partitions."""
+def in_order(messages: DataFrame, role: Callable[[str], Column], extra: list[Column], keep: Column | None = None) -> DataFrame:
+    """Rows (conv, created_at, rank, id, *extra) that `keep` holds for, sorted within range partitions; links lead through all rows."""
     found = conversations_of(messages)
     if found is not None:
         messages = messages.join(found.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").withColumn("conv", F.coalesce("thread_id", "conv")).drop("_id")
     else:
         messages = messages.withColumn("conv", F.col("thread_id"))
+    if keep is not None:
+        messages = messages.where(keep)
     rows = messages.where("conv is not null").withColumn("_role", role("role"))
     rank = F.coalesce(*[F.when(F.col("_role") == k, v) for k, v in RANK.items()], F.lit(3)).cast("tinyint")
     rows = rows.select("conv", "created_at", rank.alias("rank"), "id", *extra)

@@ -108,3 +108,12 @@ def test_empty_tables_and_alias_bound(spark):
     assert conversations.rebuilt_conversations(m, spark.createDataFrame([], "id string"), a.limit(0)).count() == 0
     with pytest.raises(ValueError):
         turns.role_of(a, most=2)
+
+
+def test_missing_message_holds_those_that_name_it(spark):
+    rows = [
+        ("x", None, "user", "q", '{"quote_of": "gone"}', at(0)), ("y", None, "assistant", "a", '{"reply_to": "gone"}', at(1)),
+        ("z", None, "user", "q", '{"reply_to": "other"}', at(2)), ("w", None, "user", "q", None, at(3)),
+    ]
+    got = {r.id: r.conv for r in turns.conversations_of(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got["x"] == got["y"] and len({got["x"], got["z"], got["w"]}) == 3

@@ -59,6 +59,87 @@ def test_pair_defects(spark):
     assert pairs.pair_defects(df.limit(0), al).count() == 0
 
 
+#: Refusals and sound answers in words of their own; nothing in the operator was written from them.
+REFUSED = [
+    'That is not something I am willing to talk about.',
+    'This question falls outside my remit.',
+    'I would prefer not to respond to that.',
+    'We are not permitted to share such details.',
+    'I have no intention of discussing the contract.',
+    'Sadly, I am not allowed to tell you that.',
+    'I must turn down your request.',
+    'You will not get an answer from me on this.',
+    "As a language model I can't comment on people.",
+    'Regrettably I cannot be of assistance here.',
+    'I refuse to speculate about the audit.',
+    'My rules forbid me to speak about the invoice.',
+    'Hierüber gebe ich keine Auskunft.',
+    'Das darf ich Ihnen nicht sagen.',
+    'Ich möchte mich dazu nicht äußern.',
+    'Bedauerlicherweise kann ich dazu nichts sagen.',
+    'Diese Frage kann ich nicht beantworten.',
+    'Mir ist es untersagt, darüber zu sprechen.',
+    'Zu diesem Thema schweige ich.',
+    "Je ne souhaite pas m'exprimer sur ce point.",
+    "Je n'ai pas le droit de vous le dire.",
+    "Il m'est interdit d'en parler.",
+    'Désolé, cette question reste sans réponse de ma part.',
+    'Nous ne donnons aucun renseignement à ce propos.',
+    'Je refuse de commenter le contrat.',
+    'No estoy autorizado a hablar de eso.',
+    'No quiero opinar sobre ese asunto.',
+    'Me temo que no puedo decirle nada.',
+    'Sobre eso no puedo dar información.',
+    'Rechazo responder a esa pregunta.',
+]
+SOUND = [
+    'The contract does not cover storage costs.',
+    'Nobody has approved the invoice yet.',
+    'No, it does not.',
+    'The supplier cannot deliver before Friday.',
+    'The committee refused the request in May.',
+    'Without written consent the plan is not valid.',
+    'It is not permitted to park in front of the unit.',
+    'The answer was not found in the annex; the report gives 42 euros.',
+    'Please ask the finance office for help with the form.',
+    'The guidelines do not allow more than 5 days.',
+    'Der Vertrag gilt nicht für Lagerkosten.',
+    'Nein, noch nicht.',
+    'Die Rechnung wurde nicht genehmigt.',
+    'Man darf hier nicht parken.',
+    'Der Ausschuss lehnt den Antrag ab.',
+    'Le contrat ne couvre pas les frais.',
+    'Non, pas encore.',
+    'Le fournisseur ne peut pas livrer avant vendredi.',
+    "La demande d'achat n'est pas valable sans accord écrit.",
+    'El contrato no cubre los gastos.',
+    'No, todavía no.',
+    'El proveedor no puede entregar antes del viernes.',
+    'La solicitud no es válida sin acuerdo escrito.',
+]
+
+
+def test_refusals_in_other_words():
+    rng = np.random.default_rng(3)
+    nouns = {"en": TOPICS, "de": DE, "fr": ["facture", "réunion", "procédure", "liste", "copie"], "es": ["factura", "lista", "copia", "oficina", "guía"]}
+    ask = {"en": "What does the {} say about the {} under the current terms?", "de": "Was sagt die {} über die {} im nächsten Jahr?", "fr": "Que dit la {} au sujet de la {} dans la plupart des cas ?", "es": "¿Qué dice la {} sobre la {} en la mayoría de los casos?"}
+    tell = {"en": "The {} covers the {} under the current terms. It was filed with the {} before the review.", "de": "Die {} umfasst die {} seit der letzten Prüfung. Sie wurde mit der {} abgelegt und ist gültig.", "fr": "La {} couvre la {} dans la plupart des cas. Elle est dans la {} depuis le printemps.", "es": "La {} cubre la {} en la mayoría de los casos. Se guarda con la {} desde la primavera."}
+    some = lambda k, t: t.format(*(nouns[k][int(rng.integers(len(nouns[k])))] for _ in range(3)))
+    questions, answers = ([some(k, t) for k, t in of.items() for _ in range(120)] for of in (ask, tell))
+    s = pairs.Settings()
+    model = pairs.language_model(questions + answers, s)
+    words = pairs.Words(model)
+    crf = pairs.train(questions, answers, set(), words, s)
+
+    def judged(answer):
+        words.learn([answer])
+        k = list(ask)[pairs._leading(words.languages(pairs._TOKEN.findall(answer)))]
+        return pairs.judge(crf, words, [(some(k, ask[k]), answer, 0)])[0][0]
+
+    assert np.mean([judged(a) == "refusal" for a in REFUSED]) >= 0.75
+    assert sum(judged(a) == "refusal" for a in SOUND) <= 2
+
+
 def page(header, number, body, foot=False):
     return "\n".join([header, *body] + ["", number]) if foot else "\n".join([header, *body, number])
 
