@@ -113,6 +113,12 @@ def seed_language(text: str) -> int | None:
     return best if n[best] >= 2 and sorted(n)[-2] <= 0.5 * n[best] else None
 
 
+def tokens_of(text: str) -> list[str]:
+    """The words as they stand, but for the first, whose capital says nothing."""
+    w = _TOKEN.findall(text)
+    return [w[0].lower() if not w[0].isupper() or len(w[0]) == 1 else w[0], *w[1:]] if w else w
+
+
 _NONE = (0.0,) * len(FUNCTION_WORDS)
 
 
@@ -126,7 +132,7 @@ class Words:
         """Score the new words of some texts, all at once; words with a capital are mostly names and do not count."""
         if self.model is None:
             return
-        new = {w for t in texts for w in _TOKEN.findall(t) if w not in self.seen and w.islower()}
+        new = {w for t in texts for c in clauses(t) for w in tokens_of(c) if w not in self.seen and w.islower()}
         if len(self.seen) + len(new) > self.most:
             self.seen.clear()
         new = sorted(new)
@@ -135,6 +141,10 @@ class Words:
             p = np.exp(self.model.log_probs(some))[:, [language.CODES.index(k) for k in FUNCTION_WORDS]]
             # A word that several languages may have says nothing.
             p = np.where(p >= 0.6, p, 0.0)
+            # Words of two or three letters have few n-grams; those that label the sample are known.
+            for i, w in enumerate(some):
+                if w in _SEED:
+                    p[i] = [float(k in _SEED[w]) / len(_SEED[w]) for k in range(len(FUNCTION_WORDS))]
             self.seen.update(zip(some, map(tuple, p.tolist())))
 
     def languages(self, words: list[str]) -> list[float]:
@@ -143,16 +153,21 @@ class Words:
 
 
 def language_model(texts: list[str], s: Settings) -> language.Model | None:
-    """The n-gram regression of problem 10, trained on messages whose function words are of one language."""
-    pieces, labels = [], []
+    """The n-gram regression of problem 10, trained on the words of messages whose function words are of one language."""
+    seen: dict[str, Counter] = {}
     for t in texts:
         k = seed_language(t)
         if k is not None:
-            pieces.append(t[:400])
-            labels.append(language.CODES.index(list(FUNCTION_WORDS)[k]))
-    if not pieces:
+            for w in {w for c in clauses(t) for w in tokens_of(c)}:
+                if w.islower():
+                    seen.setdefault(w, Counter())[k] += 1
+    # Words that several languages share teach nothing.
+    words = [(w, c.most_common(1)[0][0], min(c.total(), 20)) for w, c in sorted(seen.items()) if c.most_common(1)[0][1] >= 0.9 * c.total()]
+    if not words:
         return None
-    return language.train(pieces, np.array(labels), np.ones(language.BUCKETS), language.Settings(epochs=2))
+    pieces = [w for w, _, n in words for _ in range(n)]
+    labels = [language.CODES.index(list(FUNCTION_WORDS)[k]) for _, k, n in words for _ in range(n)]
+    return language.train(pieces, np.array(labels), np.ones(language.BUCKETS), language.Settings())
 
 
 def _leading(n: list[float]) -> int:
@@ -195,12 +210,13 @@ def features(question: str, answer: str, cites: int, supported: bool, words_: Wo
     q_low = question.lower()
     qw = _TOKEN.findall(q_low)
     q_join, q_set = " " + " ".join(qw) + " ", set(qw)
-    ql = words_.languages(_TOKEN.findall(question))
-    allowed = {_leading(ql)} if max(ql) > 0 else set()
+    ql = words_.languages(tokens_of(question))
+    # A question that several languages may have written allows each of them.
+    allowed = {i for i, v in enumerate(ql) if v > 0.6 * max(ql)}
     if _ASK.search(q_low):
         allowed |= {i for i, rx in enumerate(_ASKED.values()) if rx.search(q_low)}
     cs = clauses(answer)
-    raw = [_TOKEN.findall(c) for c in cs]
+    raw = [tokens_of(c) for c in cs]
     words = [[x.lower() for x in w] for w in raw]
     langs = [words_.languages(w) for w in raw]
     whole = [sum(k) for k in zip(*langs)] or list(_NONE)
@@ -267,7 +283,7 @@ def train(questions: list[str], answers: list[str], ends: set[str], words_: Word
     words_.learn(questions + answers)
     by: dict[int, list[str]] = {i: [] for i in range(len(FUNCTION_WORDS))}
     for q in questions:
-        n = words_.languages(_TOKEN.findall(q))
+        n = words_.languages(tokens_of(q))
         if max(n) >= 2 and not (_ASK.search(q.lower()) and any(rx.search(q.lower()) for rx in _ASKED.values())):
             by[_leading(n)].append(q)
     x, y = [], []
@@ -291,19 +307,23 @@ def train(questions: list[str], answers: list[str], ends: set[str], words_: Word
     def declining(lang: int, topic: list[str]) -> str:
         """A clause put together at random from the classes: many of them meet a negation, or the clause is little else."""
         neg = of["not" if rng.random() < 0.7 else "decline", lang]
-        kinds = ["speak"] if rng.random() < 0.25 else list(rng.permutation(["self", "may", "speak", "regret", "else"])[: int(rng.integers(3, 5))])
+        kinds = ["speak"] if (r := rng.random()) < 0.2 else ["self", "may"] if r < 0.4 else list(rng.permutation(["self", "may", "speak", "regret", "else"])[: int(rng.integers(3, 5))])
         some = [x[int(rng.integers(len(x)))] for x in [neg, *(of[k, lang] for k in kinds)] if x]
         about = topic[: 1 if len(kinds) == 1 else int(rng.integers(0, 4))]
         return " ".join([*rng.permutation(some), *about]).capitalize() + "."
 
     full = [b for b in by if by[b]]
-    # An unpunctuated text that several messages share is whole.
-    shared = {a for a, k in Counter(answers).items() if k > 1 and len(a.split()) <= 5 and last_word(a) is not None and re.search(r"[^\W_]", a)}
+    # A short text that several messages share is whole.
+    shared = {a for a, k in Counter(answers).items() if k > 1 and len(a.split()) <= 5 and re.search(r"[^\W_]", a)}
     openings = [" ".join(a.split()[:2]) + ": " for a in sorted(set(answers)) if len(a.split()) > 3]
     for a in sorted(set(answers)):
-        n = words_.languages(_TOKEN.findall(a))
+        n = words_.languages(tokens_of(a))
         lang = _leading(n)
-        if max(n) < 1 or lang not in full:
+        if a in shared:
+            for _ in range(12):
+                any_ = by[lang] if by[lang] and max(n) > 0 else questions
+                put(any_[int(rng.integers(len(any_)))] if any_ else "", a, lambda i, n: ANSWER)
+        if max(n) < 0.5 or lang not in full:
             continue
         pick = lambda k: by[k][int(rng.integers(len(by[k])))]
         q = pick(lang)
@@ -314,9 +334,6 @@ def train(questions: list[str], answers: list[str], ends: set[str], words_: Word
                 for _ in range(2):
                     put(pick(lang), a, lambda i, n: ANSWER)
             continue
-        if a in shared:
-            for _ in range(12):
-                put(pick(lang), a, lambda i, n: ANSWER)
         if done or "\n-" in a:
             put(q, a, lambda i, n: ANSWER)
             put(q, clauses(a)[0], lambda i, n: ANSWER)
@@ -326,15 +343,15 @@ def train(questions: list[str], answers: list[str], ends: set[str], words_: Word
             cut = a[: int(rng.integers(2 + len(a) // 3, max(len(a) - 1, 3 + len(a) // 3)))].rstrip()
             if 3 < len(cut) < len(a) - 1 and not re.search(r"[.!?]$", cut):
                 put(q, cut + ("..." if rng.random() < 0.15 else ""), lambda i, n: UNFINISHED if i == n - 1 else ANSWER)
-        if done and rng.random() < 0.5:
+        if done and rng.random() < 0.8:
             topic = [w for w in _TOKEN.findall(q) if len(w) > 3]
             if of["not", lang] and of["speak", lang]:
                 parts = [(declining(lang, topic), REFUSAL)]
                 # Thanks before, or an offer after it.
                 one = lambda k: [str(rng.choice(of[k, lang]))] if of[k, lang] else []
-                if rng.random() < 0.3 and (thanks := one("thanks")):
+                if rng.random() < 0.5 and (thanks := one("thanks")):
                     parts.insert(0, (" ".join([*thanks, *one("self"), *one("asked")][: int(rng.integers(1, 4))]).capitalize() + ".", COURTESY))
-                if rng.random() < 0.3 and (offer := [*one("else"), *one("speak"), *one("self")]):
+                if rng.random() < 0.5 and (offer := [*one("else"), *one("speak"), *one("self")]):
                     parts.append((" ".join(offer).capitalize() + "?", COURTESY))
                 put(q, " ".join(t for t, _ in parts), lambda i, n, p=parts: p[min(i, len(p) - 1)][1], False)
                 # A negation and a word of another class within a long answer decline nothing.
