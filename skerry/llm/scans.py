@@ -11,8 +11,11 @@ all lines of a document.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,11 +29,12 @@ _HYPHENS = "\\-\u00ac\u00ad\u2010"
 
 @dataclass
 class Settings:
-    """A form is misread if another of its skeleton is `ratio` times as frequent; past `sure` times it needs no neighbour."""
+    """A form is misread if another of its skeleton is `ratio` times as frequent; past `sure` times it needs no neighbour. Bitmaps have `slots` bits."""
 
     ratio: int = 8
     least: int = 4
     sure: int = 400
+    slots: int = 1 << 24
 
 
 def skeleton(c: Column) -> Column:
@@ -74,8 +78,9 @@ def page_lines(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     first = pages.groupBy("doc_id").agg(F.min("page_number").alias("first"))
     lines = lines.join(known, ["doc_id", "mask"], "left").join(first, "doc_id", "left")
     core = F.lower(F.regexp_extract("t", r"(?i)^[^\p{L}\p{N}]*(?:(?:page|seite|página|pagina|pág\.?|pag\.?|p\.|s\.|blad)\s*)?([0-9lOI]{1,6}|[ivxlc]{1,9})\s*(?:(?:/|of|sur|von|de|di|van)\s*[0-9lOI]+)?[^\p{L}\p{N}]*$", 1))
-    digits = F.translate(core, "lio", "110")
     beside = F.coalesce(F.nullif(F.regexp_extract("t", r"^(\d{1,6})\s{2,}\S", 1), F.lit("")), F.nullif(F.regexp_extract("t", r"\S\s{2,}(\d{1,6})$", 1), F.lit("")))
+    lines = lines.withColumn("core", F.when(F.col("edge"), core))
+    core, digits = F.col("core"), F.translate("core", "lio", "110")
     shown = [F.col("page"), F.col("page") - F.col("first") + 1]
     whole = F.lit(False)
     for n in shown:
@@ -103,15 +108,50 @@ def _joined_lines(lines: DataFrame) -> DataFrame:
     )
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each token stands in a partition's texts; counts go out whenever there are many different ones."""
+    held: list[pa.Table] = []
+
+    def summed() -> pa.Table:
+        t = pa.concat_tables(held).group_by("w").aggregate([("m", "sum")])
+        return t.rename_columns(["w", "m"]).select(["w", "m"])
+
+    for b in batches:
+        flat = pc.list_flatten(pc.ascii_split_whitespace(b.column("content")))
+        n = pc.value_counts(flat)
+        held.append(pa.table({"w": n.field("values").cast(pa.string()), "m": n.field("counts")}))
+        if sum(t.num_rows for t in held) > 1_000_000:
+            held = [summed()]
+            if held[0].num_rows > 500_000:
+                yield from held[0].combine_chunks().to_batches()
+                held = []
+    if held:
+        yield from summed().combine_chunks().to_batches()
+
+
 def vocabulary(chunks: DataFrame) -> DataFrame:
     """(word, n): lower-case tokens of all chunk texts without outer punctuation.
 
     Tokens are counted as they stand first, so that only distinct ones go
     through regular expressions.
     """
-    flat = F.translate("content", "\t\n\x0b\x0c\r", "     ")
-    raw = chunks.where("content is not null").select(F.explode(F.split(flat, " ")).alias("w")).groupBy("w").agg(F.count("*").alias("m"))
-    return raw.select(F.lower(_bare(F.col("w"))).alias("word"), "m").where("word <> '' and length(word) <= 60").groupBy("word").agg(F.sum("m").alias("n"))
+    raw = chunks.where("content is not null").select("content").mapInArrow(_counted, "w string, m bigint").groupBy("w").agg(F.sum("m").alias("m"))
+    return raw.select(F.lower(_bare(F.col("w"))).alias("word"), "m").where("word <> ''").groupBy("word").agg(F.sum("m").alias("n"))
+
+
+def _slots(keys: DataFrame, key: Column, slots: int) -> DataFrame:
+    """A bitmap of hashed keys, (slot, bits): at most slots / 64 rows, however many keys there are."""
+    h = F.pmod(key, F.lit(slots))
+    bit = F.expr("shiftleft(1L, cast(h % 64 as int))")
+    rows = keys.select(h.alias("h")).select(F.expr("h div 64").alias("slot"), bit.alias("b"))
+    return rows.groupBy("slot").agg(F.bit_or("b").alias("bits"))
+
+
+def _maybe(rows: DataFrame, key: Column, keys: DataFrame, slots: int) -> DataFrame:
+    """rows whose key may be among keys, by a broadcast bitmap, before anything is shuffled."""
+    r = rows.withColumn("_h", F.pmod(key, F.lit(slots)))
+    hit = r.join(F.broadcast(keys), F.expr("_h div 64") == F.col("slot"))
+    return hit.where("shiftright(bits, cast(_h % 64 as int)) & 1 = 1").drop("_h", "slot", "bits")
 
 
 def _divided(body: DataFrame, words: DataFrame) -> DataFrame:
@@ -134,34 +174,50 @@ def _divided(body: DataFrame, words: DataFrame) -> DataFrame:
 
 def _odd(w: Column) -> Column:
     """A digit or sign among letters, or a letter among digits, as no word or code has it."""
-    word = w.rlike(r"^[\p{L}'’\-]*(?:\p{L}[0158|$@!]|[0158|$@]\p{L})[\p{L}'’\-0158|$@!]*$") & (F.length(F.regexp_replace(w, r"[^\p{L}]", "")) >= 2) & ~w.rlike(r"^@\p{Lu}|^\p{Lu}{1,4}\d+$|^\d+\p{L}{1,2}$|\d{3}") & (F.length(w) <= 30)
+    word = w.rlike(r"^[\p{L}'’\-]*(?:\p{L}[0158|$@!]|[0158|$@]\p{L})[\p{L}'’\-0158|$@!]*$") & (F.length(F.regexp_replace(w, r"[^\p{L}]", "")) >= 2) & ~w.rlike(r"^@\p{Lu}|^\p{Lu}{1,4}\d+$|^\d+\p{L}{1,2}$|\d{3}")
     number = w.rlike(r"^[\dlOoIS.,/:\-]+$") & w.rlike(r"\d") & w.rlike(r"[lOoIS]") & ~w.rlike(r"^[IS]\d+$|\d[oS]$")
     code = w.rlike(r"^\p{Lu}{2,4}-?\d*[lO][\dlO\-]*$") & w.rlike(r"\d")
     return word | number | code
 
 
-def _misread(chunks: DataFrame, body: DataFrame, divided: DataFrame, words: DataFrame, s: Settings) -> DataFrame:
-    """Occurrences of wrongly recognised words: (id, line_no, place, word, right), right null where no form is supported."""
-    mark = divided.select("id", "line_no", F.lit(True).alias("cut"))
-    tokens = body.join(mark, ["id", "line_no"], "left")
+def _tokens(body: DataFrame, divided: DataFrame) -> DataFrame:
+    """(id, line_no, place, word, before, after, part) of the body's tokens: neighbours on the line in lower case, `part` for a part of a divided word."""
+    mark = divided.select("id", "line_no", F.lit(True).alias("cut")).distinct()
+    rows = body.join(mark, ["id", "line_no"], "left")
     after = Window.partitionBy("id").orderBy("line_no")
-    tokens = tokens.withColumn("cont", F.coalesce(F.lag("cut").over(after), F.col("prev").rlike(rf"[{_HYPHENS}]$"), F.lit(False)))
-    ws = F.split("t", r"\s+")
-    tokens = tokens.select("id", "line_no", "cut", "cont", F.size(ws).alias("size"), F.posexplode(F.transform(ws, _bare)).alias("place", "word"), ws.alias("ws"))
-    near = lambda d: F.lower(_bare(F.get("ws", F.col("place") + d)))
-    tokens = tokens.select("id", "line_no", "place", "word", F.lower("word").alias("w"), near(-1).alias("before"), near(1).alias("after"), ((F.col("place") == 0) & F.col("cont") | (F.col("place") == F.col("size") - 1) & F.coalesce("cut", F.lit(False))).alias("part")).where("word <> ''")
+    rows = rows.withColumn("cont", F.coalesce(F.lag("cut").over(after), F.col("prev").rlike(rf"[{_HYPHENS}]$"), F.lit(False)))
+    rows = rows.select("id", "line_no", F.coalesce("cut", F.lit(False)).alias("cut"), "cont", F.transform(F.split("t", r"\s+"), _bare).alias("ws"))
+    rows = rows.select("id", "line_no", "cut", "cont", "ws", F.posexplode("ws").alias("place", "word")).where("word <> ''")
+    near = lambda d: F.lower(F.get("ws", F.col("place") + d))
+    part = (F.col("place") == 0) & F.col("cont") | (F.col("place") == F.size("ws") - 1) & F.col("cut")
+    return rows.select("id", "line_no", "place", "word", near(-1).alias("before"), near(1).alias("after"), part.alias("part"))
+
+
+def _misread(body: DataFrame, divided: DataFrame, words: DataFrame, s: Settings) -> DataFrame:
+    """Occurrences of wrongly recognised words: (id, line_no, place, word, right), right null where no form is supported.
+
+    Frequent words are never shuffled for what only rare ones need: a bitmap
+    of the forms, and one of the word pairs that could support them, thin the
+    tokens out first.
+    """
+    tokens = materialise(_tokens(body, divided), "tokens").withColumn("w", F.lower("word"))
     best = words.where(r"word rlike '^[\\p{L}\'’-]+$'").groupBy(skeleton(F.col("word")).alias("skel")).agg(F.max_by("word", F.struct("n", "word")).alias("right"), F.max("n").alias("n_right"))
     forms = words.withColumn("skel", skeleton(F.col("word"))).join(best, "skel").where(f"word <> right and n_right >= {s.least} and n_right >= {s.ratio} * n and length(word) >= 2")
-    forms = forms.select(F.col("word").alias("w"), "right", "n_right", "n")
-    hits = tokens.join(forms, "w").where("not part")
-    pairs = tokens.where("before <> ''").groupBy("before", "w").agg(F.count("*").alias("m"))
-    left = pairs.select("before", F.col("w").alias("right"), F.col("m").alias("m1"))
-    right = pairs.select(F.col("before").alias("right"), F.col("w").alias("after"), F.col("m").alias("m2"))
+    forms = materialise(forms.select(F.col("word").alias("w"), "right", "n_right", "n"), "forms")
+    hits = _maybe(tokens.where("not part"), F.xxhash64("w"), _slots(forms, F.xxhash64("w"), s.slots), s.slots).join(forms, "w")
+    hits = materialise(hits, "hits")
+    wanted = hits.select(F.col("before").alias("x"), F.col("right").alias("y")).unionByName(hits.select(F.col("right").alias("x"), F.col("after").alias("y"))).where("x <> '' and y <> ''").distinct()
+    wanted = materialise(wanted, "wanted")
+    told = _maybe(tokens.where("before <> ''").select(F.col("before").alias("x"), F.col("w").alias("y")), F.xxhash64("x", "y"), _slots(wanted, F.xxhash64("x", "y"), s.slots), s.slots)
+    pairs = materialise(told.groupBy("x", "y").agg(F.count("*").alias("m")).join(wanted, ["x", "y"], "left_semi"), "pairs")
+    left = pairs.select(F.col("x").alias("before"), F.col("y").alias("right"), F.col("m").alias("m1"))
+    right = pairs.select(F.col("x").alias("right"), F.col("y").alias("after"), F.col("m").alias("m2"))
     hits = hits.join(left, ["before", "right"], "left").join(right, ["right", "after"], "left")
     backed = (F.coalesce("m1", F.lit(0)) + F.coalesce("m2", F.lit(0)) > 0) | (F.col("n_right") >= s.sure * F.col("n"))
-    strange = _odd(F.col("word"))
-    good = hits.where(backed | strange).select("id", "line_no", "place", "word", "right")
-    plain = tokens.where(strange).join(good.select("id", "line_no", "place"), ["id", "line_no", "place"], "left_anti").select("id", "line_no", "place", "word", F.lit(None).cast("string").alias("right"))
+    good = hits.where(backed | _odd(F.col("word"))).select("id", "line_no", "place", "word", "right")
+    # Of the tokens only those with a sign or digit, or a capital I, l, O or S among digits, can be odd.
+    some = tokens.where(F.col("word").rlike(r"[\d|$@!]") & _odd(F.col("word"))).select("id", "line_no", "place", "word")
+    plain = some.join(good.select("id", "line_no", "place"), ["id", "line_no", "place"], "left_anti").select("id", "line_no", "place", "word", F.lit(None).cast("string").alias("right"))
     return good.unionByName(plain)
 
 
@@ -171,7 +227,7 @@ def _parts(chunks: DataFrame, documents: DataFrame, s: Settings) -> tuple[DataFr
     body = materialise(_joined_lines(lines), "body")
     words = materialise(vocabulary(chunks), "words")
     divided = materialise(_divided(body, words), "divided")
-    return lines, body, divided, _misread(chunks, body, divided, words, s)
+    return lines, body, divided, _misread(body, divided, words, s)
 
 
 def scan_defects(chunks: DataFrame, documents: DataFrame, settings: Settings | None = None) -> DataFrame:
