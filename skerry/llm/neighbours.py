@@ -6,10 +6,13 @@ vector is sent once to the block of its own cell, and to those further blocks
 that hold cells it has to probe. A task holds one block, scores codes with
 asymmetric distance tables, and reranks the best candidates in double
 precision on the spot, so full vectors are shuffled once per block they
-matter to. Cells that outgrow a block are spread over several by id. Copies of
-a vector are found over all rows; the one of the least id is indexed and
-brings the k + 1 least ids of its group along, which stand for the group
-wherever it is found, and all copies share what it finds.
+matter to. The sample bounds the number of cells; a cell that grows beyond
+`fat` vectors is cut further by centroids fitted where it is held, and a query
+looks only into the finer cells near it, so that what is done for a vector
+grows far slower than their number. Copies of a vector are found over all rows;
+the one of the least id is indexed and brings the k + 1 least ids of its group
+along, which stand for the group wherever it is found, and all copies share
+what it finds.
 """
 
 from __future__ import annotations
@@ -31,14 +34,19 @@ Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 @dataclass
 class Settings:
-    """Parameters of the index; the fit sees at most `sample` vectors of a model."""
+    """Parameters of the index; the fit sees at most `sample` vectors of a model and about `samples` of all.
+
+    With `exact` every vector meets every other of its model, in blocks, and
+    the result is the exact one: work grows with the square of the rows.
+    """
 
     dim: int = 96
     k: int = 5
     sample: int = 24_000
+    samples: int = 200_000
     per_cell: int = 128
-    cells: int = 16_384
-    probes: int = 12
+    fat: int = 1_024
+    probes: int = 24
     parts: int = 24
     codes: int = 256
     rerank: int = 96
@@ -47,6 +55,7 @@ class Settings:
     asked: int = 6_000
     missed: float = 0.002
     models: int = 256
+    exact: bool = False
 
 
 @dataclass
@@ -57,7 +66,6 @@ class Index:
     books: np.ndarray
     margin: float
     block_of: np.ndarray
-    spread: np.ndarray
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -88,7 +96,7 @@ def fit(raw: np.ndarray, total: int, s: Settings, seed: int = 7) -> Index:
     """Fit cells, residual codebooks, probing bounds and blocks on a sample of `total` vectors."""
     rng = np.random.default_rng(seed)
     x = unit(raw.astype(np.float64)).astype(np.float32)
-    k = int(min(max(1, math.ceil(total / s.per_cell)), s.cells, max(1, len(x) // 8)))
+    k = int(min(max(1, math.ceil(total / s.per_cell)), max(1, len(x) // 8)))
     c = kmeans(x, k, s.rounds, rng)
     k = len(c)
     d = np.maximum(0, 1 + (c * c).sum(1)[None] - 2 * (x @ c.T))
@@ -104,24 +112,25 @@ def fit(raw: np.ndarray, total: int, s: Settings, seed: int = 7) -> Index:
         books[p, : len(b)] = b
         books[p, len(b) :] = b[0]
     size = np.bincount(own, minlength=k) * (total / len(x))
-    spread = np.maximum(1, np.ceil(size / s.block)).astype(np.int64)
+    # A cell of more than a block is a block by itself.
     group = kmeans(c, max(1, math.ceil(2 * total / s.block)), 6, rng)
     of = ((group * group).sum(1)[None] - 2 * (c @ group.T)).argmin(1)
     block_of = np.full(k, -1, np.int64)
     loads: list[float] = []
-    for j in np.flatnonzero(spread > 1):
-        block_of[j] = len(loads)
-        loads += [math.inf] * int(spread[j])
-    for g in sorted(range(len(group)), key=lambda g: -size[(of == g) & (spread == 1)].sum()):
-        todo = np.flatnonzero((of == g) & (spread == 1))
+    for g in sorted(range(len(group)), key=lambda g: -size[of == g].sum()):
+        todo = np.flatnonzero(of == g)
+        mine: list[int] = []
         for j in todo[np.argsort(-(c[todo] @ group[g]))]:
-            prefer = [block_of[i] for i in todo if block_of[i] >= 0]
-            at = next((b for b in (*dict.fromkeys(prefer[::-1]), *range(len(loads))) if loads[b] + size[j] <= s.block), len(loads))
+            at = next((b for b in mine[::-1] if loads[b] + size[j] <= s.block), None)
+            if at is None:
+                # The last ones of other groups may still have room.
+                at = next((b for b in range(max(0, len(loads) - 64), len(loads)) if loads[b] + size[j] <= s.block), len(loads))
+                mine.append(at)
             if at == len(loads):
                 loads.append(0.0)
             block_of[j] = at
             loads[at] += size[j]
-    return Index(c, books, margin, block_of, spread)
+    return Index(c, books, math.inf if s.exact else margin, block_of)
 
 
 def _margin(x: np.ndarray, c: np.ndarray, own: np.ndarray, s: Settings, rng: np.random.Generator) -> float:
@@ -177,7 +186,7 @@ def probe_cells(x: np.ndarray, ix: Index, s: Settings) -> tuple[np.ndarray, np.n
     one by more than the fitted margin.
     """
     d = np.maximum(0, 1 + (ix.centroids * ix.centroids).sum(1)[None] - 2 * (x @ ix.centroids.T))
-    n = min(s.probes, d.shape[1])
+    n = d.shape[1] if s.exact else min(s.probes, d.shape[1])
     near = np.argpartition(d, n - 1, axis=1)[:, :n]
     dn = np.take_along_axis(d, near, 1)
     order = np.argsort(dn, axis=1)
@@ -204,21 +213,20 @@ def _assign(shared, s: Settings) -> Batches:
                     rows = mine[lo : lo + 2048]
                     x = unit(raw[rows].astype(np.float64)).astype(np.float32)
                     own, probes = probe_cells(x, ix, s)
-                    here = ix.block_of[own] + np.where(ix.spread[own] > 1, ids[rows].astype(np.int64) % ix.spread[own], 0)
-                    out: list[tuple[int, int, int, list[int]]] = []
-                    for i in range(len(rows)):
-                        to: dict[int, list[int]] = {int(here[i]): []}
-                        for cell in probes[i][probes[i] >= 0].tolist():
-                            first = int(ix.block_of[cell])
-                            for part in range(int(ix.spread[cell])):
-                                to.setdefault(first + part, []).append(cell)
-                        out += [(i, blk, int(own[i]) if blk == here[i] else -1, cells) for blk, cells in to.items()]
-                    take = pa.array([rows[o[0]] for o in out])
+                    row, place = np.nonzero(probes >= 0)
+                    cell = probes[row, place]
+                    blk = ix.block_of[cell]
+                    order = np.lexsort((place, blk, row))
+                    row, cell, blk = row[order], cell[order], blk[order]
+                    starts = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (blk[1:] != blk[:-1])]))
+                    who, to = row[starts], blk[starts]
+                    take = pa.array(rows[who])
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([labels[model][o[1]] for o in out], pa.int32()), pa.array([model] * len(out), pa.string()),
-                            pa.array(ids, pa.int64()).take(take), _binary(raw[[rows[o[0]] for o in out]]),
-                            pa.array([o[2] for o in out], pa.int32()), pa.array([o[3] for o in out], pa.list_(pa.int32())), b.column("heads").take(take),
+                            pa.array(labels[model][to].astype(np.int32)), pa.array([model] * len(to), pa.string()),
+                            pa.array(ids, pa.int64()).take(take), _binary(raw[rows[who]]),
+                            pa.array(np.where(to == ix.block_of[own[who]], own[who], -1).astype(np.int32)),
+                            pa.ListArray.from_arrays(pa.array(np.append(starts, len(row)).astype(np.int32)), pa.array(cell.astype(np.int32))), b.column("heads").take(take),
                         ],
                         names=["block", "model", "chunk_id", "v", "own", "probes", "heads"],
                     )
@@ -226,69 +234,130 @@ def _assign(shared, s: Settings) -> Batches:
     return run
 
 
-def search_block(ids: np.ndarray, raw: np.ndarray, own: np.ndarray, probes: list[np.ndarray], ix: Index, s: Settings) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _finer(x: np.ndarray, s: Settings, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """Centroids of a fat cell, each vector's one, how far that is at most, and how much farther those of its neighbours are, but for `missed`."""
+    k = math.ceil(len(x) / s.per_cell)
+    picked = x[rng.permutation(len(x))[: 16 * k]]
+    c = kmeans(picked, k, 4, rng)
+    own = np.concatenate([((c * c).sum(1)[None] - 2 * (x[lo : lo + 4096] @ c.T)).argmin(1) for lo in range(0, len(x), 4096)])
+    ask = rng.permutation(len(x))[:500]
+    # Only the k-th nearest of a thinned cell, which is farther away than that of the whole: the margin is on the safe side.
+    among = rng.permutation(len(x))[:20_000]
+    near = among[np.argpartition(-(x[ask] @ x[among].T), s.k, axis=1)[:, : s.k + 1]]
+    d = np.sqrt(np.maximum(0, (x[ask] * x[ask]).sum(1)[:, None] + (c * c).sum(1)[None] - 2 * (x[ask] @ c.T)))
+    gap = np.take_along_axis(d, own[near], 1) - d.min(1, keepdims=True)
+    return c, own, float(np.quantile(d.min(1), 1 - s.missed)), float(np.quantile(gap, 1 - s.missed))
+
+
+def search_block(ids: np.ndarray, raw: np.ndarray, own: np.ndarray, probes: tuple[np.ndarray, np.ndarray], ix: Index, s: Settings, scored: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For the vectors of one block: (query places, neighbour places, cosines), k at most for a query.
 
-    Rows with own >= 0 are the block's members; every row with probes is a
-    query. Codes are scored by asymmetric distance tables, the `rerank` best
-    then exactly.
+    Rows with own >= 0 are the block's members; every row with probes (cells,
+    and where each row's begin) is a query. Codes are scored by asymmetric
+    distance tables, the `rerank` best then exactly. `scored` collects the
+    number of codes scored.
     """
+    rng = np.random.default_rng(13)
     x64 = raw.astype(np.float64)
     x64 /= np.linalg.norm(x64, axis=1, keepdims=True)
     x = x64.astype(np.float32)
     parts, m, width = ix.books.shape
     members = np.flatnonzero(own >= 0)
     members = members[np.argsort(own[members], kind="stable")]
-    rest = (x[members] - ix.centroids[own[members]]).reshape(-1, parts, width)
+    cells, first = np.unique(own[members], return_index=True)
+    last = np.append(first[1:], len(members))
+    # Finer cells: of each cell the centroids it is cut by, itself if it is small.
+    centres, span, within_, at = [], [], {}, 0
+    for c, i, j in zip(cells.tolist(), first.tolist(), last.tolist()):
+        if j - i > s.fat and not s.exact:
+            fine, of, far, margin = _finer(x[members[i:j]], s, rng)
+            order = np.argsort(of, kind="stable")
+            members[i:j] = members[i:j][order]
+            ends = np.cumsum(np.bincount(of, minlength=len(fine))) + i
+            span += list(zip(np.append(i, ends[:-1]).tolist(), ends.tolist()))
+        else:
+            fine, far, margin = ix.centroids[c : c + 1], 0.0, 0.0
+            span.append((i, j))
+        within_[c] = (at, fine, far, margin)
+        centres.append(fine)
+        at += len(fine)
+    if not centres:
+        return
+    sizes = np.array([j - i for i, j in span])
+    centre = np.concatenate(centres).astype(np.float32)
+    of_row = np.repeat(np.arange(len(span)), sizes)
+    rest = (x[members] - centre[of_row]).reshape(-1, parts, width)
     codes = np.empty((len(members), parts), np.int64)
     half = (ix.books**2).sum(2) / 2
+    made = centre[of_row]
     for p in range(parts):
         codes[:, p] = (rest[:, p] @ ix.books[p].T - half[p]).argmax(1)
-    made = ix.centroids[own[members]].copy()
-    for p in range(parts):
         made[:, p * width : (p + 1) * width] += ix.books[p][codes[:, p]]
     shift = (made * made).sum(1) / 2
-    cells, first = np.unique(own[members], return_index=True)
-    last = np.append(first[1:], len(members))
-    span = {int(c): (int(i), int(j)) for c, i, j in zip(cells, first, last)}
-    queries = np.array([i for i in range(len(ids)) if len(probes[i])], np.int64)
-    lead = np.array([probes[i][0] for i in queries], np.int64)
-    queries = queries[np.argsort(lead, kind="stable")]
+    cell, begin = probes
+    count = np.diff(begin)
+    queries = np.flatnonzero(count > 0)
+    queries = queries[np.argsort(cell[begin[queries]], kind="stable")]
+    rerank = len(members) if s.exact else s.rerank
     for lo in range(0, len(queries), 256):
         q = queries[lo : lo + 256]
         table = np.matmul(ix.books, x[q].reshape(-1, parts, width).transpose(1, 2, 0))  # parts, codes, queries
-        wanted: dict[int, list[int]] = {}
-        for j, i in enumerate(q):
-            for c in probes[i]:
-                if int(c) in span:
-                    wanted.setdefault(int(c), []).append(j)
+        n = count[q]
+        who = np.repeat(np.arange(len(q)), n)
+        asked = cell[np.repeat(begin[q] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        order = np.argsort(asked, kind="stable")
+        who, asked = who[order], asked[order]
+        edge = np.flatnonzero(np.concatenate([[True], asked[1:] != asked[:-1], [True]]))
+        wanted: list[tuple[int, np.ndarray]] = []
+        for i, j in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            held = within_.get(int(asked[i]))
+            if held is None:
+                continue
+            start, fine, far, margin = held
+            cols = who[i:j]
+            if len(fine) == 1:
+                wanted.append((start, cols))
+                continue
+            d = np.sqrt(np.maximum(0, 1 + (fine * fine).sum(1)[None] - 2 * (x[q[cols]] @ fine.T)))
+            # All within the margin, and in a query's own cell as many as hold twice the vectors that are reranked.
+            by = np.argsort(d, axis=1)
+            filled = np.cumsum(sizes[start : start + len(fine)][by], axis=1) >= 2 * s.rerank
+            last_ = np.where(filled.any(1), filled.argmax(1), len(fine) - 1)
+            reach = np.take_along_axis(d, np.take_along_axis(by, last_[:, None], 1), 1)
+            home = (own[q[cols]] == asked[i])[:, None]
+            # A query from another cell is no farther from its own finer centroid than the cell's vectors are from theirs.
+            near = d <= np.where(home, np.maximum(d.min(1, keepdims=True) + margin, reach), np.minimum(d.min(1, keepdims=True), far) + margin)
+            wanted += [(start + f, cols[near[:, f]]) for f in np.flatnonzero(near.any(0)).tolist()]
+        wanted = [(f, cols) for f, cols in wanted if span[f][1] > span[f][0]]
         if not wanted:
             continue
-        rows = np.concatenate([np.arange(*span[c]) for c in wanted])
+        rows = np.concatenate([np.arange(*span[f]) for f, _ in wanted])
         score = np.full((len(rows), len(q)), -np.inf, np.float32)
         at = 0
-        for c, cols in wanted.items():
-            i, j = span[c]
-            if len(cols) * 2 < len(q):
-                t, dots = table[:, :, cols], x[q[cols]] @ ix.centroids[c]
-            else:
-                t, dots = table, x[q] @ ix.centroids[c]
+        for f, cols in wanted:
+            i, j = span[f]
+            some = len(cols) * 2 < len(q)
+            t, dots = (table[:, :, cols], x[q[cols]] @ centre[f]) if some else (table, x[q] @ centre[f])
             acc = np.take(t[0], codes[i:j, 0], axis=0)
             for p in range(1, parts):
                 acc += np.take(t[p], codes[i:j, p], axis=0)
             acc += dots[None]
             acc -= shift[i:j, None]
-            score[at : at + j - i, cols] = acc if len(cols) * 2 < len(q) else acc[:, cols]
+            score[at : at + j - i, cols] = acc if some else acc[:, cols]
             at += j - i
-        best = np.argpartition(-score, min(s.rerank, len(rows)) - 1, axis=0)[: s.rerank].T if len(rows) > s.rerank else np.tile(np.arange(len(rows)), (len(q), 1))
+            if scored is not None:
+                scored.append((j - i) * len(cols))
+        best = np.argpartition(-score, min(rerank, len(rows)) - 1, axis=0)[:rerank].T if len(rows) > rerank else np.tile(np.arange(len(rows)), (len(q), 1))
         good = np.isfinite(np.take_along_axis(score.T, best, 1))
-        cand = members[rows[best]]
-        cos = np.einsum("qrd,qd->qr", x64[cand], x64[q])
-        cos[~good | (ids[cand] == ids[q][:, None])] = -np.inf
-        top = np.lexsort((ids[cand], -cos), axis=1)[:, : s.k]
-        cos, who = np.take_along_axis(cos, top, 1), np.take_along_axis(cand, top, 1)
-        ok = np.isfinite(cos)
-        yield np.repeat(q, ok.sum(1)), who[ok], cos[ok]
+        step = max(1, (1 << 19) // max(best.shape[1], 1))
+        for a in range(0, len(q), step):
+            cand, mine = members[rows[best[a : a + step]]], q[a : a + step]
+            cos = np.einsum("qrd,qd->qr", x64[cand], x64[mine])
+            cos[~good[a : a + step] | (ids[cand] == ids[mine][:, None])] = -np.inf
+            top = np.lexsort((ids[cand], -cos), axis=1)[:, : s.k]
+            cos, who_ = np.take_along_axis(cos, top, 1), np.take_along_axis(cand, top, 1)
+            ok = np.isfinite(cos)
+            yield np.repeat(mine, ok.sum(1)), who_[ok], cos[ok]
 
 
 _FOUND = "model string, chunk_id bigint, neighbour bigint, cosine double"
@@ -304,8 +373,10 @@ def _search(shared, s: Settings) -> Callable[[pa.Table], pa.Table]:
         # Repeated rows of a vector have come to the same blocks and count once.
         _, once = np.unique(np.rec.fromarrays([ids, np.array([hash(r.tobytes()) for r in raw], np.int64)]), return_index=True)
         ids, own = ids[once], t.column("own").to_numpy()[once]
-        lists, heads = t.column("probes").to_pylist(), t.column("heads").to_pylist()
-        parts = list(search_block(ids, raw[once], own, [np.array(lists[i], np.int64) for i in once], shared.value[0][model], s))
+        lists, heads = t.column("probes").combine_chunks().take(pa.array(once)), t.column("heads").to_pylist()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        probes = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        parts = list(search_block(ids, raw[once], own, probes, shared.value[0][model], s))
         q, n, c = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(3))
         # A vector that stands for its copies is all of its heads, and finds them itself in its own block.
         groups = [np.array(heads[i] or [int(x)], np.int64) for i, x in zip(once, ids)]
@@ -351,8 +422,9 @@ def nearest_neighbours(vectors: DataFrame, settings: Settings | None = None) ->
     counts = {r.model: r.n for r in rows.groupBy("model").agg(F.count("*").alias("n")).limit(s.models + 1).collect()}
     if len(counts) > s.models:
         raise ValueError(f"more than {s.models} models")
-    # About `sample` rows of each model, chosen by a hash of the id.
-    rate = F.coalesce(*[F.when(F.col("model") == m, F.lit(min(1.0, s.sample / n))) for m, n in sorted(counts.items())], F.lit(0.0))
+    # About `sample` rows of each model, fewer if there are many models, chosen by a hash of the id.
+    most = min(s.sample, max(1_000, s.samples // max(len(counts), 1)))
+    rate = F.coalesce(*[F.when(F.col("model") == m, F.lit(min(1.0, most / n))) for m, n in sorted(counts.items())], F.lit(0.0))
     chosen = rows.where(F.pmod(F.xxhash64("chunk_id"), F.lit(1 << 20)) < rate * (1 << 20))
     sample = chosen.mapInArrow(_sampled(s.dim), "model string, chunk_id bigint, v binary").toArrow() if counts else None
     indexes: dict[str, Index] = {}
@@ -360,13 +432,13 @@ def nearest_neighbours(vectors: DataFrame, settings: Settings | None = None) ->
     for m in sorted(counts):
         mine = sample.filter(pc.equal(sample.column("model"), m))
         if not mine.num_rows:
-            if rate is not None and counts[m] > s.sample:
+            if counts[m] > most:
                 raise RuntimeError(f"no usable vector in the sample of {m}")
             continue
         raw = np.frombuffer(b"".join(mine.column("v").to_pylist()), np.float32).reshape(mine.num_rows, s.dim)
         keep = np.unique(raw, axis=0)
         indexes[m] = fit(keep, counts[m], s)
-        blocks[m] = int((indexes[m].block_of + indexes[m].spread).max())
+        blocks[m] = int(indexes[m].block_of.max()) + 1
     if not indexes:
         return spark.createDataFrame([], _FOUND + ", rank int")
     packed = rows.mapInArrow(_sampled(s.dim), "model string, chunk_id bigint, v binary")
@@ -384,19 +456,24 @@ def nearest_neighbours(vectors: DataFrame, settings: Settings | None = None) ->
     return out.select("model", "chunk_id", F.col("n.neighbour").alias("neighbour"), (-F.col("n.d")).alias("cosine"), (F.col("pos") + 1).alias("rank"))
 
 
-def _labels(rows: DataFrame, blocks: dict[str, int]) -> dict[str, list[int]]:
-    """A number for each block of each model, so that the hash partitioning of a shuffle gives every task as many blocks."""
+def _labels(rows: DataFrame, blocks: dict[str, int], few: int = 10_000) -> dict[str, np.ndarray]:
+    """A number for each block of each model, so that the hash partitioning of a shuffle gives every task as many blocks.
+
+    Many blocks need no such care: beyond `few` they are numbered in order.
+    """
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = sum(blocks.values())
-    tried = spark.range(4 * max(total, parts) + 16).select(F.col("id").cast("int").alias("n"))
-    held: dict[int, list[int]] = {}
-    for r in tried.select("n", F.pmod(F.hash("n"), F.lit(parts)).alias("p")).collect():
-        held.setdefault(r.p, []).append(r.n)
-    turns = [held[p][i] for i in range(max(map(len, held.values()))) for p in sorted(held) if i < len(held[p])]
+    turns = list(range(total))
+    if total <= few:
+        tried = spark.range(4 * max(total, parts) + 16).select(F.col("id").cast("int").alias("n"))
+        held: dict[int, list[int]] = {}
+        for r in tried.select("n", F.pmod(F.hash("n"), F.lit(parts)).alias("p")).collect():
+            held.setdefault(r.p, []).append(r.n)
+        turns = [held[p][i] for i in range(max(map(len, held.values()))) for p in sorted(held) if i < len(held[p])]
     out, at = {}, 0
     for m in sorted(blocks):
-        out[m] = turns[at : at + blocks[m]]
+        out[m] = np.array(turns[at : at + blocks[m]], np.int64)
         at += blocks[m]
     return out
 

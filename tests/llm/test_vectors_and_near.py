@@ -63,6 +63,36 @@ def test_copies_that_the_sample_misses_are_exact(spark):
         assert list(dict(sorted(per[i].items())).values()) == [j for j in range(0, 60, 10) if j != i][:5]
 
 
+def test_exact_way_equals_brute_force(spark):
+    x, ids = clustered(900, 16, 8), list(range(900))
+    df = spark.createDataFrame([(i, [float(v) for v in r], "m") for i, r in zip(ids, x)], SCHEMA)
+    s = neighbours.Settings(dim=16, parts=8, block=100, per_cell=32, exact=True)
+    assert {(r.chunk_a, r.chunk_b) for r in neighbours.neighbour_pairs(df, s).collect()} == brute(ids, x.astype(np.float64))
+
+
+def test_work_for_a_vector_grows_slower_than_the_vectors():
+    """The sample stays, the vectors grow: fat cells are cut where they are held."""
+    s, work = neighbours.Settings(dim=16, parts=8, block=1 << 30, per_cell=64, fat=512, sample=400), []
+    for n in (4_000, 16_000, 64_000):
+        rng = np.random.default_rng(9)
+        groups = clustered(n // 10, 16, 9)  # vectors have some neighbours much nearer than the rest
+        x = (groups[rng.integers(0, len(groups), n)] + 0.05 * rng.normal(size=(n, 16))).astype(np.float32)
+        ix = neighbours.fit(x[:400], n, s)
+        u = neighbours.unit(x.astype(np.float64)).astype(np.float32)
+        own, probes = neighbours.probe_cells(u, ix, s)
+        ask = np.arange(0, n, n // 400)
+        cells = [probes[i][probes[i] >= 0] if i % (n // 400) == 0 else np.zeros(0, np.int64) for i in range(n)]
+        begin = np.concatenate([[0], np.cumsum([len(c) for c in cells])])
+        scored, found = [], {}
+        for q, other, _ in neighbours.search_block(np.arange(n), x, own, (np.concatenate(cells), begin), ix, s, scored):
+            for i, j in zip(q.tolist(), other.tolist()):
+                found.setdefault(i, set()).add(j)
+        best = np.argsort(-(u[ask] @ u.T), axis=1)[:, 1:6]
+        assert np.mean([len(set(b.tolist()) & found[i]) / 5 for i, b in zip(ask.tolist(), best)]) >= 0.9
+        work.append(sum(scored) / len(ask))
+    assert work[2] < 2.5 * work[1], work
+
+
 def test_few_and_none(spark):
     one = spark.createDataFrame([(1, [1.0] * 96, "m")], SCHEMA)
     assert neighbours.neighbour_pairs(one).count() == 0 and neighbours.neighbour_pairs(one.limit(0)).count() == 0
