@@ -87,4 +87,5 @@ BLOCKED = (
     "Your message appears to contain content that violates our safety guidelines (",
     "). Please rephrase your question without using system commands, instruction overrides, or attempts to access internal configurations. I'm here to help with questions about your uploaded documents!",
 )
-SIMPLE_MODE_NOTE = "\n\n⚠️ **Note:** Using simplified response mode. For intelligent, synthesized answers like ChatGPT, configure an AI model (Kimi, OpenAI, or better Ollama model)."
+SIMPLE_MODE_NOTE = "\n\nNote: this answer was taken from the documents without a language model."
+APOLOGY = "I couldn't find relevant information in your documents to answer this question. Please try rephrasing or upload documents related to: "

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skerry.functions.fixed import SIMPLE_MODE_NOTE
+from skerry.functions.fixed import APOLOGY, SIMPLE_MODE_NOTE
 from skerry.functions.text import col, strip, tokens
 from skerry.operators.rules import cleaned_answer
 
@@ -43,7 +43,7 @@ def fallback_answer(query: str | Column, context: str | Column) -> Column:
     shares = F.filter(F.slice(parts, 1, 3), lambda s: F.arrays_overlap(tokens(s), tokens(q)))
     text = F.array_join(F.when(F.size(shares) > 0, shares).otherwise(F.slice(parts, 1, 2)), ". ")
     text = F.when(text.endswith("."), text).otherwise(F.concat(text, F.lit(".")))
-    none = F.concat(F.lit("I couldn't find relevant information in your documents to answer this question. Please try rephrasing or upload documents related to: "), q)
+    none = F.concat(F.lit(APOLOGY), q)
     return F.when(F.coalesce(col(context), F.lit("")) == "", none).otherwise(text)
 
 

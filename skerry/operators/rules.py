@@ -147,6 +147,24 @@ def answerability(query: str | Column, intent_: Column, n_results: Column, top_s
     )
 
 
+def diagnostics(query: str | Column, intent_: Column, gate: Column, scores: Column) -> Column:
+    """What a trace keeps of a gate's decision; scores is the ordered ARRAY<DOUBLE> of the results."""
+    n = F.coalesce(normalised(query), F.lit(""))
+    top3 = F.slice(F.coalesce(scores, F.array().cast("array<double>")), 1, 3)
+    mean = F.when(F.size(top3) > 0, F.aggregate(top3, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))) / F.size(top3)).otherwise(F.lit(0.0))
+    return F.struct(
+        intent_.alias("intent"), gate["status"].alias("status"), gate["reason"].alias("reason"), gate["confidence"].alias("confidence"),
+        F.greatest(F.coalesce(F.size(scores), F.lit(0)), F.lit(0)).alias("result_count"), F.round(F.coalesce(F.get(scores, F.lit(0)), F.lit(0.0)), 6).alias("top_score"), F.round(mean, 6).alias("avg_top_3_score"),
+        has_word(F.split(n, " "), fixed.DOCUMENT_WORDS).alias("has_document_hint"), contains_any(n, fixed.VAGUE_PHRASES).alias("is_vague_query"), F.substring(col(query), 1, 120).alias("query_preview"),
+    )
+
+
+def model_title(answer: str | Column, first: str | Column) -> Column:
+    """A title that a model made, without outer spaces and quotes and of 40 characters at most; where it made none, that of the first message."""
+    bare = F.regexp_replace(F.regexp_replace(strip(answer), '^"+|"+$', ""), "^'+|'+$", "")
+    return F.coalesce(F.nullif(F.substring(bare, 1, 40), F.lit("")), thread_title(first))
+
+
 def certainty(response: str | Column) -> Column:
     hedges, strong = count_words(response, fixed.HEDGES), count_words(response, fixed.STRONG_WORDS)
     return F.when(hedges > 3, 0.4).when(strong > 2, 0.75).when(hedges > 0, 0.55).otherwise(0.65)

@@ -18,6 +18,12 @@ from skerry.operators.order import few
 from skerry.plans.shared import materialise
 
 
+#: Scores that agree to so many digits are ties.
+TIE_DIGITS = 12
+#: Up to so many different terms of a batch of questions are pushed into the scan of the postings.
+PUSHED_TERMS = 1_000
+
+
 def metadata_filter(conditions: dict) -> Column:
     """A predicate from {column: value or {"$eq" | "$in" | "$gte" | "$lte": value}}, all of which must hold; null never matches."""
     ops = {"$eq": lambda c, v: c == v, "$in": lambda c, v: c.isin(v), "$gte": lambda c, v: c >= v, "$lte": lambda c, v: c <= v}
@@ -48,26 +54,91 @@ def term_stats(chunks: DataFrame) -> DataFrame:
 
 @dataclass
 class Index:
-    """Keyword index tables in the shared folder: postings (term, id, dl, tf) sorted by term, docs (id, dl), terms (term, df, idf)."""
+    """Keyword index tables: postings (term, id, dl, tf) in files sorted by term, docs (id, dl), terms (term, df, idf)."""
 
     postings: DataFrame
     docs: DataFrame
     terms: DataFrame
 
 
+def _written(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    base = chunks.select("id", tokens("content").alias("ts"))
+    docs = materialise(base.select("id", F.size("ts").alias("dl")), "docs")
+    hits = base.select("id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+    return materialise(hits.repartitionByRange("term").sortWithinPartitions("term"), "postings"), docs
+
+
+def _indexed(postings_: DataFrame, docs: DataFrame) -> Index:
+    df = postings_.groupBy("term").agg(F.count("*").alias("df"))
+    return Index(postings_, docs, materialise(_with_idf(df, docs.agg(F.count("*").alias("n_docs"))), "terms"))
+
+
 def build_index(chunks: DataFrame) -> Index:
     """One pass over the texts; postings are aggregated and written once, and everything else is made from them.
 
-    Files of postings are sorted by term, so that a search for a few terms
-    skips the other row groups. To add chunks, append to the first two tables
-    and make the terms again.
+    Postings are range-partitioned and sorted by term, so that the files and
+    row groups which hold none of a question's terms are skipped.
     """
-    base = chunks.select("id", tokens("content").alias("ts"))
-    docs = materialise(base.select("id", F.size("ts").alias("dl")), "docs")
-    hits = base.select("id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
-    found = materialise(hits.sortWithinPartitions("term"), "postings")
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    return Index(found, docs, materialise(_with_idf(df, docs.agg(F.count("*").alias("n_docs"))), "terms"))
+    return _indexed(*_written(chunks))
+
+
+def append(index: Index, chunks: DataFrame) -> Index:
+    """The index with further chunks: only they are read, their postings are files beside the others; the terms are counted again."""
+    found, docs = _written(chunks.join(index.docs.select("id"), "id", "left_anti"))
+    return _indexed(index.postings.unionByName(found), index.docs.unionByName(docs))
+
+
+def delete_by(index: Index, chunks: DataFrame, which: Column) -> tuple[Index, int]:
+    """The index without the chunks that a condition on the chunk table (document, source, user, id) holds for, and how many they were."""
+    gone = chunks.where(F.coalesce(which, F.lit(False))).select("id").distinct().join(index.docs.select("id"), "id", "left_semi")
+    gone = materialise(gone, "gone")
+    return _indexed(index.postings.join(gone, "id", "left_anti"), index.docs.join(gone, "id", "left_anti")), gone.count()
+
+
+def clear(index: Index) -> Index:
+    """An index of the same shape without any chunk."""
+    return _indexed(index.postings.limit(0), index.docs.limit(0))
+
+
+def compact(index: Index) -> Index:
+    """The same index written anew in one set of files, without what was deleted."""
+    return _indexed(materialise(index.postings.repartitionByRange("term").sortWithinPartitions("term"), "postings"), materialise(index.docs, "docs"))
+
+
+@dataclass
+class Collection:
+    """The two indexes of one set of chunks: keywords, and vectors (id, embedding) with the same ids."""
+
+    keyword: Index
+    vectors: DataFrame
+
+
+def add_chunks(collection: Collection | None, chunks: DataFrame, vectors: DataFrame) -> tuple[Collection, int]:
+    """Chunks (id, content) and their vectors (id, embedding) added to both indexes, vectors first; how many were added.
+
+    Raises if a chunk has no vector or a vector no chunk. Nothing to add
+    changes nothing.
+    """
+    v = materialise(vectors.select("id", "embedding"), "vectors")
+    odd = chunks.select("id").distinct().join(v.select("id").distinct().withColumn("_v", F.lit(1)), "id", "full_outer")
+    n, alone = chunks.select("id").distinct().count(), odd.where("_v is null").count() + v.join(chunks.select("id"), "id", "left_anti").count()
+    if alone:
+        raise ValueError(f"{alone} chunks and vectors do not belong together")
+    if collection is None:
+        return Collection(build_index(chunks), v), n
+    new = v.join(collection.vectors.select("id"), "id", "left_anti")
+    return Collection(append(collection.keyword, chunks), collection.vectors.unionByName(new)), n
+
+
+def index_chunks(collection: Collection | None, chunks: DataFrame, embed: Callable[[Column], Column]) -> tuple[Collection, int]:
+    """Chunks embedded by an expression over their content and added to both indexes; how many they were."""
+    return add_chunks(collection, chunks, chunks.select("id", embed(F.col("content")).alias("embedding")))
+
+
+def remove_chunks(collection: Collection, chunks: DataFrame, which: Column) -> tuple[Collection, int]:
+    """Both indexes without the chunks that a condition on the chunk table holds for, and how many they were."""
+    keyword, n = delete_by(collection.keyword, chunks, which)
+    return Collection(keyword, collection.vectors.join(keyword.docs.select("id"), "id", "left_semi")), n
 
 
 def _with_idf(df: DataFrame, n: DataFrame) -> DataFrame:
@@ -88,13 +159,16 @@ def bm25(chunks: DataFrame, questions: DataFrame, k: int = TOP_K, where: Column
     asked = questions.select("qid", F.explode(tokens("query")).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
     sizes = ix.docs.agg(F.avg("dl").alias("avgdl"))
     few(questions)
-    weights = asked.join(ix.terms.select("term", "idf"), "term")
-    part = F.col("times") * F.col("idf") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
-    scored = ix.postings.join(weights, "term").crossJoin(F.broadcast(sizes)).groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    # Few different terms become a filter on the scan of the postings; a limit bounds what the driver sees.
+    some = [r.term for r in asked.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
+    hits = ix.postings.where(F.col("term").isin(some)) if len(some) <= PUSHED_TERMS else ix.postings
     allowed = ix.docs.select("id")
     if where is not None:
-        allowed = chunks.where(where).select("id")
-        scored = scored.join(allowed, "id", "left_semi")
+        allowed = chunks.where(where).select("id").distinct()
+        hits = hits.join(allowed, "id", "left_semi")
+    weights = asked.join(ix.terms.select("term", "idf"), "term")
+    part = F.col("times") * F.col("idf") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
+    scored = hits.join(weights, "term").crossJoin(F.broadcast(sizes)).groupBy("qid", "id").agg(F.round(F.sum(part), TIE_DIGITS).alias("score"))
     # Chunks that score 0 are only needed where fewer than k are hit, and then from the last 2k by id.
     found = scored.groupBy("qid").agg(F.count("*").alias("hits"))
     last = allowed.orderBy(F.desc("id")).limit(2 * k)
@@ -102,7 +176,12 @@ def bm25(chunks: DataFrame, questions: DataFrame, k: int = TOP_K, where: Column
     fill = lacking.crossJoin(F.broadcast(last)).join(scored.select("qid", "id"), ["qid", "id"], "left_anti").select("qid", "id", F.lit(0.0).alias("score"))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("id"))
     both = scored.select("qid", "id", "score").unionByName(fill)
-    return both.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
+    return _shown(both.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k))
+
+
+def _shown(hits: DataFrame) -> DataFrame:
+    """Ranks are taken of scores that are equal only up to the noise of sums; what is shown has six digits."""
+    return hits.withColumn("score", F.round("score", 6))
 
 
 def usable(vectors: DataFrame, dim: int) -> DataFrame:
@@ -120,9 +199,9 @@ def cosine(a: Column, b: Column) -> Column:
 def vector_search(vectors: DataFrame, questions: DataFrame, k: int = TOP_K) -> DataFrame:
     """(qid, id, score, rank from 0) by cosine; questions (qid, q) is a batch of counted size, compared with every vector in one pass."""
     pairs = vectors.select("id", "embedding").crossJoin(few(questions.select("qid", "q")))
-    scored = pairs.select("qid", "id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+    scored = pairs.select("qid", "id", F.round(cosine(F.col("embedding"), F.col("q")), TIE_DIGITS).alias("score"))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
+    return _shown(scored.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k))
 
 
 def vector_search_many(vectors: DataFrame, questions: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -143,7 +222,7 @@ def vector_search_many(vectors: DataFrame, questions: DataFrame, k: int = TOP_K)
             x = b.column("embedding").flatten().to_numpy().reshape(len(ids), -1)
             x = x / np.linalg.norm(x, axis=1, keepdims=True)
             for lo in range(0, len(unit), 256):
-                score = np.round(unit[lo : lo + 256] @ x.T, 6)
+                score = np.round(unit[lo : lo + 256] @ x.T, TIE_DIGITS)
                 least = min(k, len(ids))
                 i, j = np.nonzero(score >= -np.partition(-score, least - 1, axis=1)[:, least - 1 : least])
                 order = np.lexsort((ids[j], -score[i, j], i))
@@ -152,9 +231,9 @@ def vector_search_many(vectors: DataFrame, questions: DataFrame, k: int = TOP_K)
                 i, j = i[first], j[first]
                 yield pa.RecordBatch.from_arrays([pa.array(names[lo + i]), pa.array(ids[j]), pa.array(score[i, j])], names=["qid", "id", "score"])
 
-    scored = vectors.select("id", "embedding").mapInArrow(run, "qid bigint, id bigint, score double").withColumn("score", F.round("score", 6))
+    scored = vectors.select("id", "embedding").mapInArrow(run, "qid bigint, id bigint, score double").withColumn("score", F.round("score", TIE_DIGITS))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
+    return _shown(scored.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k))
 
 
 def in_blocks(questions: DataFrame, searched: Callable[[DataFrame], DataFrame], most: int = 5_000) -> DataFrame:
@@ -200,6 +279,21 @@ def overlap_rerank(hits: DataFrame, texts: DataFrame, questions: DataFrame, k: i
     return j.withColumn("score", F.round(share, 6)).withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k).select("qid", "id", "score", "original_score", "rank")
 
 
+def no_rerank(hits: DataFrame, texts: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """(qid, id, score, original_score, rank): the first k hits as they are."""
+    return hits.where(F.col("rank") < k).select("qid", "id", "score", F.col("score").alias("original_score"), "rank")
+
+
+RERANKERS = {"overlap": overlap_rerank, "none": no_rerank}
+
+
+def reranker(name: str | None) -> Callable[[DataFrame, DataFrame, DataFrame, int], DataFrame]:
+    """The reranker of a name; none for null."""
+    if (name or "none") not in RERANKERS:
+        raise ValueError(f"unknown reranker {name}")
+    return RERANKERS[name or "none"]
+
+
 def reorder(hits: DataFrame, reranked: DataFrame) -> DataFrame:
     """All hits with their fused scores, those reranked first in their new order, the rest after in the old one."""
     j = hits.join(reranked.select("qid", "id", F.col("rank").alias("place")), ["qid", "id"], "left")

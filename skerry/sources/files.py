@@ -8,6 +8,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -147,10 +148,15 @@ def write_audit(log: DataFrame, path: str) -> None:
 
 
 def hashed_embedding(text: str | Column, dim: int = 64) -> Column:
-    """A deterministic unit vector of a text's hashed words, for use without a model."""
+    """A deterministic unit vector of a text's hashed words, for use without a model; zeros for a text without words."""
     from skerry.functions.text import tokens
 
-    slots = F.transform(tokens(text), lambda w: F.pmod(F.xxhash64(w), F.lit(dim)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)).cast("float"))
+    @F.pandas_udf("array<float>")
+    def unit(slots: pd.Series) -> pd.Series:
+        n = slots.map(len).to_numpy()
+        flat = np.concatenate([np.zeros(0, np.int64), *slots]).astype(np.int64)
+        counts = np.bincount(np.repeat(np.arange(len(n)), n) * dim + flat, minlength=len(n) * dim).reshape(len(n), dim).astype(np.float64)
+        norm = np.sqrt((counts * counts).sum(1, keepdims=True))
+        return pd.Series(list((counts / np.where(norm > 0, norm, 1.0)).astype(np.float32)))
+
+    return unit(F.transform(tokens(text), lambda w: F.pmod(F.xxhash64(w), F.lit(dim))))

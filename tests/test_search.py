@@ -83,10 +83,10 @@ def test_every_hundredth_row_is_asked(spark):
 
     d = "/root/testdata/sf0.001"
     e = spark.read.parquet(f"{d}/embeddings.parquet")
-    got = {r.qid: r.n for r in queries.QUERIES["vector_batch_knn_whole"](spark, d).groupBy("qid").agg(F.count("*").alias("n")).collect()}
+    got = {r.qid: r.n for r in queries.QUERIES["vector_batch_knn"](spark, d).groupBy("qid").agg(F.count("*").alias("n")).collect()}
     assert got == {r.vec_id: 10 for r in e.where("vec_id % 100 = 0").select("vec_id").distinct().collect()}
     c = spark.read.parquet(f"{d}/chunks.parquet").where("id % 100 = 0").select("id").distinct()
-    got = {r.qid for r in queries.QUERIES["bm25_topk_whole"](spark, d).select("qid").distinct().collect()}
+    got = {r.qid for r in queries.QUERIES["bm25_topk"](spark, d).select("qid").distinct().collect()}
     assert got == {r.id for r in c.collect()} and got
 
 
@@ -98,3 +98,39 @@ def test_blocks_equal_one_search(spark):
     rows = lambda x: sorted(map(tuple, x.select("qid", "id", "score", "rank").collect()))
     assert rows(search.in_blocks(q, lambda b: search.vector_search(v, b, 3), most=9)) == rows(search.vector_search(v, q, 3))
     assert rows(search.vector_search_many(v, q, 3)) == rows(search.vector_search(v, q, 3))
+
+
+def test_index_life_cycle(spark):
+    c = corpus(spark)
+    terms = lambda ix: {r.term: (r.df, pytest.approx(r.idf)) for r in ix.terms.collect()}
+    whole = search.build_index(c)
+    grown = search.append(search.build_index(c.where("id <= 2")), c)
+    assert terms(grown) == terms(whole) and grown.docs.count() == 5
+    less, n = search.delete_by(grown, c, F.col("user_id") == "bob")
+    assert n == 3 and terms(less) == terms(search.build_index(c.where("user_id = 'alice'")))
+    assert search.delete_by(less, c, F.col("id") == 99)[1] == 0
+    assert search.compact(less).postings.count() == less.postings.count() and search.clear(less).docs.count() == 0
+    q = spark.createDataFrame([(1, "alpha")], "qid int, query string")
+    assert {r.id for r in search.bm25(c, q, 10, index=less).collect()} == {1, 3}
+
+
+def test_both_indexes(spark):
+    c = corpus(spark).where("content is not null")
+    v = c.select("id", F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding"))
+    made, n = search.add_chunks(None, c, v)
+    assert n == 4 and made.vectors.count() == 4
+    same, n = search.add_chunks(made, c.limit(0), v.limit(0))
+    assert n == 0 and same.keyword.docs.count() == 4
+    left, n = search.remove_chunks(made, c, F.col("user_id") == "alice")
+    assert n == 2 and {r.id for r in left.vectors.collect()} == {2, 5} == {r.id for r in left.keyword.docs.collect()}
+    with pytest.raises(ValueError):
+        search.add_chunks(None, c, v.where("id > 1"))
+    with pytest.raises(ValueError):
+        search.reranker("other")
+
+
+def test_ranks_are_taken_before_rounding(spark):
+    v = spark.createDataFrame([(1, [1.0, 2e-4]), (2, [1.0, 1e-4])], "id bigint, embedding array<double>")
+    q = spark.createDataFrame([(7, [1.0, 0.0])], "qid bigint, q array<double>")
+    for f in (search.vector_search, search.vector_search_many):
+        assert [(r.id, r.score) for r in f(v, q, 2).orderBy("rank").collect()] == [(2, 1.0), (1, 1.0)]

@@ -113,3 +113,31 @@ def test_shared_tables(spark):
 def test_hashed_embedding(spark):
     v = spark.createDataFrame([("a b a",), (None,)], "x string").select(files.hashed_embedding("x", 8).alias("v")).collect()
     assert sum(x * x for x in v[0].v) == pytest.approx(1.0, abs=1e-6) and set(v[1].v) == {0.0}
+
+
+def test_spelled_roles_at_equal_times(spark):
+    """At equal created_at: system, user, assistant, others, however they are spelled."""
+    rows = [("a", "t1", " Bot ", "4"), ("b", "t1", "HUMAN", "2"), ("c", "t1", "system", "1"), ("d", "t1", "ai", "5"), ("e", "t1", "User", "3"), ("f", "t1", "tool", "6"), ("g", "t1", None, "7")]
+    m = spark.createDataFrame([(*r, T0, None) for r in rows], "id string, thread_id string, role string, content string, created_at timestamp, citations array<struct<source_file:string,page_number:int,section:string>>")
+    al = spark.createDataFrame([("user", "user"), ("human", "user"), ("assistant", "assistant"), ("bot", "assistant"), ("ai", "assistant"), ("system", "system")], "alias string, role string")
+    got = [r.content for r in store.thread_messages(threads(spark), m, al).orderBy("message_no").collect()]
+    assert got == ["1", "2", "3", "4", "5", "6", "7"]
+    assert [r.content for r in store.last_messages(m, 2, aliases=al).orderBy("from_end").collect()] == ["7", "6"]
+    assert {r.title for r in store.titles(threads(spark).where("id = 't1'"), m, al).collect()} == {"1"}
+
+
+def test_inserts_and_deletes(spark):
+    t, m = threads(spark), messages(spark)
+    now = F.lit("2024-05-05").cast("timestamp")
+    new = spark.createDataFrame([("t9", "u9", "N"), ("t9", "u9", "N"), ("t1", "u1", "again"), (None, "x", "y")], "id string, user_id string, title string")
+    out = store.insert_threads(t, new, now)
+    assert out.count() == t.count() + 1 and out.where("id = 't9'").first().updated_at == datetime(2024, 5, 5)
+    late = m.where("id = 'm0'").withColumns({"id": F.lit("m77"), "created_at": F.lit("2024-06-01").cast("timestamp")})
+    t2, m2 = store.insert_messages(t, m, late.unionByName(late).unionByName(m.where("id = 'm1'")))
+    assert m2.count() == m.count() + 1 and t2.where("id = 't1'").first().updated_at == datetime(2024, 6, 1)
+    d = spark.createDataFrame([(1,), (2,)], "doc_id bigint")
+    c = spark.createDataFrame([(1, 0), (1, 1), (1, 1), (2, 0)], "doc_id bigint, chunk_index int")
+    left = store.delete_documents(d, c, d, spark.createDataFrame([(1,), (1,), (5,)], "doc_id bigint"))
+    assert [x.count() for x in left[:3]] == [1, 1, 1] and [tuple(r) for r in left[3].collect()] == [(1, 2)]
+    n = spark.createDataFrame([("a.txt", 1), ("a.txt", 2), ("b", 3)], "name string, k int")
+    assert {r.place for r in store.unique_names(n, "name", "k").collect()} == {"a.txt", "a_1.txt", "b"}
