@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,13 +24,14 @@ CODES = ["en", "fr", "de", "es", "it", "nl"]
 BUCKETS = 1 << 16
 _ORDERS = (2, 3, 4)
 _UNIT = re.compile(r"[^\n]+?(?:[.!?…][\"'»”)\]]*(?=\s)|(?=\n)|$)")
+_PLAIN = re.compile(r"(?<![\w/])[^\W\d_]+(?![\w/])")
 _LETTERS = np.array([ord(chr(i).lower()[0]) if chr(i).isalpha() else 32 for i in range(1 << 16)], np.uint32)
 _SALT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
 
 @dataclass
 class Settings:
-    """At most `sample` labelled documents of a language train the model; `switch` is the charge, in nats, of a change of language."""
+    """At most `sample` labelled documents of a language train the model; `switch` is the charge, in nats, of a change of language; `noise` are the shares of random labels tried."""
 
     sample: int = 500
     units: int = 20
@@ -40,6 +42,7 @@ class Settings:
     l1: float = 1e-4
     l2: float = 1e-5
     chars: int = 200_000
+    noise: tuple[float, ...] = (0.0, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2)
 
 
 def label_code(c: str | Column) -> Column:
@@ -189,13 +192,13 @@ def train(pieces: list[str], labels: np.ndarray, idf: np.ndarray, s: Settings, s
     if len(test):
         lg = np.concatenate([model.logits([pieces[i] for i in test[lo : lo + 500]]) for lo in range(0, len(test), 500)])
         y = labels[test]
-        # Held-out labels that are plainly wrong would only teach doubt.
-        fine = (lg.argmax(1) == y) | (lg[np.arange(len(y)), y] > lg.max(1) - 1.0)
-        lg, y = lg[fine], y[fine]
-        if len(y):
-            grid = np.exp(np.linspace(np.log(0.05), np.log(5), 60))
-            loss = [-np.log(_softmax(lg / t)[np.arange(len(y)), y] + 1e-12).mean() for t in grid]
-            model.temperature = float(grid[int(np.argmin(loss))])
+        # All held-out pieces count. Some labels are wrong for reasons that have nothing to do with the text: a share
+        # of labels, fitted together with the temperature, is taken to be drawn at random.
+        grid = np.exp(np.linspace(np.log(0.05), np.log(5), 60))
+        noise = np.array(s.noise)
+        own = np.stack([_softmax(lg / t)[np.arange(len(y)), y] for t in grid])
+        loss = -np.log((1 - noise)[None, :, None] * own[:, None] + noise[None, :, None] / k + 1e-12).mean(2)
+        model.temperature = float(grid[np.unravel_index(int(np.argmin(loss)), loss.shape)[0]])
     return model
 
 
@@ -207,7 +210,7 @@ def against(lp: np.ndarray, size: np.ndarray) -> np.ndarray:
     with its neighbours.
     """
     far = np.maximum(lp.max(1, keepdims=True) - lp - 1.5, 0.0)
-    return np.minimum(np.minimum(far, 0.25 * size[:, None]), 12.0)
+    return np.minimum(np.minimum(far, 0.25 * size[:, None]), 16.0)
 
 
 def runs(held: np.ndarray, switch: float) -> np.ndarray:
@@ -241,9 +244,12 @@ def segments(texts: list[str], model: Model, s: Settings) -> list[list[tuple[int
         lps.append(model.log_probs(flat[lo:hi]))
         lo = hi
     lp = np.concatenate(lps) if lps else np.zeros((0, len(CODES)))
-    size = np.array([sum(map(str.isalpha, x)) for x in flat])
+    # Letters of words; codes and paths are of no language, unless a text has nothing else.
+    size = np.array([len("".join(_PLAIN.findall(x))) for x in flat], np.int64)
     counts = np.array([len(sp) for sp in spans])
     starts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+    for i in np.flatnonzero(_sums(size, starts) == 0):
+        size[starts[i] : starts[i + 1]] = [sum(map(str.isalpha, x)) for x in flat[starts[i] : starts[i + 1]]]
     held = against(lp, size)
     total = _sums(held, starts)
     out = []
@@ -254,8 +260,10 @@ def segments(texts: list[str], model: Model, s: Settings) -> list[list[tuple[int
             out.append([])
             continue
         # A language that nothing is held against is the best path by itself.
-        free = int((total[i] == 0).argmax())
-        path = np.full(n, free) if total[i][free] == 0 else runs(held[at : at + n], s.switch)
+        # Of several such languages, the one the whole text speaks for most.
+        sums = (own * w[:, None]).sum(0)
+        free = int(np.where(total[i] == 0, sums, -np.inf).argmax())
+        path = np.full(n, free) if total[i][free] == 0 else runs(held[at : at + n] - 1e-6 * own, s.switch)
         cut = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), n]
         segs = []
         for i, j in zip(cut[:-1], cut[1:]):
@@ -334,7 +342,8 @@ def _labelled(shared, s: Settings) -> Callable[[Iterator[pa.RecordBatch]], Itera
                 cols = list(zip(*rows)) if rows else [()] * 7
                 at = pa.array(list(cols[0]), pa.int32())
                 types = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), part.column("lang").take(at), *(pa.array(list(c), t) for c, t in zip(cols[1:], types))], names=[f.split()[0] for f in _OUT.split(", ")])
+                hashes = np.array([xxhash.xxh64_intdigest(t) for t in part.column("text").to_pylist()], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), part.column("lang").take(at), *(pa.array(list(c), t) for c, t in zip(cols[1:], types)), pa.array(hashes).take(at)], names=[*(f.split()[0] for f in _OUT.split(", ")), "text_hash"])
 
     return run
 
@@ -343,8 +352,8 @@ def language_segments(documents: DataFrame, settings: Settings | None = None) ->
     """(doc_id, lang, segment_no from 0, start_char, end_char, lang_code, confidence, n_segments) of every text.
 
     A segment is a run of one language. Null, empty and letterless texts have
-    no segments; null doc_ids are left out, a repeated doc_id counts once (its
-    greatest text); labels are read by their first two letters. Without any
+    no segments; null doc_ids are left out, a repeated doc_id counts once (one of
+    its texts, by hash); labels are read by their first two letters. Without any
     labelled text there is nothing to learn from and the result is empty.
     """
     s = settings or Settings()
@@ -354,11 +363,11 @@ def language_segments(documents: DataFrame, settings: Settings | None = None) ->
     if model is None:
         return spark.createDataFrame([], _OUT)
     shared = spark.sparkContext.broadcast(model)
-    found = rows.mapInArrow(_labelled(shared, s), _OUT)
-    # Repeated ids: all segments of one of the rows.
-    one = found.groupBy("doc_id", "lang", "n_segments").agg(F.array_sort(F.collect_set(F.struct("segment_no", "start_char", "end_char", "lang_code", "confidence"))).alias("x"))
-    best = one.groupBy("doc_id").agg(F.max(F.struct("x", "n_segments", F.coalesce("lang", F.lit("")).alias("lang"))).alias("y"))
-    return best.select("doc_id", F.col("y.lang").alias("lang"), F.col("y.n_segments").alias("n_segments"), F.explode("y.x").alias("z")).select("doc_id", "lang", "z.segment_no", "z.start_char", "z.end_char", "z.lang_code", "z.confidence", "n_segments")
+    found = rows.mapInArrow(_labelled(shared, s), _OUT + ", text_hash bigint")
+    # Repeated ids: the segments of one text, with one label.
+    one = found.groupBy("doc_id").agg(F.max(F.struct("text_hash", F.coalesce("lang", F.lit("")).alias("lang"))).alias("y"))
+    out = found.join(one, "doc_id").where("text_hash = y.text_hash").dropDuplicates(["doc_id", "segment_no"])
+    return out.select("doc_id", F.col("y.lang").alias("lang"), "segment_no", "start_char", "end_char", "lang_code", "confidence", "n_segments")
 
 
 def label_faults(documents: DataFrame, settings: Settings | None = None) -> DataFrame:

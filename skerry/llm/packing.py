@@ -52,14 +52,17 @@ def _pack_window() -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def packed(documents: DataFrame, sizes: DataFrame, window: int = 256, seed: int = 29, most: int = 64, tokenizer: Tokenizer = Tokenizer()) -> DataFrame:
+def packed(documents: DataFrame, sizes: DataFrame, window: int = 256, seed: int = 29, most: int = 64, tokenizer: Tokenizer = Tokenizer(), targets: DataFrame | None = None) -> DataFrame:
     """Every document in containers of every size of `sizes`.
 
     Rows (container, capacity_tokens, container_id, window_no, source, doc_id,
     piece_no, start_token, n_tokens). A document is split only if it exceeds
     the capacity: whole pieces of it fill containers of their own (window_no
     null) and the rest is packed like any other item. `window` is the number
-    of containers in a window. Null texts and texts without tokens are left
+    of containers in a window. Each source has the share of a window's tokens
+    that `targets` (source, target_share) gives it, or without them, or where
+    they leave it out, its own share of all tokens; what of a queue outlasts
+    the others fills the last windows alone, as nothing is dropped. Null texts and texts without tokens are left
     out, repeated doc_ids count once, sizes without a positive capacity are
     ignored; more than `most` sizes raise. Empty tables give an empty result.
     """
@@ -79,9 +82,14 @@ def packed(documents: DataFrame, sizes: DataFrame, window: int = 256, seed: int
     queued = prefix_sums(items, "queue", "n_tokens", "mix", "doc_id")
     share = items.groupBy("container", "source").agg(F.sum("n_tokens").alias("own"))
     total = share.groupBy("container").agg(F.sum("own").alias("all_tokens"))
-    share = share.join(F.broadcast(total), "container")
+    share = share.join(F.broadcast(total), "container").withColumn("part", F.col("own") / F.col("all_tokens"))
+    if targets is not None:
+        aims = targets.where("source is not null and target_share > 0").groupBy("source").agg(F.max("target_share").alias("target_share"))
+        share = share.join(aims, "source", "left").withColumn("part", F.coalesce("target_share", "part")).drop("target_share")
+        sums = share.groupBy("container").agg(F.sum("part").alias("_sum"))
+        share = share.join(F.broadcast(sums), "container").withColumn("part", F.col("part") / F.col("_sum")).drop("_sum")
     # A window's quota of a source: its part of the tokens of `window` containers.
-    quota = window * F.col("capacity_tokens") * F.col("own") / F.col("all_tokens")
+    quota = window * F.col("capacity_tokens") * F.col("part")
     placed = queued.join(share, ["container", "source"]).withColumn("window_no", F.floor(F.col("before") / quota))
     placed = placed.select("container", "capacity_tokens", "window_no", "source", "doc_id", "piece_no", "start_token", "n_tokens", "mix")
     return placed.groupBy("container", "window_no").applyInArrow(_pack_window(), _PACKED).unionByName(full)

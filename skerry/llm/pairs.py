@@ -167,7 +167,7 @@ def language_model(texts: list[str], s: Settings) -> language.Model | None:
         return None
     pieces = [w for w, _, n in words for _ in range(n)]
     labels = [language.CODES.index(list(FUNCTION_WORDS)[k]) for _, k, n in words for _ in range(n)]
-    return language.train(pieces, np.array(labels), np.ones(language.BUCKETS), language.Settings())
+    return language.train(pieces, np.array(labels), np.ones(language.BUCKETS), language.Settings(noise=(0.0,)))
 
 
 def _leading(n: list[float]) -> int:
@@ -349,8 +349,12 @@ def train(questions: list[str], answers: list[str], ends: set[str], words_: Word
                 parts = [(declining(lang, topic), REFUSAL)]
                 # Thanks before, or an offer after it.
                 one = lambda k: [str(rng.choice(of[k, lang]))] if of[k, lang] else []
-                if rng.random() < 0.5 and (thanks := one("thanks")):
-                    parts.insert(0, (" ".join([*thanks, *one("self"), *one("asked")][: int(rng.integers(1, 4))]).capitalize() + ".", COURTESY))
+                filler = [str(w) for w in rng.permutation([w for w in a.split() if w.islower() and w.isalpha()][:12])[: int(rng.integers(0, 3))]]
+                thanks = " ".join([*one("thanks"), *one("self"), *filler, *one("asked")][: int(rng.integers(1, 6))]).capitalize() + "."
+                if rng.random() < 0.5 and of["thanks", lang]:
+                    parts.insert(0, (thanks, COURTESY))
+                if rng.random() < 0.2 and of["thanks", lang] and not any(votes(_TOKEN.findall(c.lower()))[0] for c in clauses(a)):
+                    put(q, thanks + " " + a, lambda i, n: COURTESY if i == 0 else ANSWER, False)
                 if rng.random() < 0.5 and (offer := [*one("else"), *one("speak"), *one("self")]):
                     parts.append((" ".join(offer).capitalize() + "?", COURTESY))
                 put(q, " ".join(t for t, _ in parts), lambda i, n, p=parts: p[min(i, len(p) - 1)][1], False)

@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skerry.llm import conversations, language, mixing, near, neighbours, packing, pairs, pii, scans, splitting, sql
+from skerry.operators.order import numbered
 from skerry.plans.session import table
+from skerry.plans.shared import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +23,17 @@ def p1_conversations(spark: SparkSession, d: str) -> DataFrame:
     return conversations.rebuilt_conversations(table(spark, d, "messages"), table(spark, d, "threads"), table(spark, d, "role_aliases"))
 
 
+def p1_linked(spark: SparkSession, d: str) -> DataFrame:
+    """The conversations with thread_id taken from every message but its thread's first, which a reply link to the message before replaces: found again by the stars."""
+    m = table(spark, d, "messages").where("thread_id is not null and id is not null")
+    once = m.groupBy("id").agg(*(F.min(c).alias(c) for c in ("thread_id", "role", "content", "created_at")))
+    before = numbered(once, ["created_at", "id"], "place", group="thread_id")
+    prev = before.select("thread_id", (F.col("place") + 1).alias("place"), F.col("id").alias("reply_to"))
+    rows = before.join(prev, ["thread_id", "place"], "left")
+    rows = rows.select("id", F.when(F.col("place") == 0, F.col("thread_id")).alias("thread_id"), "role", "content", F.to_json(F.struct("reply_to")).alias("metadata"), "created_at")
+    return conversations.rebuilt_conversations(materialise(rows, "linked"), table(spark, d, "threads"), table(spark, d, "role_aliases"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return pii.find_pii(pii.records_of(table(spark, d, "messages"), table(spark, d, "chunks")), table(spark, d, "person_names"))
 
@@ -72,6 +86,11 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(packing.packed(table(spark, d, "documents"), table(spark, d, "pack_sizes")))
 
 
+def p8_mixed(spark: SparkSession, d: str) -> DataFrame:
+    """The containers with the sources in the shares of mix_targets."""
+    return packing.packed(table(spark, d, "documents"), table(spark, d, "pack_sizes"), targets=table(spark, d, "mix_targets"))
+
+
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
 
@@ -93,4 +112,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": sql.P1_FOUND, "p1_conversations": sql.P1_CONVERSATIONS, "p3_found": sql.P3_FOUND}
+    return {"p1_found": sql.P1_FOUND, "p1_conversations": sql.P1_CONVERSATIONS, "p1_linked": sql.P1_LINKED, "p3_found": sql.P3_FOUND}

@@ -42,4 +42,7 @@ P1_CONVERSATIONS = f"""WITH {_TURNS}
 SELECT t.thread_id, t.turn_no, t.r AS role, t.id AS message_id, t.created_at, t.content
 FROM turns t JOIN faults f ON f.thread_id = t.thread_id AND f.fault IS NULL"""
 
+#: Found again from links alone, the conversations are the same.
+P1_LINKED = P1_CONVERSATIONS
+
 P3_FOUND = "SELECT DISTINCT id AS chunk_id FROM chunks WHERE length(content) > 1000"
