@@ -14,6 +14,7 @@ from skerry.operators import audit, chunking, citations, rules, search, store
 from skerry.operators.order import numbered
 from skerry.plans import ask as flow
 from skerry.plans.session import table
+from skerry.plans.shared import new_path
 from skerry.sources import files
 from skerry.streaming import ingest as live
 
@@ -866,3 +867,25 @@ def stream_dedup(spark, d):
 @query("SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_audit_counts(spark, d):
     return live.run_available(live.hourly_events(live.stream_table(spark, d, "events")), "complete")
+
+
+@query("SELECT event_id, event_type, ts::DATE::VARCHAR AS day FROM events")
+def stream_audit_rotation(spark, d):
+    root = new_path(spark, "audit")
+    live.rotated_audit(live.stream_table(spark, d, "events"), f"{root}/log", f"{root}/state")
+    return spark.read.schema("event_id bigint, event_type string, date date").json(f"{root}/log").select("event_id", "event_type", F.col("date").cast("string").alias("day"))
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000")
+def stream_recent_events(spark, d):
+    return live.recent_events(live.stream_table(spark, d, "events")).select("event_id", "event_type")
+
+
+@query(f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({_TOK % 'text'})) AS term FROM documents) GROUP BY 1")
+def stream_term_stats(spark, d):
+    return live.corpus_statistics(live.stream_table(spark, d, "documents"))
+
+
+@query("SELECT id, updated_at FROM threads WHERE coalesce(deleted, FALSE) AND updated_at < '2024-06-01'::TIMESTAMPTZ - INTERVAL 90 DAY")
+def stream_expired_threads(spark, d):
+    return live.run_available(live.expired_threads(live.stream_table(spark, d, "threads"), "2024-06-01", 90).select("id", "updated_at"))

@@ -141,3 +141,15 @@ def test_inserts_and_deletes(spark):
     assert [x.count() for x in left[:3]] == [1, 1, 1] and [tuple(r) for r in left[3].collect()] == [(1, 2)]
     n = spark.createDataFrame([("a.txt", 1), ("a.txt", 2), ("b", 3)], "name string, k int")
     assert {r.place for r in store.unique_names(n, "name", "k").collect()} == {"a.txt", "a_1.txt", "b"}
+
+
+def test_a_scope_leaves_nothing_behind(spark):
+    from skerry.plans.queries import QUERIES
+    from skerry.plans.shared import held, scope, sweep
+
+    before = held(spark)
+    for name in ("bm25_topk", "index_append", "index_delete", "doc_list_by_user", "export_markdown", "table_markdown_rows", "ingest_index", "stream_dedup", "stream_audit_counts", "stream_recent_events", "stream_term_stats"):
+        with scope(spark):
+            assert QUERIES[name](spark, "/root/testdata/sf0.001").count() and len(held(spark)) > len(before), name
+        assert held(spark) == before, name
+    assert sweep(spark, 48) == 0
