@@ -30,7 +30,14 @@ _LOCAL = re.compile(r"[^\W_](?:[\w.%+\-]*[\w+])?$")
 _DOMAIN = re.compile(rf"{_AT}([^\W_](?:[\w\-]*\w)?(?:{_DOT}[^\W_](?:[\w\-]*\w)?)+)")
 _WORDED = re.compile(r"([^\W_][\w.%+\-]*)\sat\s([\w\-]+(?:\sdot\s[\w\-]+)+)")
 
-_IDS = r"(?:\d{3}[- ]\d{2}[- ]\d{4}|\d{2} \d{3} \d{3} \d{3}|[A-Z]{1,3}\d{6,9}|\d{7,9}[A-Z]|[A-Z]\d{7}[A-Z]|\d{9,12})"
+#: Whose number it is: a number in brackets after one of these and a noun.
+_OWNERS = "my your his her their our mon ma votre notre son sa leur mein meine dein deine ihr ihre unser unsere mi su tu nuestro nuestra mio mia suo sua loro mijn uw jouw zijn haar".split()
+_IDS = r"(?:\d{3}[- ]\d{2}[- ]\d{4}|\d{2}-\d{7}|\d{2} \d{3} \d{3} \d{3}|[A-Z]{1,3}\d{6,9}|\d{7,9}[A-Z]|[A-Z]\d{7}[A-Z]|\d{9,12})"
+_ID_OWNED = re.compile(rf"(?<!\w)(?i:{'|'.join(_OWNERS)})\s[^\W\d_]+\s\(({_IDS})\)")
+#: Account numbers, which are neither phones nor identity numbers: international ones and cards, told by their check digits.
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_CARD = re.compile(r"(?<![\w+])\d(?:[ -]?\d){12,18}(?![\w])")
+_USER_INFO = re.compile(r"[a-z][a-z0-9+.\-]*://[^\s/@]*$", re.I)
 _ID_NEXT = re.compile(rf"[^\d\x00.;!?]{{0,40}}?(?<![\w-])({_IDS})(?![\w-])")
 _EXT = r"(?:\s?(?:ext\.?|extension|x|poste|Durchwahl|DW|int\.)\s?\d{1,5})?"
 _PHONE = re.compile(
@@ -45,7 +52,7 @@ _NO_TOWN = r"(?!(?:Tel|Tél|Phone|Telefon|Fax|Mobil)\b)"
 _UNIT = r"(?:,\s(?:bajo|ático|entlo\.?|\d{1,2}\s?º(?:\s[A-Z])?|\d{1,2}\s?[oO]\s[A-Z]|Apt\.?\s\d+|apt\.?\s\d+))?"
 _END = rf"{_UNIT}(?:,\s(?:\d{{4,5}}(?:\s[A-Z]{{2}})?\s{_TOWN}|{_NO_TOWN}{_TOWN}(?!\w|\s[a-zß]+\s(?:Sie|hat|liegt)\b)))?"
 _NO = r"\d{1,4}(?:\s?[a-zA-Z](?!\w))?"
-_EN = re.compile(rf"(?:(?:Flat|Apt\.?|Apartment|Unit)\s\d+,\s)?{_NO}\s{_CAP}(?:\s{_CAP})?\s(?:Street|Road|Lane|Avenue|Ave\.|Ave|Crescent|Square|Drive|Terrace|Close|Court|Way|St\.|Rd\.)(?!\w)(?!\s(?:signs|lamps|lights)){_END}")
+_EN = re.compile(rf"(?:(?:Flat|Apt\.?|Apartment|Unit)\s\d+,\s)?{_NO}\s{_CAP}(?:\s{_CAP})?\s(?:Street|Road|Lane|Avenue|Ave\.|Ave|Crescent|Square|Drive|Terrace|Close|Court|Way|St\.|Rd\.)(?!\w)(?!\s[a-z]{{3,}}s(?:\s(?:and|or|were|are|have|had|will)\b|[,.])){_END}")
 _FR = re.compile(rf"\d{{1,4}}(?:\s(?:bis|ter|quater))?,?\s(?:rue|avenue|boulevard|impasse|place|chemin|quai|allée|route|cours)\s(?:(?:du|des|de\sla|de|d['’])\s?)?(?:l['’])?{_CAP}(?:[- ]{_CAP})?{_END}")
 _DE = re.compile(rf"(?:(?:Am|An\sder|Im|In\sder|Zum|Zur)\s)?{_CAP}(?:-{_CAP})*(?<=\w)\s{_NO}{_END}")
 _ES = re.compile(rf"(?:Calle|C/|Avenida|Avda\.|Av\.|Plaza|Paseo|Carrera|Camino|Via|Viale|Piazza|Corso)\s(?:(?:de\sla|del|de|della|di)\s)?{_CAP}(?:\s{_CAP})?,?\s(?:n[.º°]\s?)?{_NO}{_END}")
@@ -57,7 +64,7 @@ TITLES = set("dear dr prof mr mrs ms miss sir madam herr frau m mme mlle monsieu
 #: Words that announce a name.
 CALLED = ["My name is", "Mein Name ist", "Ich heiße", "Je m'appelle", "Je m’appelle", "Me llamo", "Mi nombre es", "Mi chiamo", "Mijn naam is", "Ik heet"]
 #: Words that announce a personal number.
-ID_CUES = ["identity number", "identity card", "passport", "passeport", "pasaporte", "passaporto", "paspoort", "reisepass", "ausweisnummer", "personalausweis", "ausweis", "numéro d'identité", "numéro d’identité", "carte d'identité", "número de identidad", "documento de identidad", "numero d'identità", "carta d'identità", "identiteitsnummer", "social security", "sécurité sociale", "seguridad social", "sozialversicherungsnummer", "steuernummer", "steuer-id", "tax number", "tax id", "tax identification", "numéro fiscal", "número fiscal", "codice fiscale", "burgerservicenummer", "ssn", "dni", "nif", "nie", "your form (", "votre formulaire (", "ihr antrag (", "su formulario (", "suo modulo (", "uw formulier ("]
+ID_CUES = ["identity number", "identity card", "passport", "passeport", "pasaporte", "passaporto", "paspoort", "reisepass", "ausweisnummer", "personalausweis", "ausweis", "numéro d'identité", "numéro d’identité", "carte d'identité", "número de identidad", "documento de identidad", "numero d'identità", "carta d'identità", "identiteitsnummer", "social security", "sécurité sociale", "seguridad social", "sozialversicherungsnummer", "steuernummer", "steuer-id", "tax number", "tax id", "tax identification", "numéro fiscal", "número fiscal", "codice fiscale", "burgerservicenummer", "ssn", "dni", "nif", "nie"]
 _STREET_EN = ["Street", "Road", "Lane", "Avenue", "Ave", "Crescent", "Square", "Drive", "Terrace", "Close", "Court"]
 _STREET_FR = ["rue ", "avenue ", "boulevard ", "impasse ", "place ", "chemin ", "quai ", "allée "]
 _STREET_ES = ["Calle ", "C/ ", "Avenida ", "Avda. ", "Plaza ", "Paseo ", "Via ", "Viale ", "Piazza ", "Corso "]
@@ -87,6 +94,18 @@ def surnames_of(listed: list[str], most: int = 100_000) -> set[str]:
     return set(listed) | {p + e for p in best for e in ends}
 
 
+def iban_valid(x: str) -> bool:
+    """Whether an international account number passes its check modulo 97."""
+    x = x.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+
+
+def card_valid(x: str) -> bool:
+    """Whether a card number passes the check of alternately doubled digits."""
+    d = [int(c) for c in x if c.isdigit()][::-1]
+    return (sum(d[::2]) + sum(2 * v - 9 * (v > 4) for v in d[1::2])) % 10 == 0
+
+
 class Finder:
     """The automaton and its local parsers; built once per Python worker."""
 
@@ -99,7 +118,7 @@ class Finder:
             put(w, "at")
         put(" dot ", "dot")
         for w in ID_CUES:
-            for v in {w, w.capitalize(), w[:1].upper() + w[1:], w.upper(), w.title()}:
+            for v in {w, w.capitalize(), w[:1].upper() + w[1:], w.upper(), w.title(), w.replace(" id", " ID"), w.capitalize().replace(" id", " ID")}:
                 put(v, "id")
         for kind, words in (("en", _STREET_EN), ("fr", _STREET_FR), ("es", _STREET_ES), ("de", _STREET_DE)):
             for w in words:
@@ -119,6 +138,7 @@ class Finder:
             if found:
                 raw.append(found)
         raw += self._phones(big)
+        raw += [(2, m.start(1), m.end(1)) for m in _ID_OWNED.finditer(big)]
         raw = sorted(set(raw), key=lambda x: (_RANK[x[0]], x[1] - x[2], x[1]))
         taken: list[tuple[int, int, int]] = []
         starts: list[int] = []
@@ -138,8 +158,14 @@ class Finder:
         m = _DOMAIN.match(t, s)
         if not m:
             return None
-        left = _LOCAL.search(t[max(0, s - 64) : s])
-        return (0, s - len(left.group(0)), m.end()) if left else None
+        start = s
+        while start and (t[start - 1].isalnum() or t[start - 1] in "_.%+-"):
+            start -= 1
+        left = _LOCAL.search(t[start:s])
+        # The user and password of an address with a scheme are no mail address.
+        if not left or (start and t[start - 1] in ":/" and _USER_INFO.search(t[max(0, t.rfind(" ", 0, start), t.rfind("\n", 0, start), t.rfind(_SEP, 0, start)) : s])):
+            return None
+        return (0, s - len(left.group(0)), m.end())
 
     def _dot(self, t: str, s: int, e: int):
         at = max(0, s - 90, t.rfind(_SEP, 0, s) + 1)
@@ -191,6 +217,9 @@ class Finder:
         cut = np.flatnonzero(np.diff(at) > 3)
         first, last = np.append(0, cut + 1), np.append(cut, len(at) - 1)
         many = last - first >= 8
+        accounts = [m.span() for m in _CARD.finditer(t) if card_valid(m.group(0))] + [m.span() for m in _IBAN.finditer(t) if iban_valid(m.group(0))]
+        accounts.sort()
+        begins = [a for a, _ in accounts]
         for i, j in zip(at[first[many]].tolist(), at[last[many]].tolist()):
             p = i
             while p <= j:
@@ -204,6 +233,10 @@ class Finder:
                 if not m and s < p:
                     s = p
                     m = _PHONE.match(t, s)
+                k = bisect_right(begins, m.end() - 1) if m else 0
+                if m and k and accounts[k - 1][1] > s:
+                    p = max(p + 1, accounts[k - 1][1])
+                    continue
                 if m and 9 <= sum(c.isdigit() for c in m.group(0)) <= 20 and not _NOT_PHONE.search(t[max(0, s - 24) : s]):
                     yield (1, s, m.end())
                     p = m.end()

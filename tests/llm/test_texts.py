@@ -137,3 +137,19 @@ def test_too_many_surname_combinations_raise():
     assert set(names) <= pii.surnames_of(names)
     with pytest.raises(ValueError):
         pii.surnames_of(names, most=3)
+
+
+def test_free_sentences():
+    finder = pii.Finder(["John"], ["Smith"])
+
+    def values(text):
+        return [(pii.TYPES[k], text[s:e]) for k, s, e in finder.spans(text)]
+
+    long = "a" * 80
+    assert values(f"write to {long}@mail.example now") == [("EMAIL", f"{long}@mail.example")]
+    assert values("see https://bob:pw@host.example for it") == [] and values("mailto:bob@host.example") == [("EMAIL", "bob@host.example")]
+    assert values("IBAN DE89 3704 0044 0532 0130 00 is the account") == [] and values("card 4111 1111 1111 1111 was used") == []
+    assert ("IDENTITY", "12-3456789") in values("The tax ID number 12-3456789 is on file.")
+    assert values("Ihr Antrag (09 014 396 752) liegt vor") == [("IDENTITY", "09 014 396 752")] and values("The pallet (09 014 396 752) is here") == []
+    assert values("call +49 30 1234567 today") == [("PHONE", "+49 30 1234567")]
+    assert pii.iban_valid("DE89 3704 0044 0532 0130 00") and not pii.iban_valid("DE88 3704 0044 0532 0130 00") and pii.card_valid("4111 1111 1111 1111")
