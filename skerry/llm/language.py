@@ -365,9 +365,9 @@ def language_segments(documents: DataFrame, settings: Settings | None = None) ->
     shared = spark.sparkContext.broadcast(model)
     found = rows.mapInArrow(_labelled(shared, s), _OUT + ", text_hash bigint")
     # Repeated ids: the segments of one text, with one label.
-    one = found.groupBy("doc_id").agg(F.max(F.struct("text_hash", F.coalesce("lang", F.lit("")).alias("lang"))).alias("y"))
-    out = found.join(one, "doc_id").where("text_hash = y.text_hash").dropDuplicates(["doc_id", "segment_no"])
-    return out.select("doc_id", F.col("y.lang").alias("lang"), "segment_no", "start_char", "end_char", "lang_code", "confidence", "n_segments")
+    one = found.groupBy("doc_id", "lang", "text_hash", "n_segments").agg(F.array_sort(F.collect_set(F.struct("segment_no", "start_char", "end_char", "lang_code", "confidence"))).alias("x"))
+    best = one.groupBy("doc_id").agg(F.max(F.struct("text_hash", F.coalesce("lang", F.lit("")).alias("lang"), "n_segments", "x")).alias("y"))
+    return best.select("doc_id", F.col("y.lang").alias("lang"), F.col("y.n_segments").alias("n_segments"), F.explode("y.x").alias("z")).select("doc_id", "lang", "z.segment_no", "z.start_char", "z.end_char", "z.lang_code", "z.confidence", "n_segments")
 
 
 def label_faults(documents: DataFrame, settings: Settings | None = None) -> DataFrame:

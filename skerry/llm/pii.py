@@ -33,7 +33,8 @@ _WORDED = re.compile(r"([^\W_][\w.%+\-]*)\sat\s([\w\-]+(?:\sdot\s[\w\-]+)+)")
 #: Whose number it is: a number in brackets after one of these and a noun.
 _OWNERS = "my your his her their our mon ma votre notre son sa leur mein meine dein deine ihr ihre unser unsere mi su tu nuestro nuestra mio mia suo sua loro mijn uw jouw zijn haar".split()
 _IDS = r"(?:\d{3}[- ]\d{2}[- ]\d{4}|\d{2}-\d{7}|\d{2} \d{3} \d{3} \d{3}|[A-Z]{1,3}\d{6,9}|\d{7,9}[A-Z]|[A-Z]\d{7}[A-Z]|\d{9,12})"
-_ID_OWNED = re.compile(rf"(?<!\w)(?i:{'|'.join(_OWNERS)})\s[^\W\d_]+\s\(({_IDS})\)")
+_ID_BRACKETS = re.compile(rf"\(({_IDS})\)")
+_OWNER_BEFORE = re.compile(rf"(?<!\w)(?i:{'|'.join(_OWNERS)})\s[^\W\d_]+\s$")
 #: Account numbers, which are neither phones nor identity numbers: international ones and cards, told by their check digits.
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _CARD = re.compile(r"(?<![\w+])\d(?:[ -]?\d){12,18}(?![\w])")
@@ -138,7 +139,7 @@ class Finder:
             if found:
                 raw.append(found)
         raw += self._phones(big)
-        raw += [(2, m.start(1), m.end(1)) for m in _ID_OWNED.finditer(big)]
+        raw += [(2, m.start(1), m.end(1)) for m in _ID_BRACKETS.finditer(big) if _OWNER_BEFORE.search(big[max(0, m.start() - 60) : m.start()])]
         raw = sorted(set(raw), key=lambda x: (_RANK[x[0]], x[1] - x[2], x[1]))
         taken: list[tuple[int, int, int]] = []
         starts: list[int] = []
@@ -217,7 +218,10 @@ class Finder:
         cut = np.flatnonzero(np.diff(at) > 3)
         first, last = np.append(0, cut + 1), np.append(cut, len(at) - 1)
         many = last - first >= 8
-        accounts = [m.span() for m in _CARD.finditer(t) if card_valid(m.group(0))] + [m.span() for m in _IBAN.finditer(t) if iban_valid(m.group(0))]
+        accounts = []
+        for i, j in zip(at[first[many]].tolist(), at[last[many]].tolist()):
+            accounts += [m.span() for m in _CARD.finditer(t, i, j + 1) if card_valid(m.group(0))]
+            accounts += [m.span() for m in _IBAN.finditer(t, max(0, i - 8), j + 8) if iban_valid(m.group(0))]
         accounts.sort()
         begins = [a for a, _ in accounts]
         for i, j in zip(at[first[many]].tolist(), at[last[many]].tolist()):
