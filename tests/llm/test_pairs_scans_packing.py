@@ -237,3 +237,5 @@ def test_prefix_sums_and_token_slices(spark):
     enc = tokens.encoding(tokens.Tokenizer())
     text = "Some words, numbers 123 and  double spaces\n\nnew lines. " * 300
     assert tokens.count_tokens(text, enc, slice_=500) == len(enc.encode_ordinary(text))
+    for odd in ("x" * 3000, "ab  cd\n\n " * 300, "x" * 1200 + " y" * 900 + "  z", "12 " * 700 + "é" * 800):
+        assert tokens.count_tokens(odd, enc, slice_=500) == len(enc.encode_ordinary(odd))
