@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skerry.functions.text import strip
 from skerry.operators.order import numbered
 from skerry.operators.rules import thread_title
+from skerry.plans.shared import stacked
 
 
 def latest_threads(threads: DataFrame) -> DataFrame:
@@ -57,14 +58,14 @@ def register(documents: DataFrame, uploads: DataFrame) -> DataFrame:
     order = Window.partitionBy("user_id", "_h").orderBy("created_at", "doc_id")
     new = key(uploads).withColumn("_r", F.row_number().over(order)).where("_r = 1")
     held = key(documents).select("user_id", "_h").distinct()
-    return documents.unionByName(new.join(held, ["user_id", "_h"], "left_anti").select(*documents.columns))
+    return stacked(documents, new.join(held, ["user_id", "_h"], "left_anti").select(*documents.columns))
 
 
 def insert_threads(threads: DataFrame, new: DataFrame, now: Column) -> DataFrame:
     """threads with new ones (id, user_id, title) appended; an id that exists already is left alone."""
     rows = new.dropDuplicates(["id"]).where("id is not null").join(threads.select("id").distinct(), "id", "left_anti")
     rows = rows.withColumns({"created_at": now, "updated_at": now, "deleted": F.lit(False)})
-    return threads.unionByName(rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast(threads.schema[c].dataType).alias(c) for c in threads.columns]))
+    return stacked(threads, rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast(threads.schema[c].dataType).alias(c) for c in threads.columns]))
 
 
 def insert_messages(threads: DataFrame, messages: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -76,7 +77,7 @@ def insert_messages(threads: DataFrame, messages: DataFrame, new: DataFrame) ->
     rows = new.dropDuplicates(["id"]).join(messages.select("id").distinct(), "id", "left_anti").join(threads.select(F.col("id").alias("thread_id")).distinct(), "thread_id", "left_semi")
     last = rows.groupBy("thread_id").agg(F.max("created_at").alias("_last")).withColumnRenamed("thread_id", "id")
     touched = threads.join(last, "id", "left").withColumn("updated_at", F.greatest("updated_at", "_last")).select(*threads.columns)
-    return touched, messages.unionByName(rows.select(*messages.columns))
+    return touched, stacked(messages, rows.select(*messages.columns))
 
 
 def update_chunk_counts(documents: DataFrame, chunks: DataFrame, now: Column) -> DataFrame:
@@ -155,7 +156,7 @@ def purge(threads: DataFrame, messages: DataFrame, before: Column) -> tuple[Data
 def add_to_collection(links: DataFrame, new: DataFrame) -> DataFrame:
     """links with the pairs appended that it does not hold."""
     key = ["collection_id", "doc_id"]
-    return links.unionByName(new.dropDuplicates(key).join(links.select(*key), key, "left_anti").select(*links.columns))
+    return stacked(links, new.dropDuplicates(key).join(links.select(*key), key, "left_anti").select(*links.columns))
 
 
 def markdown_export(threads: DataFrame, messages: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
@@ -173,7 +174,7 @@ def markdown_export(threads: DataFrame, messages: DataFrame, aliases: DataFrame
     source = F.transform("citations", lambda c: F.concat(F.lit("- **"), F.coalesce(c["source_file"], F.lit("Unknown")), F.lit("**"), F.when(F.coalesce(c["page_number"], F.lit(0)) != 0, F.concat(F.lit(" (Page "), c["page_number"].cast("string"), F.lit(")"))).otherwise(""), F.when(F.coalesce(c["section"], F.lit("")) != "", F.concat(F.lit(" - *"), c["section"], F.lit("*"))).otherwise(""), F.lit("\n")))
     sources = F.when((who == "Assistant") & (F.size("citations") > 0), F.concat(F.lit("### Sources\n\n"), F.array_join(source, ""), F.lit("\n"))).otherwise("")
     body = F.concat(F.lit("## "), who, F.lit(" ("), F.coalesce(stamp("created_at"), F.lit("")), F.lit(")\n\n"), F.coalesce("content", F.lit("")), F.lit("\n\n"), sources)
-    return heads.unionByName(numbered(m, ["turn"], "message_no", group="thread_id").select("thread_id", "message_no", body.alias("markdown")))
+    return stacked(heads, numbered(m, ["turn"], "message_no", group="thread_id").select("thread_id", "message_no", body.alias("markdown")))
 
 
 def sanitised_name(name: Column, content_hash: Column) -> Column:

@@ -16,12 +16,14 @@ import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 _scopes: list[list[str]] = []
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_UNION = "spark.sql.unionOutputPartitioning"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -101,6 +103,18 @@ def materialise(df: DataFrame, label: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stacked(first: DataFrame, *rest: DataFrame) -> DataFrame:
+    """The rows of all frames by the names of their columns.
+
+    Spark 4.1 plans a union of frames hashed alike as hashed too, and joins and
+    aggregates leave their exchange out; when adaptive execution then changes
+    one frame's partitions, the union no longer is, and the job fails (can't
+    zip RDDs) or keys meet in no task. The session is told not to plan so.
+    """
+    first.sparkSession.conf.set(_UNION, "false")
+    return reduce(DataFrame.unionByName, rest, first)
+
+
 def release(df: DataFrame) -> None:
     """Delete the files behind a table made by :func:`materialise`."""
     for root in {f.rpartition("/")[0] for f in df.inputFiles()}:

@@ -153,3 +153,17 @@ def test_a_scope_leaves_nothing_behind(spark):
             assert QUERIES[name](spark, "/root/testdata/sf0.001").count() and len(held(spark)) > len(before), name
         assert held(spark) == before, name
     assert sweep(spark, 48) == 0
+
+
+def test_threads_inserted_again_over_shuffled_joins(spark):
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        threads = materialise(spark.range(20_000).selectExpr("concat('t', id) AS id", "concat('u', id % 50) AS user_id", "'Old' AS title", "timestamp '2024-01-01' AS created_at", "timestamp '2024-01-01' AS updated_at", "false AS deleted"))
+        new = materialise(spark.range(500).selectExpr("concat('new', id % 50) AS id", "concat('u', id % 50) AS user_id", "'Hello' AS title")).distinct()
+        now = F.lit("2025-01-01").cast("timestamp")
+        once = store.insert_threads(store.latest_threads(threads), new, now)
+        got = [r.id for r in store.insert_threads(once, new, now).collect()]
+        assert len(got) == 20_050 == len(set(got))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
