@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from skerry.functions.fixed import BM25_B, BM25_EPSILON, BM25_K1, RRF_K, TOP_K
 from skerry.functions.text import tokens
@@ -20,6 +23,8 @@ from skerry.plans.shared import materialise
 
 #: Scores that agree to so many digits are ties.
 TIE_DIGITS = 12
+#: Texts that a task scores at once against a batch of questions, questions it sums up at once, and the share of texts from which a term's column is dense.
+BLOCK, TOGETHER, DENSE = 16_384, 32, 0.08
 #: Up to so many different terms of a batch of questions are pushed into the scan of the postings.
 PUSHED_TERMS = 1_000
 
@@ -179,6 +184,179 @@ def bm25(chunks: DataFrame, questions: DataFrame, k: int = TOP_K, where: Column
     return _shown(both.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k))
 
 
+@dataclass
+class Texts:
+    """What many questions are scored against: texts (id, content) in files, terms (term, df, idf), how many and how long they are; ids that several rows have."""
+
+    texts: DataFrame
+    terms: DataFrame
+    rows: int
+    avgdl: float
+    repeated: bool
+
+
+def texts_of(chunks: DataFrame) -> Texts:
+    """The texts of chunks written once, with the statistics of their words; no postings are made."""
+    texts = materialise(chunks.select("id", "content"), "texts")
+    words = texts.select(tokens("content").alias("ts"))
+    n = words.agg(F.count("*").alias("n_docs"), F.avg(F.size("ts")).alias("avgdl"))
+    df = words.select(F.explode(F.array_distinct("ts")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    got = n.first()
+    repeated = bool(texts.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count())
+    return Texts(texts, materialise(_with_idf(df, n.select("n_docs")), "terms"), got.n_docs, got.avgdl or 0.0, repeated)
+
+
+def among(texts: Texts, ids: DataFrame) -> Texts:
+    """Only the texts of some ids, with the statistics of all."""
+    return replace(texts, texts=materialise(texts.texts.join(ids.select("id").distinct(), "id", "left_semi"), "among"))
+
+
+@dataclass
+class _Asked:
+    """A batch of questions: qids; terms, dense ones first; and sorted by question the places of its terms and their weights (times asked x idf)."""
+
+    qids: pa.Array
+    terms: pa.Array
+    dense: int
+    question: np.ndarray
+    term: np.ndarray
+    weight: np.ndarray
+    avgdl: float
+
+
+def _asked(texts: Texts, questions: DataFrame) -> _Asked:
+    rows = few(questions.select("qid", tokens("query").alias("ts"))).toArrow().combine_chunks()
+    known = texts.terms.join(questions.select(F.explode(tokens("query")).alias("term")).distinct(), "term").orderBy(F.desc("df"), "term").toArrow()
+    terms = pa.array(known.column("term").to_pylist(), pa.string())
+    qids = pc.unique(rows.column("qid"))
+    ts = pa.array([t for r in rows.column("ts").to_pylist() for t in r], pa.string())
+    place = pc.index_in(rows.column("qid"), qids).to_numpy(zero_copy_only=False).astype(np.int64)
+    owner = np.repeat(place, pc.list_value_length(rows.column("ts")).to_numpy(zero_copy_only=False))
+    at = pc.fill_null(pc.index_in(ts, terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    key, times = np.unique(owner[at >= 0] * max(1, len(terms)) + at[at >= 0], return_counts=True)
+    question, term = np.divmod(key, max(1, len(terms)))
+    dense = int((known.column("df").to_numpy() > DENSE * texts.rows).sum())
+    return _Asked(qids, terms, dense, question, term, times * known.column("idf").to_numpy()[term], texts.avgdl)
+
+
+def _ranges(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers lo, lo + 1, ... (n of them) of each range."""
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - lo, n)
+
+
+def _best(question: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """The places of each question's k best, later ids first of ties."""
+    order = np.lexsort((ids, score, -question))[::-1]
+    q = question[order]
+    return order[np.arange(len(q)) - np.searchsorted(q, q) < k]
+
+
+def _scores(a: _Asked, ids: np.ndarray, dl: np.ndarray, doc: np.ndarray, at: np.ndarray, k: int, floor: np.ndarray):
+    """(question, score, id) of what may be among the k best of a block of texts: their words are `at` of the terms, `floor` is the score to reach.
+
+    Dense terms are a matrix product, the others are summed up from their
+    postings. These sums only choose: what they choose is summed once more
+    in the order of the question's terms, so that equal texts tie.
+    """
+    n, count = len(dl), len(a.terms)
+    key, tf = np.unique(at * n + doc, return_counts=True)
+    t, d = np.divmod(key, max(1, n))
+    part = tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * dl[d] / a.avgdl))
+    start = np.searchsorted(t, np.arange(count + 1))
+    columns = np.zeros((a.dense, n))
+    columns[t[: start[a.dense]], d[: start[a.dense]]] = part[: start[a.dense]]
+    first = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1])
+    names = ids[first]
+    ends = np.append(first[1:], n)
+    for lo in range(0, len(a.qids), TOGETHER):
+        hi = min(lo + TOGETHER, len(a.qids))
+        mine = slice(*np.searchsorted(a.question, [lo, hi]))
+        q, term, w = a.question[mine] - lo, a.term[mine], a.weight[mine]
+        thick = term < a.dense
+        weights = np.zeros((hi - lo, a.dense))
+        weights[q[thick], term[thick]] = w[thick]
+        sizes = (start[term + 1] - start[term])[~thick]
+        to = _ranges(start[term[~thick]], sizes)
+        total = np.bincount(np.repeat(q[~thick] * n, sizes) + d[to], np.repeat(w[~thick], sizes) * part[to], (hi - lo) * n).reshape(hi - lo, n) + weights @ columns
+        if len(names) < n:
+            total = np.add.reduceat(total, first, axis=1)
+        least = floor[lo:hi]
+        if len(names) > k and np.isneginf(least).any():
+            least = np.maximum(least, np.partition(total, len(names) - k, axis=1)[:, len(names) - k])
+        i, j = np.nonzero(total >= (least - 1e-10 * (1 + np.abs(least)))[:, None])
+        # All rows of an id that was chosen, and for each all terms of the question.
+        rows = ends[j] - first[j]
+        hit, text = np.repeat(np.arange(len(i)), rows), _ranges(first[j], rows)
+        begin = np.searchsorted(q, np.arange(hi - lo + 1))
+        sizes = (begin[1:] - begin[:-1])[i[hit]]
+        exact = np.zeros(len(i), np.longdouble)
+        for some in np.array_split(np.arange(len(hit)), max(1, int(sizes.sum()) >> 20)):
+            e = _ranges(begin[i[hit[some]]], sizes[some])
+            want = term[e] * n + np.repeat(text[some], sizes[some])
+            place = np.minimum(np.searchsorted(key, want), max(0, len(key) - 1))
+            there = np.flatnonzero(key[place] == want) if len(key) else np.zeros(0, np.int64)
+            np.add.at(exact, np.repeat(hit[some], sizes[some])[there], (w[e[there]] * part[place[there]]).astype(np.longdouble))
+        yield i + lo, np.round(exact, TIE_DIGITS).astype(np.float64), names[j]
+
+
+def bm25_many(texts: Texts, questions: DataFrame, k: int = TOP_K) -> DataFrame:
+    """As bm25(), for large batches: each task scores its texts against all questions and gives its k best for each, so pairs are not shuffled."""
+    asked = _asked(texts, questions)
+    spark = texts.texts.sparkSession
+    shared = spark.sparkContext.broadcast(asked)
+
+    def run(batches):
+        a = shared.value
+        floor, held = np.full(len(a.qids), -np.inf), []
+
+        def blocks():
+            kept, rows = [], 0
+            for b in batches:
+                b = b.filter(pc.is_valid(b.column("id")))
+                if b.num_rows:
+                    kept, rows = [*kept, b], rows + b.num_rows
+                if rows > BLOCK:
+                    t = pa.Table.from_batches(kept).combine_chunks()
+                    # The rows of one id stay together.
+                    last = t.column("id")[-1].as_py()
+                    cut = rows - 1
+                    while cut and t.column("id")[cut - 1].as_py() == last:
+                        cut -= 1
+                    if cut:
+                        yield t.slice(0, cut)
+                        kept, rows = t.slice(cut).to_batches(), rows - cut
+            if rows:
+                yield pa.Table.from_batches(kept)
+
+        for t in blocks():
+            t = t.combine_chunks()
+            ids = t.column("id").to_numpy()
+            ids = ids.astype(str) if ids.dtype == object else ids
+            words = t.column("ts").combine_chunks()
+            dl = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+            at = pc.fill_null(pc.index_in(words.flatten(), a.terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            doc = np.repeat(np.arange(len(dl)), dl)
+            found = list(_scores(a, ids, dl, doc[at >= 0], at[at >= 0], k, floor))
+            question, score, name = (np.concatenate(x) for x in zip(*held, *found))
+            best = _best(question, score, name, k)
+            held = [(question[best], score[best], name[best])]
+            full = np.flatnonzero(np.bincount(question[best], minlength=len(floor)) >= k)
+            floor[full] = score[best][np.searchsorted(question[best], full, side="right") - 1]
+        for question, score, name in held:
+            for lo in range(0, len(question), 100_000):
+                some = slice(lo, lo + 100_000)
+                yield pa.RecordBatch.from_arrays([a.qids.take(pa.array(question[some])), pa.array(name[some].tolist(), kind), pa.array(score[some])], names=["qid", "id", "score"])
+
+    kind = to_arrow_type(texts.texts.schema["id"].dataType)
+    schema = StructType([StructField("qid", questions.schema["qid"].dataType), StructField("id", texts.texts.schema["id"].dataType), StructField("score", DoubleType())])
+    # A task gives k rows a question: no more tasks than keep the cores busy.
+    rows = texts.texts.repartition("id").sortWithinPartitions("id") if texts.repeated else texts.texts.coalesce(4 * spark.sparkContext.defaultParallelism)
+    scored = rows.select("id", tokens("content").alias("ts")).mapInArrow(run, schema) if len(asked.qids) else spark.createDataFrame([], schema)
+    scored = scored.withColumn("score", F.round("score", TIE_DIGITS))
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("id"))
+    return _shown(scored.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k))
+
+
 def _shown(hits: DataFrame) -> DataFrame:
     """Ranks are taken of scores that are equal only up to the noise of sums; what is shown has six digits."""
     return hits.withColumn("score", F.round("score", 6))

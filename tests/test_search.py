@@ -134,3 +134,30 @@ def test_ranks_are_taken_before_rounding(spark):
     q = spark.createDataFrame([(7, [1.0, 0.0])], "qid bigint, q array<double>")
     for f in (search.vector_search, search.vector_search_many):
         assert [(r.id, r.score) for r in f(v, q, 2).orderBy("rank").collect()] == [(2, 1.0), (1, 1.0)]
+
+
+def test_many_questions_equal_one_search(spark):
+    rows = [(i, " ".join(f"w{(i * j) % (7 + j)}" for j in range(1, 1 + i % 9))) for i in range(60)]
+    rows += [(60, None), (61, ""), (62, rows[8][1]), (63, rows[8][1]), (8, "w1 w2 again"), (None, "w1")]
+    c = spark.createDataFrame(rows, "id bigint, content string").where("id is not null").repartition(5)
+    q = spark.createDataFrame([(1, "w1 w2 w1"), (2, rows[8][1]), (3, "zzz"), (4, None), (5, "W0 w3 w5"), (5, "w1")], "qid int, query string")
+    got = lambda x: sorted(map(tuple, x.select("qid", "id", "score", "rank").collect()))
+    want = got(search.bm25(c, q, 7))
+    assert got(search.bm25_many(search.texts_of(c), q, 7)) == want and len(want) == 35
+    assert got(search.in_blocks(q, lambda b: search.bm25_many(search.texts_of(c), b, 7), most=2)) == want
+    some, q = c.where("id < 4"), q.where("qid < 5")
+    assert got(search.bm25_many(search.among(search.texts_of(c), some), q, 7)) == got(search.bm25(c, q, 7, F.col("id") < 4))
+
+
+def without_postings(spark, name):
+    from skerry.plans.queries import QUERIES
+    from skerry.plans.shared import held, scope
+
+    with scope(spark):
+        before = held(spark)
+        n = QUERIES[name](spark, "/root/testdata/sf0.001").count()
+        return n and not [x for x in held(spark) if x not in before and "/postings-" in x]
+
+
+def test_bm25_topk_writes_no_postings(spark):
+    assert without_postings(spark, "bm25_topk")
