@@ -409,7 +409,8 @@ def vector_search_many(vectors: DataFrame, questions: DataFrame, k: int = TOP_K)
                 i, j = i[first], j[first]
                 yield pa.RecordBatch.from_arrays([pa.array(names[lo + i]), pa.array(ids[j]), pa.array(score[i, j])], names=["qid", "id", "score"])
 
-    scored = vectors.select("id", "embedding").mapInArrow(run, "qid bigint, id bigint, score double").withColumn("score", F.round("score", TIE_DIGITS))
+    schema = StructType([StructField("qid", questions.schema["qid"].dataType), StructField("id", vectors.schema["id"].dataType), StructField("score", DoubleType())])
+    scored = vectors.select("id", "embedding").mapInArrow(run, schema).withColumn("score", F.round("score", TIE_DIGITS))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     return _shown(scored.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k))
 

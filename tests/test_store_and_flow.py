@@ -167,3 +167,12 @@ def test_threads_inserted_again_over_shuffled_joins(spark):
         assert len(got) == 20_050 == len(set(got))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_ask_takes_questions_in_blocks(spark):
+    """More questions than a batch may have, vectors included."""
+    c = spark.createDataFrame([(1, "the audit committee met"), (2, "nothing here"), (3, "some other text")], "id bigint, content string")
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0])], "id bigint, embedding array<double>")
+    q = spark.range(10_100).selectExpr("id AS qid", "'what did the audit committee do' AS query")
+    got = flow.ask(q, c, v, q.selectExpr("qid", "array(1D, 0D) AS q"), k=2).groupBy("ids").count().collect()
+    assert [(r.ids, r["count"]) for r in got] == [([1, 3], 10_100)]
