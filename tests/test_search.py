@@ -161,3 +161,7 @@ def without_postings(spark, name):
 
 def test_bm25_topk_writes_no_postings(spark):
     assert without_postings(spark, "bm25_topk")
+
+
+def test_hybrid_bm25_only_writes_no_postings(spark):
+    assert without_postings(spark, "hybrid_bm25_only")
