@@ -165,3 +165,7 @@ def test_bm25_topk_writes_no_postings(spark):
 
 def test_hybrid_bm25_only_writes_no_postings(spark):
     assert without_postings(spark, "hybrid_bm25_only")
+
+
+def test_rerank_none_writes_no_postings(spark):
+    assert without_postings(spark, "rerank_none")
