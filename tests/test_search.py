@@ -169,3 +169,7 @@ def test_hybrid_bm25_only_writes_no_postings(spark):
 
 def test_rerank_none_writes_no_postings(spark):
     assert without_postings(spark, "rerank_none")
+
+
+def test_bm25_tenant_writes_no_postings(spark):
+    assert without_postings(spark, "bm25_tenant")
