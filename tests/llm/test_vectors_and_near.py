@@ -214,3 +214,9 @@ def test_no_link_is_lost_at_the_least_similarity(spark):
     assert len(want) == 300 and max(len(s[i] & s[j]) / len(s[i] | s[j]) for i, j in want) < 0.56
     df = spark.createDataFrame([(i, t, "text", i, 0) for i, t in enumerate(texts)], SN)
     assert {tuple(r) for r in near.near_pairs(df).collect()} == want
+
+
+def test_pairs_do_not_depend_on_the_sample_that_orders_shingles(spark):
+    chunks = spark.read.parquet("/root/testdata/sf0.001/chunks.parquet")
+    got = [{tuple(r) for r in near.near_pairs(chunks, near.Settings(sample=n)).collect()} for n in (0, 20, 10**9)]
+    assert got[0] == got[1] == got[2] and got[0]
