@@ -23,8 +23,10 @@ from skerry.plans.shared import materialise
 
 #: Scores that agree to so many digits are ties.
 TIE_DIGITS = 12
-#: Texts that a task scores at once against a batch of questions, questions it sums up at once, and the share of texts from which a term's column is dense.
-BLOCK, TOGETHER, DENSE = 16_384, 32, 0.08
+#: Texts that a task scores at once against a batch of questions, texts in a group with a bound of its own, frequent terms that form the groups.
+BLOCK, GROUP, LEADING = 32_768, 512, 64
+#: Questions that are summed up at once, and the share of a group's texts from which a term's column is dense.
+TOGETHER, DENSE = 512, 0.08
 #: Up to so many different terms of a batch of questions are pushed into the scan of the postings.
 PUSHED_TERMS = 1_000
 
@@ -186,7 +188,7 @@ def bm25(chunks: DataFrame, questions: DataFrame, k: int = TOP_K, where: Column
 
 @dataclass
 class Texts:
-    """What many questions are scored against: texts (id, content) in files, terms (term, df, idf), how many and how long they are; ids that several rows have."""
+    """What many questions are scored against: texts (id, ts: their words) in files, terms (term, df, idf), how many and how long they are; ids that several rows have."""
 
     texts: DataFrame
     terms: DataFrame
@@ -196,11 +198,10 @@ class Texts:
 
 
 def texts_of(chunks: DataFrame) -> Texts:
-    """The texts of chunks written once, with the statistics of their words; no postings are made."""
-    texts = materialise(chunks.select("id", "content"), "texts")
-    words = texts.select(tokens("content").alias("ts"))
-    n = words.agg(F.count("*").alias("n_docs"), F.avg(F.size("ts")).alias("avgdl"))
-    df = words.select(F.explode(F.array_distinct("ts")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    """The words of chunks written once, with their statistics; no postings are made."""
+    texts = materialise(chunks.select("id", tokens("content").alias("ts")), "texts")
+    n = texts.agg(F.count("*").alias("n_docs"), F.avg(F.size("ts")).alias("avgdl"))
+    df = texts.select(F.explode(F.array_distinct("ts")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     got = n.first()
     repeated = bool(texts.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count())
     return Texts(texts, materialise(_with_idf(df, n.select("n_docs")), "terms"), got.n_docs, got.avgdl or 0.0, repeated)
@@ -213,11 +214,10 @@ def among(texts: Texts, ids: DataFrame) -> Texts:
 
 @dataclass
 class _Asked:
-    """A batch of questions: qids; terms, dense ones first; and sorted by question the places of its terms and their weights (times asked x idf)."""
+    """A batch of questions: qids; terms, frequent ones first; and sorted by question the places of its terms and their weights (times asked x idf)."""
 
     qids: pa.Array
     terms: pa.Array
-    dense: int
     question: np.ndarray
     term: np.ndarray
     weight: np.ndarray
@@ -235,8 +235,7 @@ def _asked(texts: Texts, questions: DataFrame) -> _Asked:
     at = pc.fill_null(pc.index_in(ts, terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
     key, times = np.unique(owner[at >= 0] * max(1, len(terms)) + at[at >= 0], return_counts=True)
     question, term = np.divmod(key, max(1, len(terms)))
-    dense = int((known.column("df").to_numpy() > DENSE * texts.rows).sum())
-    return _Asked(qids, terms, dense, question, term, times * known.column("idf").to_numpy()[term], texts.avgdl)
+    return _Asked(qids, terms, question, term, times * known.column("idf").to_numpy()[term], texts.avgdl)
 
 
 def _ranges(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -251,52 +250,134 @@ def _best(question: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> n
     return order[np.arange(len(q)) - np.searchsorted(q, q) < k]
 
 
-def _scores(a: _Asked, ids: np.ndarray, dl: np.ndarray, doc: np.ndarray, at: np.ndarray, k: int, floor: np.ndarray):
+def _thick_first(seen: np.ndarray) -> np.ndarray:
+    """An order of texts in which those with the same frequent terms are near each other; `seen` says who has which, one column a term."""
+    return np.lexsort(np.packbits(seen, axis=1).T[::-1])
+
+
+def _kth(total: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest of each row, -inf where there are fewer."""
+    return np.partition(total, total.shape[1] - k, axis=1)[:, total.shape[1] - k] if total.shape[1] >= k else np.full(len(total), -np.inf)
+
+
+def _slack(least: np.ndarray) -> np.ndarray:
+    """A score to reach, less by more than the noise of a sum."""
+    return np.where(np.isneginf(least), least, least - 1e-10 * (1 + np.abs(np.where(np.isneginf(least), 0, least))))
+
+
+def _scores(a: _Asked, ids: np.ndarray, dl: np.ndarray, doc: np.ndarray, at: np.ndarray, k: int, floor: np.ndarray, counts: list[int] | None = None):
     """(question, score, id) of what may be among the k best of a block of texts: their words are `at` of the terms, `floor` is the score to reach.
 
-    Dense terms are a matrix product, the others are summed up from their
-    postings. These sums only choose: what they choose is summed once more
-    in the order of the question's terms, so that equal texts tie.
+    Texts with the same frequent terms are put into groups. What a question
+    can score in a group is bounded by the largest part of each of its terms
+    there; it is asked in the most promising group first, then in those whose
+    bound reaches what it has found. Terms that many texts of the group have
+    are a matrix product, the others are summed up from their postings. These
+    sums only choose: what they choose is summed once more in the order of
+    the question's terms, so that equal texts tie. `counts` collects the
+    pairs of a question and a group, and of these the ones summed up.
     """
-    n, count = len(dl), len(a.terms)
-    key, tf = np.unique(at * n + doc, return_counts=True)
-    t, d = np.divmod(key, max(1, n))
-    part = tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * dl[d] / a.avgdl))
-    start = np.searchsorted(t, np.arange(count + 1))
-    columns = np.zeros((a.dense, n))
-    columns[t[: start[a.dense]], d[: start[a.dense]]] = part[: start[a.dense]]
+    count, asked = max(1, len(a.terms)), len(a.qids)
     first = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1])
-    names = ids[first]
-    ends = np.append(first[1:], n)
-    for lo in range(0, len(a.qids), TOGETHER):
-        hi = min(lo + TOGETHER, len(a.qids))
-        mine = slice(*np.searchsorted(a.question, [lo, hi]))
-        q, term, w = a.question[mine] - lo, a.term[mine], a.weight[mine]
-        thick = term < a.dense
-        weights = np.zeros((hi - lo, a.dense))
-        weights[q[thick], term[thick]] = w[thick]
-        sizes = (start[term + 1] - start[term])[~thick]
-        to = _ranges(start[term[~thick]], sizes)
-        total = np.bincount(np.repeat(q[~thick] * n, sizes) + d[to], np.repeat(w[~thick], sizes) * part[to], (hi - lo) * n).reshape(hi - lo, n) + weights @ columns
-        if len(names) < n:
-            total = np.add.reduceat(total, first, axis=1)
-        least = floor[lo:hi]
-        if len(names) > k and np.isneginf(least).any():
-            least = np.maximum(least, np.partition(total, len(names) - k, axis=1)[:, len(names) - k])
-        i, j = np.nonzero(total >= (least - 1e-10 * (1 + np.abs(least)))[:, None])
-        # All rows of an id that was chosen, and for each all terms of the question.
-        rows = ends[j] - first[j]
-        hit, text = np.repeat(np.arange(len(i)), rows), _ranges(first[j], rows)
-        begin = np.searchsorted(q, np.arange(hi - lo + 1))
-        sizes = (begin[1:] - begin[:-1])[i[hit]]
-        exact = np.zeros(len(i), np.longdouble)
-        for some in np.array_split(np.arange(len(hit)), max(1, int(sizes.sum()) >> 20)):
-            e = _ranges(begin[i[hit[some]]], sizes[some])
-            want = term[e] * n + np.repeat(text[some], sizes[some])
-            place = np.minimum(np.searchsorted(key, want), max(0, len(key) - 1))
-            there = np.flatnonzero(key[place] == want) if len(key) else np.zeros(0, np.int64)
-            np.add.at(exact, np.repeat(hit[some], sizes[some])[there], (w[e[there]] * part[place[there]]).astype(np.longdouble))
-        yield i + lo, np.round(exact, TIE_DIGITS).astype(np.float64), names[j]
+    rows = np.append(first[1:], len(ids)) - first
+    seen = np.zeros((len(first), min(count, LEADING)), bool)
+    often = at < LEADING
+    seen[np.repeat(np.arange(len(first)), rows)[doc[often]], at[often]] = True
+    # The rows of an id stay together.
+    order = _thick_first(seen)
+    names, moved = ids[first[order]], _ranges(first[order], rows[order])
+    rows = rows[order]
+    begins = np.concatenate([[0], np.cumsum(rows)])
+    to = np.empty(len(dl), np.int64)
+    to[moved] = np.arange(len(dl))
+    dl, doc = dl[moved], to[doc]
+    groups = -(-len(names) // GROUP)
+    low = begins[np.minimum(np.arange(groups + 1) * GROUP, len(names))]
+    wide = int(np.diff(low).max())
+    group = np.repeat(np.arange(groups), np.diff(low))
+    key, tf = np.unique((group[doc] * count + at) * wide + doc - low[group[doc]], return_counts=True)
+    cell, d = np.divmod(key, wide)
+    length = dl[low[cell // count] + d]
+    part = tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * length / a.avgdl))
+    start = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
+    cells, size = cell[start], np.diff(np.append(start, len(cell)))
+    most = np.zeros((count, groups))
+    if len(start):
+        most[cells % count, cells // count] = np.maximum.reduceat(part, start)
+    begin = np.searchsorted(a.question, np.arange(asked + 1))
+    bound = np.zeros((asked, groups))
+    for lo in range(0, asked, TOGETHER):
+        q = lo + np.flatnonzero(np.diff(begin[lo : lo + TOGETHER + 1]))
+        if len(q):
+            mine = slice(begin[lo], begin[min(lo + TOGETHER, asked)])
+            bound[q] = np.add.reduceat(np.maximum(a.weight[mine], 0)[:, None] * most[a.term[mine]], begin[q] - begin[lo])
+    bound *= np.maximum.reduceat(rows, np.arange(groups) * GROUP)
+    least, found = floor.copy(), []
+
+    def ask(g: int, questions: np.ndarray, first_time: bool) -> None:
+        """Adds what questions may find in a group to `found`, and the first time raises what they have to reach."""
+        mine = slice(*np.searchsorted(cells, [g * count, (g + 1) * count]))
+        n, inside = low[g + 1] - low[g], slice(g * GROUP, min((g + 1) * GROUP, len(names)))
+        local = np.full(count, -1)
+        local[cells[mine] % count] = np.arange(mine.start, mine.stop)
+        thick = np.flatnonzero(size[mine] > DENSE * n) + mine.start
+        column = np.full(mine.stop - mine.start + 1, -1)
+        column[thick - mine.start] = np.arange(len(thick))
+        columns = np.zeros((len(thick), n))
+        p = _ranges(start[thick], size[thick])
+        columns[np.repeat(np.arange(len(thick)), size[thick]), d[p]] = part[p]
+        for lo in range(0, len(questions), TOGETHER):
+            some = questions[lo : lo + TOGETHER]
+            terms = begin[some + 1] - begin[some]
+            e = _ranges(begin[some], terms)
+            q, c, w = np.repeat(np.arange(len(some)), terms), local[a.term[e]], a.weight[e]
+            q, c, w = q[c >= 0], c[c >= 0], w[c >= 0]
+            dense = column[c - mine.start]
+            weights = np.zeros((len(some), len(thick)))
+            weights[q[dense >= 0], dense[dense >= 0]] = w[dense >= 0]
+            q, c, w = q[dense < 0], c[dense < 0], w[dense < 0]
+            p = _ranges(start[c], size[c])
+            total = np.bincount(np.repeat(q * n, size[c]) + d[p], np.repeat(w, size[c]) * part[p], len(some) * n).reshape(len(some), n) + weights @ columns
+            if n > inside.stop - inside.start:
+                total = np.add.reduceat(total, begins[inside] - low[g], axis=1)
+            if first_time:
+                least[some] = np.maximum(least[some], _kth(total, k))
+            reach = _slack(least[some])
+            # Where texts without any of its terms are good enough for a question, only the last k by id are.
+            for x in np.flatnonzero(reach <= 0):
+                bare = np.flatnonzero(total[x] == 0)
+                total[x, bare[np.argsort(names[inside][bare])[:-k]]] = -np.inf
+            chosen = np.flatnonzero((total >= reach[:, None]) & (total > -np.inf))
+            i, j = np.divmod(chosen, total.shape[1])
+            found.append((some[i], j + inside.start, total.ravel()[chosen]))
+
+    best, summed = bound.argmax(1), 0
+    for again in (False, True):
+        for g in range(groups):
+            q = np.flatnonzero(((best == g) ^ again) & (bound[:, g] >= _slack(least)))
+            if len(q):
+                ask(g, q, not again)
+                summed += len(q)
+    if counts is not None:
+        counts[:] = [a + b for a, b in zip(counts or [0, 0], (asked * groups, summed))]
+    i, j, total = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    ordered = np.lexsort((-total, i))
+    last = np.flatnonzero(np.arange(len(i)) - np.searchsorted(i[ordered], i[ordered]) == k - 1)
+    least[i[ordered[last]]] = total[ordered[last]]
+    ok = total >= _slack(least)[i]
+    i, j = i[ok], j[ok]
+    # All rows of an id that was chosen, and for each all terms of the question.
+    hit, text = np.repeat(np.arange(len(i)), rows[j]), _ranges(begins[j], rows[j])
+    terms = (begin[1:] - begin[:-1])[i[hit]]
+    exact = np.zeros(len(i), np.longdouble)
+    for some in np.array_split(np.arange(len(hit)), max(1, int(terms.sum()) >> 20)):
+        e = _ranges(begin[i[hit[some]]], terms[some])
+        g = np.repeat(group[text[some]], terms[some])
+        want = (g * count + a.term[e]) * wide + np.repeat(text[some], terms[some]) - low[g]
+        place = np.minimum(np.searchsorted(key, want), max(0, len(key) - 1))
+        there = np.flatnonzero(key[place] == want) if len(key) else np.zeros(0, np.int64)
+        np.add.at(exact, np.repeat(hit[some], terms[some])[there], (a.weight[e[there]] * part[place[there]]).astype(np.longdouble))
+    yield i, np.round(exact, TIE_DIGITS).astype(np.float64), names[j]
 
 
 def bm25_many(texts: Texts, questions: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -351,7 +432,7 @@ def bm25_many(texts: Texts, questions: DataFrame, k: int = TOP_K) -> DataFrame:
     schema = StructType([StructField("qid", questions.schema["qid"].dataType), StructField("id", texts.texts.schema["id"].dataType), StructField("score", DoubleType())])
     # A task gives k rows a question: no more tasks than keep the cores busy.
     rows = texts.texts.repartition("id").sortWithinPartitions("id") if texts.repeated else texts.texts.coalesce(4 * spark.sparkContext.defaultParallelism)
-    scored = rows.select("id", tokens("content").alias("ts")).mapInArrow(run, schema) if len(asked.qids) else spark.createDataFrame([], schema)
+    scored = rows.mapInArrow(run, schema) if len(asked.qids) else spark.createDataFrame([], schema)
     scored = scored.withColumn("score", F.round("score", TIE_DIGITS))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("id"))
     return _shown(scored.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k))

@@ -1,6 +1,8 @@
 import math
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,6 +161,54 @@ def without_postings(spark, name):
         return n and not [x for x in held(spark) if x not in before and "/postings-" in x]
 
 
+def asked_of(terms, questions, avgdl):
+    """A batch of questions, each {place of a term: weight}."""
+    rows = [(i, t, w) for i, q in enumerate(questions) for t, w in sorted(q.items())]
+    question, term, weight = (np.array(x) for x in zip(*rows))
+    return search._Asked(pa.array(range(len(questions))), pa.array([f"w{t}" for t in range(terms)]), question, term, weight.astype(float), avgdl)
+
+
+def summed(a, ids, texts, k):
+    """{question: its k best (score, id)}, rows of one id summed."""
+    out = {}
+    for q in range(len(a.qids)):
+        score = dict.fromkeys(ids, 0.0)
+        for i, t in zip(ids, texts):
+            for term, w in zip(a.term[a.question == q], a.weight[a.question == q]):
+                tf = t.count(term)
+                score[i] += w * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(t) / a.avgdl))
+        out[q] = sorted(((round(s, 9), i) for i, s in score.items()), reverse=True)[:k]
+    return out
+
+
+def test_groups_of_texts_lose_no_hit(monkeypatch):
+    monkeypatch.setattr(search, "GROUP", 8)
+    monkeypatch.setattr(search, "TOGETHER", 3)
+    rng = np.random.default_rng(5)
+    # Two vocabularies, copies, blank texts, ids of several rows; the last two questions meet one text and none.
+    texts = [list(rng.integers(0, 20, 12) + 20 * (i % 2)) for i in range(90)] + [[]] * 12 + [[41]]
+    texts += texts[:9]
+    ids = np.array([*range(100), 99, 100, 100, *range(200, 200 + len(texts) - 103)])
+    questions = [{int(t): float(w) for t, w in zip(rng.choice(20, 6, False) + 20 * (q % 2), rng.random(6))} for q in range(12)] + [{41: 1.0}, {42: 1.0}]
+    a = asked_of(43, questions, 11.0)
+    doc, at = np.repeat(np.arange(len(texts)), [len(t) for t in texts]), np.array([x for t in texts for x in t], np.int64)
+    counts = []
+    for k in (1, 4, 500):
+        found = list(search._scores(a, ids, np.array([len(t) for t in texts]), doc, at, k, np.full(len(questions), -np.inf), counts))
+        q, score, name = (np.concatenate(x) for x in zip(*found))
+        best = search._best(q, score, name, k)
+        want = summed(a, ids.tolist(), texts, k)
+        assert {x: [(round(s, 9), i) for y, s, i in zip(q[best], score[best].tolist(), name[best].tolist()) if y == x] for x in want} == want
+        if k == 1:
+            # Groups of the other vocabulary are not summed up, and of the texts without a term few are listed.
+            assert counts[1] < 0.7 * counts[0] and (q == 13).sum() <= len(texts) / 8
+
+
+def test_words_are_cut_once(spark):
+    c = spark.createDataFrame([(1, "Alpha beta  alpha"), (2, None)], "id bigint, content string")
+    assert {(r.id, tuple(r.ts)) for r in search.texts_of(c).texts.collect()} == {(1, ("alpha", "beta", "alpha")), (2, ())}
+
+
 def test_bm25_topk_writes_no_postings(spark):
     assert without_postings(spark, "bm25_topk")
 
