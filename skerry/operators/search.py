@@ -197,14 +197,25 @@ class Texts:
     repeated: bool
 
 
-def texts_of(chunks: DataFrame) -> Texts:
-    """The words of chunks written once, with their statistics; no postings are made."""
-    texts = materialise(chunks.select("id", tokens("content").alias("ts")), "texts")
+def texts_of(chunks: DataFrame, where: Column | None = None) -> Texts:
+    """The words of chunks written once, with their statistics; no postings are made.
+
+    Only ids with a chunk that meets `where` are searched; the statistics are
+    of all. It is asked where the words are written, so that these are not
+    shuffled to be joined, unless several chunks have one id.
+    """
+    allowed = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+    written = materialise(chunks.select("id", tokens("content").alias("ts"), allowed.alias("allowed")), "texts")
+    texts = written.select("id", "ts")
     n = texts.agg(F.count("*").alias("n_docs"), F.avg(F.size("ts")).alias("avgdl"))
     df = texts.select(F.explode(F.array_distinct("ts")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     got = n.first()
     repeated = bool(texts.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count())
-    return Texts(texts, materialise(_with_idf(df, n.select("n_docs")), "terms"), got.n_docs, got.avgdl or 0.0, repeated)
+    out = Texts(texts, materialise(_with_idf(df, n.select("n_docs")), "terms"), got.n_docs, got.avgdl or 0.0, repeated)
+    if where is None:
+        return out
+    searched = written.where("allowed")
+    return among(out, searched) if repeated else replace(out, texts=searched.select("id", "ts"))
 
 
 def among(texts: Texts, ids: DataFrame) -> Texts:

@@ -151,6 +151,26 @@ def test_many_questions_equal_one_search(spark):
     assert got(search.bm25_many(search.among(search.texts_of(c), some), q, 7)) == got(search.bm25(c, q, 7, F.col("id") < 4))
 
 
+def test_filter_beside_the_words_equals_one_search(spark):
+    c = spark.createDataFrame([(i, f"w{i % 3} w{i % 7} common", i % 4) for i in range(1, 40)], "id bigint, content string, part int")
+    q = spark.createDataFrame([(1, "w1 w5"), (2, "zzz")], "qid int, query string")
+    got = lambda x: sorted(map(tuple, x.select("qid", "id", "score", "rank").collect()))
+    twice = c.unionByName(spark.createDataFrame([(3, "w1 w5 more", 1), (4, "w1", None)], c.schema))
+    for rows in (c, twice):
+        want = got(search.bm25(rows, q, 5, F.col("part") == 1))
+        assert len(want) == 10 and got(search.bm25_many(search.texts_of(rows, F.col("part") == 1), q, 5)) == want
+
+
+def test_bm25_tenant_does_not_shuffle_words_for_its_filter(spark):
+    from skerry.plans.queries import QUERIES
+    from skerry.plans.shared import held, scope
+
+    with scope(spark):
+        before = held(spark)
+        assert QUERIES["bm25_tenant"](spark, "/root/testdata/sf0.001").count()
+        assert not [x for x in held(spark) if x not in before and "/among-" in x]
+
+
 def without_postings(spark, name):
     from skerry.plans.queries import QUERIES
     from skerry.plans.shared import held, scope
