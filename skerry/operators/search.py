@@ -24,7 +24,7 @@ from skerry.plans.shared import materialise
 #: Scores that agree to so many digits are ties.
 TIE_DIGITS = 12
 #: Texts that a task scores at once against a batch of questions, texts in a group with a bound of its own, frequent terms that form the groups.
-BLOCK, GROUP, LEADING = 32_768, 512, 64
+BLOCK, GROUP, LEADING = 16_384, 512, 64
 #: Questions that are summed up at once, and the share of a group's texts from which a term's column is dense.
 TOGETHER, DENSE = 512, 0.08
 #: Up to so many different terms of a batch of questions are pushed into the scan of the postings.
