@@ -23,12 +23,10 @@ import math
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,46 +68,61 @@ def words_of(text: str) -> list[str]:
     return _WORDS.findall(text.lower())
 
 
-class _Hashes:
-    """64-bit hashes of words, kept for the words seen lately."""
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    return h ^ (h >> np.uint64(27))
 
-    def __init__(self, most: int = 400_000) -> None:
-        self.most, self.seen = most, {}
 
-    def __call__(self, words: list[str]) -> list[int]:
-        seen = self.seen
-        try:
-            return [seen[w] for w in words]
-        except KeyError:
-            if len(seen) > self.most:
-                seen.clear()
-            for w in words:
-                if w not in seen:
-                    seen[w] = xxhash.xxh64_intdigest(w)
-            return [seen[w] for w in words]
+_SOME = np.uint64(0xA24BAED4963EE407)
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    return h ^ (h >> np.uint64(27))
+@cache
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """Which of the first 65,536 characters are letters or digits, and a 64-bit value of each."""
+    return np.array([chr(i).isalnum() for i in range(1 << 16)]), _mix(_mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64) * _SOME))
 
 
-def _shingles(texts: list[str], s: Settings, hashes: _Hashes) -> tuple[np.ndarray, ...]:
+def word_hashes(texts: list[str], chars: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, and how many words each text has.
+
+    About `chars` characters are hashed at a time, by a polynomial over mixed values of each word's characters.
+    """
+    known, values = _letters()
+    low = [t.lower() if t else "" for t in texts]
+    length = np.fromiter(map(len, low), np.int64, len(low)) + 1
+    out, counts = [], np.zeros(len(low), np.int64)
+    for part in _chunks(length, chars):
+        a = np.frombuffer("\n".join(["", *low[part], ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        word = known[np.minimum(a, 0xFFFF)]
+        x = values[np.minimum(a, 0xFFFF)]
+        far = np.flatnonzero(a > 0xFFFF)
+        if len(far):
+            word[far] = [chr(i).isalnum() for i in a[far].tolist()]
+            x[far] = _mix(_mix((a[far].astype(np.uint64) + np.uint64(1)) * _SOME))
+        first = np.flatnonzero(word[1:] & ~word[:-1]) + 1
+        if not len(first):
+            continue
+        n = np.flatnonzero(word[:-1] & ~word[1:]) + 1 - first
+        starts = np.cumsum(n) - n
+        place = np.arange(n.sum()) - np.repeat(starts, n)
+        power = np.cumprod(np.full(int(n.max()), _BASES[0]))
+        out.append(_mix(np.add.reduceat(x[word] * power[place], starts)))
+        ends = np.cumsum(length[part])
+        counts[part] = np.diff(np.searchsorted(first, ends, side="right"), prepend=0)
+    return np.concatenate(out) if out else np.zeros(0, np.uint64), counts
+
+
+def _shingles(texts: list[str], s: Settings) -> tuple[np.ndarray, ...]:
     """(row, key1, key2) of the texts with enough words, and (text, shingle) hashes of their places, repeats included."""
-    rows, flat, sizes = [], [], []
-    for i, t in enumerate(texts):
-        w = words_of(t) if t else []
-        if len(w) >= max(s.words, s.shingle):
-            rows.append(i)
-            flat += hashes(w)
-            sizes.append(len(w))
-    if not rows:
+    h, n = word_hashes(texts)
+    enough = n >= max(s.words, s.shingle)
+    rows = np.flatnonzero(enough)
+    if not len(rows):
         z = np.zeros(0, np.int64)
         return z, z, z, z, z.astype(np.uint64)
     with np.errstate(over="ignore"):
-        h = np.array(flat, np.uint64)
-        n = np.array(sizes)
-        starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+        h, n = h[np.repeat(enough, n)], n[rows]
+        starts = np.cumsum(n) - n
         place = np.arange(len(h)) - np.repeat(starts, n)
         keys = []
         for base in _BASES:
@@ -119,7 +132,7 @@ def _shingles(texts: list[str], s: Settings, hashes: _Hashes) -> tuple[np.ndarra
         for k in range(s.shingle):
             x[: len(h) - s.shingle + 1] += _mix(h[k : len(h) - s.shingle + 1 + k] * np.uint64(2 * k + 3))
         whole = place < np.repeat(n - s.shingle + 1, n)
-        return np.array(rows), keys[0], keys[1], np.repeat(np.arange(len(n)), n)[whole], _mix(x)[whole]
+        return rows, keys[0], keys[1], np.repeat(np.arange(len(n)), n)[whole], _mix(x)[whole]
 
 
 Common = tuple[np.ndarray, np.ndarray]
@@ -137,12 +150,12 @@ def _within_texts(text: np.ndarray, often: np.ndarray, x: np.ndarray) -> np.ndar
     return np.lexsort((x, often, text))
 
 
-def sketch(texts: list[str], s: Settings, hashes: _Hashes, common: Common) -> tuple[np.ndarray, ...]:
+def sketch(texts: list[str], s: Settings, common: Common) -> tuple[np.ndarray, ...]:
     """(row, key1, key2, size, (n, WIDE) signature words, prefix length, prefix shingles) of the texts with enough words.
 
     common has shingles in order and how often they were counted.
     """
-    rows, k1, k2, text, x = _shingles(texts, s, hashes)
+    rows, k1, k2, text, x = _shingles(texts, s)
     if not len(rows):
         z = np.zeros(0, np.int64)
         return z, z, z, z, np.zeros((0, WIDE), np.int64), z, z
@@ -180,11 +193,11 @@ def _listed(s: Settings) -> Batches:
     """The different shingles of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, none = _Hashes(), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         whole = Settings(s.shingle, 0.0, s.words)
         for b in batches:
             for lo in range(0, b.num_rows, 2000):
-                x = sketch(b.slice(lo, 2000).column("content").to_pylist(), whole, hashes, none)[-1]
+                x = sketch(b.slice(lo, 2000).column("content").to_pylist(), whole, none)[-1]
                 yield pa.RecordBatch.from_arrays([pa.array(x)], names=["shingle"])
 
     return run
@@ -202,6 +215,11 @@ def _common(rows: DataFrame, s: Settings) -> Common:
     return x[order], often[order]
 
 
+def _cut(x: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of an array, cut at `ends`, as binary values."""
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(x.tobytes())])
+
+
 def _blobs(x: np.ndarray) -> pa.Array:
     """The rows of an array as binary values."""
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.shape[1] * x.itemsize), len(x), [None, pa.py_buffer(np.ascontiguousarray(x).tobytes())]).cast(pa.binary())
@@ -209,11 +227,10 @@ def _blobs(x: np.ndarray) -> pa.Array:
 
 def _sketched(s: Settings, shared) -> Batches:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for b in batches:
             for lo in range(0, b.num_rows, 2000):
                 part = b.slice(lo, 2000)
-                rows, k1, k2, size, wide, length, x = sketch(part.column("content").to_pylist(), s, hashes, shared.value)
+                rows, k1, k2, size, wide, length, x = sketch(part.column("content").to_pylist(), s, shared.value)
                 sig = folded(wide)
                 # Of the copies within a batch one carries the buckets, of 32 bits, each with its place.
                 first = np.zeros(len(rows), bool)
@@ -226,8 +243,8 @@ def _sketched(s: Settings, shared) -> Batches:
                 lists = []
                 for k in range(s.passes):
                     mine = turn == k
-                    ends = np.concatenate([[0], np.cumsum(np.bincount(owner[mine], minlength=len(rows)))]).astype(np.int32)
-                    lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(code[mine])))
+                    ends = np.concatenate([[0], np.cumsum(np.bincount(owner[mine], minlength=len(rows)))]) * code.itemsize
+                    lists.append(_cut(code[mine], ends))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id").take(pa.array(rows, pa.int64())), pa.array(k1), pa.array(k2), pa.array(size.astype(np.int32)), *(pa.array(np.ascontiguousarray(sig[:, k])) for k in range(WORDS)), _blobs(wide), *lists],
                     names=["id", "k1", "k2", "size", *_SIGNATURE, "wide", *(f"codes{k}" for k in range(s.passes))],
@@ -384,7 +401,7 @@ def compare(p: Postings, s: Settings, start: np.ndarray | None = None, counts: l
     first, end = first[ask], end[ask]
     cells = (end - 1) // 64 - first // 64 + 1
     planes_, masks = None, None
-    for part in _chunks(cells, 1 << 17):
+    for part in _chunks(cells, 1 << 14):
         at, word = _ranges(first[part] // 64, cells[part])
         row = ask[part][at]
         lo, hi = np.maximum(first[part][at], word * 64), np.minimum(end[part][at], word * 64 + 64)
@@ -440,8 +457,82 @@ def _sorted(p: Postings) -> Postings:
     return p if new.all() else p.take(new)
 
 
+_POSTING = np.dtype([("bucket", np.int32), ("size", np.int32), ("pos", np.int32), ("key", np.int64), ("words", np.uint64, (WORDS,))])
+Bounds = tuple[np.ndarray, np.ndarray]
+
+
+def _bounds(sketches: DataFrame, parts: int, rate: float, s: Settings) -> list[Bounds]:
+    """For each turn, the (bucket and size, key) at which its parts begin, of about equal rows by a sample of texts."""
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    if parts < 2:
+        return [none] * s.passes
+    t = sketches.where(F.pmod(F.xxhash64("k1", "k2"), F.lit(1 << 20)) < rate * (1 << 20)).select("k1", "size", *(f"codes{k}" for k in range(s.passes))).toArrow()
+    out = []
+    for k in range(s.passes):
+        at, code = _codes(t.column(f"codes{k}"))
+        place, key = _place(code, t.column("size").to_numpy()[at]), t.column("k1").to_numpy()[at]
+        order = np.lexsort((key, place))[np.linspace(0, len(at), parts + 1)[1:-1].astype(np.int64)] if len(at) else np.zeros(0, np.int64)
+        out.append((place[order], key[order]))
+    return out
+
+
+def _codes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The codes in all values of a column, and the row of each."""
+    blobs = col.to_pylist()
+    n = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 8
+    return np.repeat(np.arange(len(n)), n), np.frombuffer(b"".join(blobs), np.int64)
+
+
+def _place(code: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Bucket and size in one number, in their order."""
+    return (code >> 32 << 32) | size
+
+
+def part_of(place: np.ndarray, key: np.ndarray, bounds: Bounds) -> np.ndarray:
+    """How many bounds are at or below each (place, key)."""
+    low, high = (np.searchsorted(bounds[0], place, side) for side in ("left", "right"))
+    part = low.copy()
+    tied = np.flatnonzero(high > low)
+    for a in np.unique(low[tied]):
+        rows = tied[low[tied] == a]
+        part[rows] = a + np.searchsorted(bounds[1][a : high[rows[0]]], key[rows], "right")
+    return part
+
+
+def _dealt(s: Settings, shared, turn: int, most: int = 400_000) -> Batches:
+    """Postings of a turn, about `most` at a time, as one value for each part they belong to."""
+
+    def deal(held: list[np.ndarray], bounds: Bounds) -> pa.RecordBatch:
+        rows = np.concatenate(held)
+        part = part_of((rows["bucket"].astype(np.int64) << 32) | rows["size"], rows["key"], bounds)
+        order = np.argsort(part.astype(np.int32), kind="stable")
+        known, n = np.unique(part, return_counts=True)
+        blobs = _cut(rows[order], np.concatenate([[0], np.cumsum(n)]) * _POSTING.itemsize)
+        return pa.RecordBatch.from_arrays([pa.array(known.astype(np.int32)), blobs], names=["part", "rows"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds, held = shared.value[turn], []
+        for b in batches:
+            at, code = _codes(b.column(f"codes{turn}"))
+            # Texts of any length: as many postings as there is room for.
+            for lo in range(0, len(code), most):
+                i, c = at[lo : lo + most], code[lo : lo + most]
+                rows = np.empty(len(c), _POSTING)
+                rows["bucket"], rows["pos"] = c >> 32, c & ((1 << 31) - 1)
+                rows["size"], rows["key"] = b.column("size").to_numpy()[i], b.column("k1").to_numpy()[i]
+                rows["words"] = np.stack([b.column(w).to_numpy() for w in _SIGNATURE], 1).view(np.uint64)[i]
+                held.append(rows)
+                if sum(map(len, held)) >= most:
+                    yield deal(held, bounds)
+                    held = []
+        if held:
+            yield deal(held, bounds)
+
+    return run
+
+
 def _scan(s: Settings) -> Batches:
-    """Candidate pairs (a, b) of a partition's buckets; its first and last bucket's rows also go out, as (a, null, ...)."""
+    """Candidate pairs (a, b) of the parts' buckets; the rows of a part's first and last bucket also go out, as (a, null, ...)."""
 
     def row_batch(p: Postings, pid: int) -> pa.RecordBatch:
         n = len(p.key)
@@ -455,16 +546,19 @@ def _scan(s: Settings) -> Batches:
         return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), *[pa.nulls(n, pa.int32())] * 4, *[pa.nulls(n, pa.int64())] * WORDS], names=["a", "b", "bucket", "pid", "size", "pos", *_SIGNATURE])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid, held = TaskContext.get().partitionId(), [b for b in batches if b.num_rows]
-        if not held:
-            return
-        rows = _sorted(_postings(pa.Table.from_batches(held), "key"))
-        del held
-        ends = (rows.bucket == rows.bucket[0]) | (rows.bucket == rows.bucket[-1])
-        yield row_batch(rows.take(ends), pid)
-        found = compare(rows, s)
-        for lo in range(0, len(found), 100_000):
-            yield pair_batch(found[lo : lo + 100_000])
+        held: dict[int, list[bytes]] = {}
+        for b in batches:
+            for part, blob in zip(b.column("part").to_pylist(), b.column("rows").to_pylist()):
+                held.setdefault(part, []).append(blob)
+        for part in sorted(held):
+            x = np.frombuffer(b"".join(held.pop(part)), _POSTING)
+            rows = _sorted(Postings(*(np.ascontiguousarray(x[c]) for c in ("bucket", "key")), *(x[c].astype(np.int64) for c in ("size", "pos")), np.ascontiguousarray(x["words"])))
+            del x
+            ends = (rows.bucket == rows.bucket[0]) | (rows.bucket == rows.bucket[-1])
+            yield row_batch(rows.take(ends), part)
+            found = compare(rows, s)
+            for lo in range(0, len(found), 100_000):
+                yield pair_batch(found[lo : lo + 100_000])
 
     return run
 
@@ -499,18 +593,19 @@ def _close(s: Settings) -> Batches:
     return run
 
 
-def similarities(left: list[str], right: list[str], s: Settings, hashes: _Hashes) -> np.ndarray:
+def similarities(left: list[str], right: list[str], s: Settings) -> np.ndarray:
     """The share of common distinct shingles of each pair of whole texts; 0 for a text with too few words."""
     place: dict[str, int] = {}
     i, j = (np.array([place.setdefault(t, len(place)) for t in side], np.int64) for side in (left, right))
-    rows, _, _, text, x = _shingles(list(place), s, hashes)
+    rows, _, _, text, x = _shingles(list(place), s)
     if not len(rows):
         return np.zeros(len(left))
     order = np.lexsort((x, text))
     text, x = text[order], x[order]
     new = np.ones(len(x), bool)
     new[1:] = (x[1:] != x[:-1]) | (text[1:] != text[:-1])
-    x = x[new]
+    # Places among the different shingles, so that a pair and a shingle make one number to sort.
+    x = np.unique(x[new], return_inverse=True)[1].astype(np.int64)
     size = np.zeros(len(place), np.int64)
     size[rows] = np.bincount(text[new], minlength=len(rows))
     start = np.cumsum(size) - size
@@ -518,19 +613,15 @@ def similarities(left: list[str], right: list[str], s: Settings, hashes: _Hashes
     for part in _chunks(size[i] + size[j], 1 << 21):
         a, at = _ranges(start[i[part]], size[i[part]])
         b, bt = _ranges(start[j[part]], size[j[part]])
-        pair, y = np.concatenate([a, b]), np.concatenate([x[at], x[bt]])
-        order = np.lexsort((y, pair))
-        pair, y = pair[order], y[order]
-        twice = (y[1:] == y[:-1]) & (pair[1:] == pair[:-1])
-        both[part] = np.bincount(pair[1:][twice], minlength=part.stop - part.start)
+        y = np.sort(np.concatenate([(a << 32) | x[at], (b << 32) | x[bt]]))
+        both[part] = np.bincount(y[1:][y[1:] == y[:-1]] >> 32, minlength=part.stop - part.start)
     return both / np.maximum(size[i] + size[j] - both, 1)
 
 
 def _jaccard(s: Settings) -> Batches:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for b in batches:
-            sims = similarities(b.column("text_a").to_pylist(), b.column("text_b").to_pylist(), s, hashes)
+            sims = similarities(b.column("text_a").to_pylist(), b.column("text_b").to_pylist(), s)
             at = pa.array(np.flatnonzero(sims >= s.least))
             yield pa.RecordBatch.from_arrays([b.column("rep_a").take(at), b.column("rep_b").take(at), pa.array(sims[sims >= s.least])], names=["rep_a", "rep_b", "similarity"])
 
@@ -554,17 +645,20 @@ def near_links(chunks: DataFrame, settings: Settings | None = None) -> tuple[Dat
     rows = _texts(chunks)
     shared = rows.sparkSession.sparkContext.broadcast(_common(rows, s))
     signature = ", ".join(f"{w} bigint" for w in _SIGNATURE)
-    sketches = materialise(rows.mapInArrow(_sketched(s, shared), f"id bigint, k1 bigint, k2 bigint, size int, {signature}, wide binary, " + ", ".join(f"codes{k} array<bigint>" for k in range(s.passes))), "sketch")
+    sketches = materialise(rows.mapInArrow(_sketched(s, shared), f"id bigint, k1 bigint, k2 bigint, size int, {signature}, wide binary, " + ", ".join(f"codes{k} binary" for k in range(s.passes))), "sketch")
     classes = sketches.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("wide").alias("wide"))
     members = sketches.select("id", "k1", "k2").distinct().join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).select("id", "rep")
-    many = sketches.agg(F.sum(sum(F.size(f"codes{k}") for k in range(s.passes)))).first()[0] or 0
+    many, texts = sketches.agg(F.sum(sum(F.length(f"codes{k}") for k in range(s.passes))), F.count("*")).first()
+    many = (many or 0) // 8
     parts = max(1, math.ceil(many / s.passes / s.rows))
+    # Parts begin where a sample of at least 2,000 texts, or 100 postings a part, has them begin; they may differ in size, no row depends on it.
+    rate = max(2000 / max(texts, 1), 100 * parts * s.passes / max(many, 1))
+    bounds = rows.sparkSession.sparkContext.broadcast(_bounds(sketches, parts, min(1.0, rate), s))
     found = []
     for turn in range(s.passes):
-        posted = sketches.where(f"size(codes{turn}) > 0").select(F.explode(f"codes{turn}").alias("code"), F.col("k1").alias("key"), "size", *_SIGNATURE)
-        posted = posted.select(F.shiftright("code", 32).cast("int").alias("bucket"), F.col("code").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("pos"), "key", "size", *_SIGNATURE)
-        ordered = posted.repartitionByRange(parts, "bucket", "size", "key")
-        found.append(materialise(ordered.mapInArrow(_scan(s), _SCAN), "pairs"))
+        posted = sketches.where(f"length(codes{turn}) > 0").select("k1", "size", *_SIGNATURE, f"codes{turn}")
+        dealt = posted.mapInArrow(_dealt(s, bounds, turn), "part int, rows binary").repartitionById(parts, "part")
+        found.append(materialise(dealt.mapInArrow(_scan(s), _SCAN), "pairs"))
     scanned = reduce(DataFrame.unionByName, found)
     edges = scanned.where("b is null")
     reach = F.floor((F.col("size") - F.col("pos")) * ((1 + s.least) / s.least) - F.col("size") + 1e-6)

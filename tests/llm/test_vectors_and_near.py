@@ -220,3 +220,38 @@ def test_pairs_do_not_depend_on_the_sample_that_orders_shingles(spark):
     chunks = spark.read.parquet("/root/testdata/sf0.001/chunks.parquet")
     got = [{tuple(r) for r in near.near_pairs(chunks, near.Settings(sample=n)).collect()} for n in (0, 20, 10**9)]
     assert got[0] == got[1] == got[2] and got[0]
+
+
+def test_words_are_hashed_like_the_regular_expression_cuts_them():
+    texts = ["One two-two, ONE_one", "", None, "İstanbul ΟΔΟΣ\nΟΔΟΣ ß ²", "𝔘x 𝟘𝟙 😀 \ud800a", "..."]
+    for chars in (1, 1 << 18):
+        h, n = near.word_hashes(texts, chars)
+        words = [near.words_of(t or "") for t in texts]
+        assert n.tolist() == [len(w) for w in words]
+        flat = [w for t in words for w in t]
+        assert len(set(h.tolist())) == len(set(flat)) == len(set(zip(flat, h.tolist())))
+
+
+def test_parts_follow_bucket_size_and_key():
+    rng = np.random.default_rng(3)
+    place, key = rng.integers(0, 6, 500), rng.integers(-3, 3, 500)
+    at = [(1, -2), (1, 0), (1, 0), (4, 2)]
+    part = near.part_of(place, key, tuple(np.array(x) for x in zip(*at)))
+    assert part.tolist() == [sum(b <= r for b in at) for r in zip(place.tolist(), key.tolist())]
+
+
+def test_postings_are_shuffled_as_packed_values(spark):
+    # Of a text's postings one row a part goes out, not one row each.
+    sketches = spark.createDataFrame(near_sketches(40), "k1 bigint, size int, w0 bigint, w1 bigint, w2 bigint, w3 bigint, codes0 binary")
+    bounds = (np.array([50 << 32]), np.array([0]))
+    shared = spark.sparkContext.broadcast([bounds])
+    got = sketches.coalesce(1).mapInArrow(near._dealt(near.Settings(), shared, 0), "part int, rows binary").collect()
+    assert sorted(r.part for r in got) == [0, 1]
+    rows = {r.part: np.frombuffer(r.rows, near._POSTING) for r in got}
+    assert sum(map(len, rows.values())) == 4000 and (rows[0]["bucket"] < 50).all() and (rows[1]["bucket"] >= 50).all()
+    assert {(int(k), int(p)) for x in rows.values() for k, p in zip(x["key"], x["pos"])} == {(k, p) for k in range(40) for p in range(100)}
+
+
+def near_sketches(n):
+    codes = bytes(np.array([(p << 32) | p for p in range(100)], np.int64))
+    return [(k, 100, k, k + 1, k + 2, k + 3, codes) for k in range(n)]
