@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,6 @@ CODES = ["en", "fr", "de", "es", "it", "nl"]
 BUCKETS = 1 << 16
 _ORDERS = (2, 3, 4)
 _UNIT = re.compile(r"[^\n]+?(?:[.!?…][\"'»”)\]]*(?=\s)|(?=\n)|$)")
-_PLAIN = re.compile(r"(?<![\w/])[^\W\d_]+(?![\w/])")
 _LETTERS = np.array([ord(chr(i).lower()[0]) if chr(i).isalpha() else 32 for i in range(1 << 16)], np.uint32)
 _SALT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
@@ -81,27 +81,35 @@ def grams(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
     c = c[keep]
     line = c == 10
     # A border line counts as a space within n-grams, but none reaches across it.
-    owner = np.cumsum(line)
-    v = np.where(line, 32, c)
-    idx, who = [], []
+    first = np.flatnonzero(line)
+    v = np.where(line, np.uint32(32), c)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
     with np.errstate(over="ignore"):
-        h = v.astype(np.uint32) * _SALT[0]
+        h = v * _SALT[0]
+        whole = None
         for k in range(1, max(_ORDERS)):
             h = (h[:-1] ^ (h[:-1] >> np.uint32(15))) * _SALT[k] + v[k:]
+            n = len(h)
+            # Only the first and the last character may be a border.
+            if k > 1:
+                whole = ~line[k - 1 : k - 1 + n] if whole is None else whole[:n] & ~line[k - 1 : k - 1 + n]
             if k + 1 in _ORDERS:
-                n = len(h)
-                inner = np.zeros(n, bool)
-                # Only the first and the last character may be a border.
-                crossed = owner[k - 1 : k - 1 + n] - owner[:n] if k > 1 else np.zeros(n, int)
-                inner = (crossed == 0) & ~(line[:n] & line[k : k + n])
-                mixed = (h ^ (h >> np.uint32(13))) * np.uint32(0x5BD1E995)
-                idx.append((mixed[inner] >> np.uint32(16)).astype(np.int64))
-                who.append(owner[:n][inner] - 1)
-    idx, who = np.concatenate(idx), np.concatenate(who)
-    ok = (who >= 0) & (who < len(pieces))
-    order = np.argsort(who[ok], kind="stable")
-    idx, who = idx[ok][order], who[ok][order]
-    return idx, np.searchsorted(who, np.arange(len(pieces) + 1))
+                inner = ~(line[:n] & line[k : k + n])
+                inner = inner if whole is None else inner & whole
+                mixed = h[inner]
+                mixed = (mixed ^ (mixed >> np.uint32(13))) * np.uint32(0x5BD1E995)
+                # How many of the n-grams begin in each piece or at the line before it.
+                count = np.add.reduceat(np.append(inner, np.zeros(len(c) - n, bool)).astype(np.int64), first)[: len(pieces)]
+                found.append((mixed >> np.uint32(16), count))
+    # Pieces one after another, in each the shorter n-grams first.
+    counts = np.array([n for _, n in found])
+    starts = np.concatenate([[0], np.cumsum(counts.sum(0))]).astype(np.int64)
+    idx = np.empty(starts[-1], np.int64)
+    at = starts[:-1]
+    for x, n in found:
+        idx[np.arange(len(x)) + np.repeat(at - (np.cumsum(n) - n), n)] = x
+        at = at + n
+    return idx, starts
 
 
 def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -122,13 +130,20 @@ class Model:
 
     def logits(self, pieces: list[str]) -> np.ndarray:
         idx, starts = grams(pieces)
-        idf = self.idf[idx]
-        norm = np.sqrt(_sums(idf * idf, starts))
-        z = _sums(self._scaled[idx], starts) / np.maximum(norm, 1e-9)[:, None]
-        return z + self.bias
+        norm, z = np.zeros(len(pieces)), np.zeros((len(pieces), self._scaled.shape[1]), np.float32)
+        lo = 0
+        while lo < len(pieces):
+            # So many pieces at a time that their rows stay in the cache.
+            hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + (1 << 14), "right")) - 1)
+            part, at = idx[starts[lo] : starts[hi]], starts[lo : hi + 1] - starts[lo]
+            norm[lo:hi] = np.sqrt(_sums(self._squares.take(part), at))
+            z[lo:hi] = _sums(self._scaled.take(part, axis=0), at)
+            lo = hi
+        return z / np.maximum(norm, 1e-9)[:, None] + self.bias
 
     def __post_init__(self) -> None:
         self._scaled = np.ascontiguousarray((self.weights * self.idf[:, None]).astype(np.float32))
+        self._squares = self.idf * self.idf
 
     def log_probs(self, pieces: list[str]) -> np.ndarray:
         z = self.logits(pieces).astype(np.float64) / self.temperature
@@ -213,21 +228,56 @@ def against(lp: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.minimum(np.minimum(far, 0.25 * size[:, None]), 16.0)
 
 
-def runs(held: np.ndarray, switch: float) -> np.ndarray:
-    """The language of each unit on the path with the least held against it, each switch charged."""
-    score = -held
-    best, back = score[0].copy(), []
-    for i in range(1, len(score)):
-        top = int(best.argmax())
-        stay = best >= best[top] - switch
-        back.append(np.where(stay, np.arange(len(best)), top))
-        best = np.where(stay, best, best[top] - switch) + score[i]
-    y = int(best.argmax())
-    path = [y]
-    for b in reversed(back):
-        y = int(b[y])
-        path.append(y)
-    return np.array(path[::-1])
+def runs(held: np.ndarray, switch: float, counts: np.ndarray | None = None) -> np.ndarray:
+    """The language of each unit on the path with the least held against it, each switch charged.
+
+    The units of several texts follow each other, `counts` of each; one unit of every text is looked at in a step.
+    """
+    counts = np.array([len(held)]) if counts is None else counts
+    order = np.argsort(-counts, kind="stable")
+    n, start = counts[order], (np.cumsum(counts) - counts)[order]
+    # How many texts have a unit i: those come first.
+    live = np.searchsorted(-n, -np.arange(int(n.max(initial=0))), "left")
+    score, langs = -held, np.arange(held.shape[1])
+    best, back = score[start[: live[0] if len(live) else 0]], np.zeros(held.shape, np.int8)
+    for i in range(1, len(live)):
+        m, at = live[i], start[: live[i]] + i
+        old = best[:m]
+        top = old.argmax(1)
+        most = old[np.arange(m), top][:, None] - switch
+        stay = old >= most
+        back[at] = np.where(stay, langs, top[:, None])
+        best[:m] = np.where(stay, old, most) + score[at]
+    y, path = best.argmax(1), np.zeros(len(held), np.int64)
+    for i in range(len(live) - 1, -1, -1):
+        m, at = live[i], start[: live[i]] + i
+        path[at] = y[:m]
+        y[:m] = back[at, y[:m]]
+    return path
+
+
+@cache
+def _kinds() -> np.ndarray:
+    """Of the first 65,536 characters: 1 letters, 2 other characters of words and the slash, 0 the rest."""
+    return np.array([_kind(chr(i)) for i in range(1 << 16)], np.uint8)
+
+
+def _kind(c: str) -> int:
+    return 1 if c.isalnum() and not c.isdecimal() else 2 if c.isalnum() or c in "_/" else 0
+
+
+def plain_letters(pieces: list[str]) -> np.ndarray:
+    """How many letters of each piece stand in words of letters alone that touch no slash."""
+    a = np.frombuffer("\0".join(["", *pieces, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _kinds()[np.minimum(a, 0xFFFF)]
+    far = np.flatnonzero(a > 0xFFFF)
+    kind[far] = [_kind(chr(i)) for i in a[far].tolist()]
+    letter = kind == 1
+    lo, hi = np.flatnonzero(letter[1:] & ~letter[:-1]) + 1, np.flatnonzero(letter[:-1] & ~letter[1:]) + 1
+    n = np.where((kind[lo - 1] == 0) & (kind[hi] == 0), hi - lo, 0)
+    ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1)
+    total = np.concatenate([[0], np.cumsum(n)])
+    return np.diff(total[np.searchsorted(lo, ends)], prepend=0)
 
 
 def segments(texts: list[str], model: Model, s: Settings) -> list[list[tuple[int, int, int, float]]]:
@@ -235,6 +285,7 @@ def segments(texts: list[str], model: Model, s: Settings) -> list[list[tuple[int
     spans = [units_of(t, s.longest) for t in texts]
     flat = [t[a:b] for t, sp in zip(texts, spans) for a, b in sp]
     lps: list[np.ndarray] = []
+    sizes = [np.zeros(0, np.int64)]
     lo = 0
     while lo < len(flat):
         hi, chars = lo, 0
@@ -242,29 +293,33 @@ def segments(texts: list[str], model: Model, s: Settings) -> list[list[tuple[int
             chars += len(flat[hi])
             hi += 1
         lps.append(model.log_probs(flat[lo:hi]))
+        sizes.append(plain_letters(flat[lo:hi]))
         lo = hi
     lp = np.concatenate(lps) if lps else np.zeros((0, len(CODES)))
     # Letters of words; codes and paths are of no language, unless a text has nothing else.
-    size = np.array([len("".join(_PLAIN.findall(x))) for x in flat], np.int64)
+    size = np.concatenate(sizes)
     counts = np.array([len(sp) for sp in spans])
     starts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
     for i in np.flatnonzero(_sums(size, starts) == 0):
         size[starts[i] : starts[i + 1]] = [sum(map(str.isalpha, x)) for x in flat[starts[i] : starts[i + 1]]]
     held = against(lp, size)
-    total = _sums(held, starts)
+    total, letters = _sums(held, starts), _sums(size, starts)
+    # A language that nothing is held against is the best path by itself.
+    # Of several such languages, the one the whole text speaks for most.
+    sums = np.where(total == 0, _sums(lp * size[:, None], starts), -np.inf)
+    free = (total == 0).any(1)
+    langs = np.repeat(sums.argmax(1), counts)
+    hard = np.repeat(~free & (letters > 0), counts)
+    if hard.any():
+        langs[hard] = runs(held[hard] - 1e-6 * lp[hard], s.switch, counts[~free & (letters > 0)])
     out = []
     for i, sp in enumerate(spans):
         at, n = int(starts[i]), len(sp)
-        own, w = lp[at : at + n], size[at : at + n]
-        if not n or not w.any():
+        if not n or not letters[i]:
             out.append([])
             continue
-        # A language that nothing is held against is the best path by itself.
-        # Of several such languages, the one the whole text speaks for most.
-        sums = (own * w[:, None]).sum(0)
-        free = int(np.where(total[i] == 0, sums, -np.inf).argmax())
-        path = np.full(n, free) if total[i][free] == 0 else runs(held[at : at + n] - 1e-6 * own, s.switch)
-        cut = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), n]
+        own, w, path = lp[at : at + n], size[at : at + n], langs[at : at + n]
+        cut = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1).tolist(), n]
         segs = []
         for i, j in zip(cut[:-1], cut[1:]):
             weight = w[i:j].astype(float)
@@ -285,14 +340,16 @@ def _frequencies(s: Settings) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                 while hi < len(texts) and (chars == 0 or chars + len(texts[hi]) <= s.chars):
                     chars += len(texts[hi])
                     hi += 1
-                flags = np.zeros((hi - lo, BUCKETS), bool)
                 # A long text is read in stretches; which n-grams it has does not depend on them but at their borders.
-                cuts = [(k, t[at : at + s.chars]) for k, t in enumerate(texts[lo:hi]) for at in range(0, len(t), s.chars)]
-                step = len(cuts) if chars <= s.chars else 1
-                for a in range(0, len(cuts), step):
-                    idx, starts = grams([c for _, c in cuts[a : a + step]])
-                    flags[np.repeat([k for k, _ in cuts[a : a + step]], np.diff(starts)), idx] = True
-                df += flags.sum(0)
+                if chars > s.chars:
+                    flags = np.zeros(BUCKETS, bool)
+                    for a in range(0, chars, s.chars):
+                        flags[grams([texts[lo][a : a + s.chars]])[0]] = True
+                    df += flags
+                else:
+                    idx, starts = grams(texts[lo:hi])
+                    key = np.sort((np.repeat(np.arange(hi - lo), np.diff(starts)) * BUCKETS + idx).astype(np.uint32 if hi - lo <= 1 << 16 else np.uint64))
+                    df += np.bincount(key[np.append(True, key[1:] != key[:-1])[: len(key)]] % BUCKETS, minlength=BUCKETS)
                 docs += hi - lo
                 lo = hi
         seen = np.flatnonzero(df)

@@ -1,6 +1,10 @@
 """Personal information, splitting and language."""
 
+import re
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +157,44 @@ def test_free_sentences():
     assert values("Ihr Antrag (09 014 396 752) liegt vor") == [("IDENTITY", "09 014 396 752")] and values("The pallet (09 014 396 752) is here") == []
     assert values("call +49 30 1234567 today") == [("PHONE", "+49 30 1234567")]
     assert pii.iban_valid("DE89 3704 0044 0532 0130 00") and not pii.iban_valid("DE88 3704 0044 0532 0130 00") and pii.card_valid("4111 1111 1111 1111")
+
+
+def test_plain_letters_are_those_of_the_regular_expression():
+    pieces = ["Unter den x1 a/b c_d Linden.", "", "𝔘nter 𝟘 ab²c", "a\0b\nc", "\ud800abc/", "été/ ΟΔΟΣ"]
+    want = [len("".join(re.findall(r"(?<![\w/])[^\W\d_]+(?![\w/])", x))) for x in pieces]
+    assert language.plain_letters(pieces).tolist() == want and language.plain_letters([]).tolist() == []
+
+
+def test_runs_of_many_texts_are_those_of_each():
+    rng = np.random.default_rng(6)
+    counts = rng.integers(0, 9, 60)
+    held = np.abs(rng.normal(0, 6, (counts.sum(), 6)))
+    got = np.split(language.runs(held, 6.0, counts), np.cumsum(counts)[:-1])
+    ends = np.cumsum(counts)
+    for k, n in enumerate(counts):
+        one = held[ends[k] - n : ends[k]]
+        best, back = -one[:1].sum(0), []
+        for row in one[1:]:
+            move = best[:, None] - 6.0 * (1 - np.eye(6))
+            back.append(move.argmax(0))
+            best = move.max(0) - row
+        y = int(best.argmax())
+        path = [y] if n else []
+        for b in reversed(back):
+            y = int(b[y])
+            path.append(y)
+        assert got[k].tolist() == path[::-1]
+
+
+def test_frequencies_of_short_texts_need_little_memory():
+    # A matrix of texts by n-grams would have 131 MB.
+    batch = pa.RecordBatch.from_arrays([pa.array(["ab", "ab ab", "b"] * 667)], names=["text"])
+    tracemalloc.start()
+    (got,) = language._frequencies(language.Settings())(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32_000_000
+    idx, starts = language.grams(["ab", "ab ab", "b"])
+    want = np.bincount(np.concatenate([np.unique(idx[a:b]) for a, b in zip(starts, starts[1:])])) * 667
+    df = dict(zip(*(c.to_pylist() for c in got.columns)))
+    assert df.pop(-1) == 2001 and df == {int(k): int(want[k]) for k in np.flatnonzero(want)}
