@@ -458,6 +458,9 @@ def _sorted(p: Postings) -> Postings:
 
 
 _POSTING = np.dtype([("bucket", np.int32), ("size", np.int32), ("pos", np.int32), ("key", np.int64), ("words", np.uint64, (WORDS,))])
+# Texts of so many shingles send their WIDE words along, once a part: from there on 256 bits tell little.
+_LONG = 140
+_WIDER = np.dtype([("key", np.int64), ("size", np.int64), ("wide", np.uint64, (WIDE,))])
 Bounds = tuple[np.ndarray, np.ndarray]
 
 
@@ -500,20 +503,30 @@ def part_of(place: np.ndarray, key: np.ndarray, bounds: Bounds) -> np.ndarray:
 
 
 def _dealt(s: Settings, shared, turn: int, most: int = 400_000) -> Batches:
-    """Postings of a turn, about `most` at a time, as one value for each part they belong to."""
+    """Postings of a turn, about `most` at a time, as one value for each part they belong to, and the long texts among them."""
 
-    def deal(held: list[np.ndarray], bounds: Bounds) -> pa.RecordBatch:
-        rows = np.concatenate(held)
+    def deal(held: list[np.ndarray], longs: list[np.ndarray], bounds: Bounds) -> pa.RecordBatch:
+        rows, wider = np.concatenate(held), np.concatenate(longs)
         part = part_of((rows["bucket"].astype(np.int64) << 32) | rows["size"], rows["key"], bounds)
         order = np.argsort(part.astype(np.int32), kind="stable")
         known, n = np.unique(part, return_counts=True)
         blobs = _cut(rows[order], np.concatenate([[0], np.cumsum(n)]) * _POSTING.itemsize)
-        return pa.RecordBatch.from_arrays([pa.array(known.astype(np.int32)), blobs], names=["part", "rows"])
+        wider = wider[np.argsort(wider["key"], kind="stable")]
+        of = np.flatnonzero(rows["size"] >= _LONG)
+        # The places of long texts in `wider`, once for each part.
+        pairs = np.unique(part[of] * len(wider) + np.searchsorted(wider["key"], rows["key"][of]))
+        m = np.searchsorted(pairs, np.append(known, known[-1] + 1) * len(wider)) if len(wider) else np.zeros(len(known) + 1, np.int64)
+        wides = _cut(wider[pairs % max(len(wider), 1)], m * _WIDER.itemsize)
+        return pa.RecordBatch.from_arrays([pa.array(known.astype(np.int32)), blobs, wides], names=["part", "rows", "wider"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds, held = shared.value[turn], []
+        bounds, held, longs = shared.value[turn], [], []
         for b in batches:
             at, code = _codes(b.column(f"codes{turn}"))
+            long = np.flatnonzero(b.column("size").to_numpy() >= _LONG)
+            wider = np.empty(len(long), _WIDER)
+            wider["key"], wider["size"] = b.column("k1").to_numpy()[long], b.column("size").to_numpy()[long]
+            wider["wide"] = np.frombuffer(b"".join(b.column("wide").take(pa.array(long)).to_pylist()), np.uint64).reshape(-1, WIDE)
             # Texts of any length: as many postings as there is room for.
             for lo in range(0, len(code), most):
                 i, c = at[lo : lo + most], code[lo : lo + most]
@@ -522,15 +535,37 @@ def _dealt(s: Settings, shared, turn: int, most: int = 400_000) -> Batches:
                 rows["size"], rows["key"] = b.column("size").to_numpy()[i], b.column("k1").to_numpy()[i]
                 rows["words"] = np.stack([b.column(w).to_numpy() for w in _SIGNATURE], 1).view(np.uint64)[i]
                 held.append(rows)
+                longs = longs if longs and longs[-1] is wider else [*longs, wider]
                 if sum(map(len, held)) >= most:
-                    yield deal(held, bounds)
-                    held = []
+                    yield deal(held, longs, bounds)
+                    held, longs = [], []
         if held:
-            yield deal(held, bounds)
+            yield deal(held, longs, bounds)
 
     return run
 
 
+def _wide_apart(pairs: np.ndarray, wider: np.ndarray, s: Settings) -> np.ndarray:
+    """The pairs of keys without those of two long texts whose WIDE words differ in more bits than their sizes allow.
+
+    Should two texts share a key, either may stand for both; such keys are left alone.
+    """
+    wider = np.unique(wider)
+    twice = wider["key"][1:][wider["key"][1:] == wider["key"][:-1]]
+    wider = wider[~np.isin(wider["key"], twice)] if len(twice) else wider
+    if not len(wider):
+        return pairs
+    at = np.minimum(np.searchsorted(wider["key"], pairs), len(wider) - 1)
+    both = np.flatnonzero((wider["key"][at] == pairs).all(1))
+    keep = np.ones(len(pairs), bool)
+    for lo in range(0, len(both), 1 << 14):
+        some = both[lo : lo + (1 << 14)]
+        i, j = at[some].T
+        n = wider["size"][i] + wider["size"][j]
+        keep[some] = np.bitwise_count(wider["wide"][i] ^ wider["wide"][j]).sum(1) <= n - 2 * _ceil(n * (s.least / (1 + s.least)))
+    return pairs[keep]
+
+
 def _scan(s: Settings) -> Batches:
     """Candidate pairs (a, b) of the parts' buckets; the rows of a part's first and last bucket also go out, as (a, null, ...)."""
 
@@ -546,17 +581,19 @@ def _scan(s: Settings) -> Batches:
         return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), *[pa.nulls(n, pa.int32())] * 4, *[pa.nulls(n, pa.int64())] * WORDS], names=["a", "b", "bucket", "pid", "size", "pos", *_SIGNATURE])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
+        held: dict[int, list[tuple[bytes, bytes]]] = {}
         for b in batches:
-            for part, blob in zip(b.column("part").to_pylist(), b.column("rows").to_pylist()):
-                held.setdefault(part, []).append(blob)
+            for part, *blobs in zip(*(b.column(c).to_pylist() for c in ("part", "rows", "wider"))):
+                held.setdefault(part, []).append(blobs)
         for part in sorted(held):
-            x = np.frombuffer(b"".join(held.pop(part)), _POSTING)
+            blobs, wides = zip(*held.pop(part))
+            x, wider = np.frombuffer(b"".join(blobs), _POSTING), np.frombuffer(b"".join(wides), _WIDER)
+            del blobs, wides
             rows = _sorted(Postings(*(np.ascontiguousarray(x[c]) for c in ("bucket", "key")), *(x[c].astype(np.int64) for c in ("size", "pos")), np.ascontiguousarray(x["words"])))
             del x
             ends = (rows.bucket == rows.bucket[0]) | (rows.bucket == rows.bucket[-1])
             yield row_batch(rows.take(ends), part)
-            found = compare(rows, s)
+            found = _wide_apart(compare(rows, s), wider, s)
             for lo in range(0, len(found), 100_000):
                 yield pair_batch(found[lo : lo + 100_000])
 
@@ -604,17 +641,22 @@ def similarities(left: list[str], right: list[str], s: Settings) -> np.ndarray:
     text, x = text[order], x[order]
     new = np.ones(len(x), bool)
     new[1:] = (x[1:] != x[:-1]) | (text[1:] != text[:-1])
-    # Places among the different shingles, so that a pair and a shingle make one number to sort.
-    x = np.unique(x[new], return_inverse=True)[1].astype(np.int64)
+    # Places among the different shingles, to be marked for one text and looked up for all its partners.
+    x = np.unique(x[new], return_inverse=True)[1]
     size = np.zeros(len(place), np.int64)
     size[rows] = np.bincount(text[new], minlength=len(rows))
     start = np.cumsum(size) - size
-    both = np.zeros(len(i), np.int64)
-    for part in _chunks(size[i] + size[j], 1 << 21):
-        a, at = _ranges(start[i[part]], size[i[part]])
-        b, bt = _ranges(start[j[part]], size[j[part]])
-        y = np.sort(np.concatenate([(a << 32) | x[at], (b << 32) | x[bt]]))
-        both[part] = np.bincount(y[1:][y[1:] == y[:-1]] >> 32, minlength=part.stop - part.start)
+    both, marked = np.zeros(len(i), np.int64), np.zeros(len(x), bool)
+    order = np.argsort(i, kind="stable")
+    for group in np.split(order, np.flatnonzero(np.diff(i[order])) + 1):
+        a = i[group[0]] if len(group) else 0
+        own = x[start[a] : start[a] + size[a]]
+        marked[own] = True
+        for part in _chunks(size[j[group]], 1 << 21):
+            some = group[part]
+            pair, at = _ranges(start[j[some]], size[j[some]])
+            both[some] = np.bincount(pair[marked[x[at]]], minlength=len(some))
+        marked[own] = False
     return both / np.maximum(size[i] + size[j] - both, 1)
 
 
@@ -656,8 +698,8 @@ def near_links(chunks: DataFrame, settings: Settings | None = None) -> tuple[Dat
     bounds = rows.sparkSession.sparkContext.broadcast(_bounds(sketches, parts, min(1.0, rate), s))
     found = []
     for turn in range(s.passes):
-        posted = sketches.where(f"length(codes{turn}) > 0").select("k1", "size", *_SIGNATURE, f"codes{turn}")
-        dealt = posted.mapInArrow(_dealt(s, bounds, turn), "part int, rows binary").repartitionById(parts, "part")
+        posted = sketches.where(f"length(codes{turn}) > 0").select("k1", "size", "wide", *_SIGNATURE, f"codes{turn}")
+        dealt = posted.mapInArrow(_dealt(s, bounds, turn), "part int, rows binary, wider binary").repartitionById(parts, "part")
         found.append(materialise(dealt.mapInArrow(_scan(s), _SCAN), "pairs"))
     scanned = reduce(DataFrame.unionByName, found)
     edges = scanned.where("b is null")

@@ -242,16 +242,31 @@ def test_parts_follow_bucket_size_and_key():
 
 def test_postings_are_shuffled_as_packed_values(spark):
     # Of a text's postings one row a part goes out, not one row each.
-    sketches = spark.createDataFrame(near_sketches(40), "k1 bigint, size int, w0 bigint, w1 bigint, w2 bigint, w3 bigint, codes0 binary")
+    sketches = spark.createDataFrame(near_sketches(40), "k1 bigint, size int, wide binary, w0 bigint, w1 bigint, w2 bigint, w3 bigint, codes0 binary")
     bounds = (np.array([50 << 32]), np.array([0]))
     shared = spark.sparkContext.broadcast([bounds])
-    got = sketches.coalesce(1).mapInArrow(near._dealt(near.Settings(), shared, 0), "part int, rows binary").collect()
+    got = sketches.coalesce(1).mapInArrow(near._dealt(near.Settings(), shared, 0), "part int, rows binary, wider binary").collect()
     assert sorted(r.part for r in got) == [0, 1]
     rows = {r.part: np.frombuffer(r.rows, near._POSTING) for r in got}
     assert sum(map(len, rows.values())) == 4000 and (rows[0]["bucket"] < 50).all() and (rows[1]["bucket"] >= 50).all()
     assert {(int(k), int(p)) for x in rows.values() for k, p in zip(x["key"], x["pos"])} == {(k, p) for k in range(40) for p in range(100)}
 
 
+    # Nothing but the texts' own words may stand for them, in every part.
+    for r in got:
+        wider = np.frombuffer(r.wider, near._WIDER)
+        assert [(int(x["key"]), int(x["size"]), bytes(x["wide"])) for x in wider] == [] and all(rows[r.part]["size"] < near._LONG)
+
+
+def test_long_texts_far_apart_leave_no_pair_for_the_joins(spark):
+    rng = np.random.default_rng(8)
+    sketches = spark.createDataFrame([(k, 200, rng.bytes(128), 0, 0, 0, 0, bytes(np.array([5 << 32], np.int64))) for k in range(30)] + [(k, 200, b"\7" * 128, 0, 0, 0, 0, bytes(np.array([5 << 32], np.int64))) for k in (40, 41)], "k1 bigint, size int, wide binary, w0 bigint, w1 bigint, w2 bigint, w3 bigint, codes0 binary")
+    none = np.zeros(0, np.int64)
+    dealt = sketches.mapInArrow(near._dealt(near.Settings(), spark.sparkContext.broadcast([(none, none)]), 0), "part int, rows binary, wider binary").repartitionById(1, "part")
+    pairs = dealt.mapInArrow(near._scan(near.Settings()), near._SCAN).where("b is not null").select("a", "b").collect()
+    assert [tuple(r) for r in pairs] == [(40, 41)]
+
+
 def near_sketches(n):
     codes = bytes(np.array([(p << 32) | p for p in range(100)], np.int64))
-    return [(k, 100, k, k + 1, k + 2, k + 3, codes) for k in range(n)]
+    return [(k, 100 + k, bytes(range(k, k + 128)), k, k + 1, k + 2, k + 3, codes) for k in range(n)]
