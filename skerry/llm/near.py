@@ -23,7 +23,7 @@ import math
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import cache, reduce
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skerry.llm.components import connected_components
-from skerry.plans.shared import materialise, release
+from skerry.plans.shared import materialise, release, stacked
 
 Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 WORDS, WIDE = 4, 16
@@ -77,9 +77,25 @@ _SOME = np.uint64(0xA24BAED4963EE407)
 
 
 @cache
-def _letters() -> tuple[np.ndarray, np.ndarray]:
-    """Which of the first 65,536 characters are letters or digits, and a 64-bit value of each."""
-    return np.array([chr(i).isalnum() for i in range(1 << 16)]), _mix(_mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64) * _SOME))
+def _letters() -> np.ndarray:
+    """A 64-bit value of each of the first 65,536 characters that is a letter or digit, 0 for the others."""
+    return np.where([chr(i).isalnum() for i in range(1 << 16)], _mix(_mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64) * _SOME)), np.uint64(0))
+
+
+def _made_powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumprod(np.full(n, base, np.uint64)), np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, pow(base, -1, 1 << 64), np.uint64)]))
+
+
+_kept_powers = cache(_made_powers)
+
+
+def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base to the powers 1, 2, ... and to 0, -1, ...: at least n of each, modulo 2^64.
+
+    With them the polynomials of all stretches of an array are one product and
+    one sum: places count from its start, and a stretch's start is taken back.
+    """
+    return (_kept_powers if n <= 1 << 20 else _made_powers)(int(base), 1 << max(n - 1, 1).bit_length())
 
 
 def word_hashes(texts: list[str], chars: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
@@ -87,26 +103,24 @@ def word_hashes(texts: list[str], chars: int = 1 << 18) -> tuple[np.ndarray, np.
 
     About `chars` characters are hashed at a time, by a polynomial over mixed values of each word's characters.
     """
-    known, values = _letters()
+    values = _letters()
     low = [t.lower() if t else "" for t in texts]
     length = np.fromiter(map(len, low), np.int64, len(low)) + 1
     out, counts = [], np.zeros(len(low), np.int64)
     for part in _chunks(length, chars):
         a = np.frombuffer("\n".join(["", *low[part], ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        word = known[np.minimum(a, 0xFFFF)]
-        x = values[np.minimum(a, 0xFFFF)]
-        far = np.flatnonzero(a > 0xFFFF)
-        if len(far):
-            word[far] = [chr(i).isalnum() for i in a[far].tolist()]
-            x[far] = _mix(_mix((a[far].astype(np.uint64) + np.uint64(1)) * _SOME))
-        first = np.flatnonzero(word[1:] & ~word[:-1]) + 1
+        if a.max() <= 0xFFFF:
+            x = values[a]
+        else:
+            x, far = values[np.minimum(a, 0xFFFF)], np.flatnonzero(a > 0xFFFF)
+            x[far] = np.where([chr(i).isalnum() for i in a[far].tolist()], _mix(_mix((a[far].astype(np.uint64) + np.uint64(1)) * _SOME)), np.uint64(0))
+        word = x != 0
+        first = np.flatnonzero(word[1:] > word[:-1]) + 1
         if not len(first):
             continue
-        n = np.flatnonzero(word[:-1] & ~word[1:]) + 1 - first
-        starts = np.cumsum(n) - n
-        place = np.arange(n.sum()) - np.repeat(starts, n)
-        power = np.cumprod(np.full(int(n.max()), _BASES[0]))
-        out.append(_mix(np.add.reduceat(x[word] * power[place], starts)))
+        power, back = _powers(_BASES[0], len(x))
+        x *= power[: len(x)]
+        out.append(_mix(np.add.reduceat(x, first) * back[first]))
         ends = np.cumsum(length[part])
         counts[part] = np.diff(np.searchsorted(first, ends, side="right"), prepend=0)
     return np.concatenate(out) if out else np.zeros(0, np.uint64), counts
@@ -122,22 +136,45 @@ def _shingles(texts: list[str], s: Settings) -> tuple[np.ndarray, ...]:
         return z, z, z, z, z.astype(np.uint64)
     with np.errstate(over="ignore"):
         h, n = h[np.repeat(enough, n)], n[rows]
-        starts = np.cumsum(n) - n
-        place = np.arange(len(h)) - np.repeat(starts, n)
+        ends = np.cumsum(n)
         keys = []
         for base in _BASES:
-            power = np.cumprod(np.full(int(n.max()) + 1, base))
-            keys.append(_mix(np.add.reduceat(h * power[place], starts)).view(np.int64))
+            power, back = _powers(base, len(h))
+            keys.append(_mix(np.add.reduceat(h * power[: len(h)], ends - n) * back[ends - n]).view(np.int64))
         x = np.zeros(len(h), np.uint64)
         for k in range(s.shingle):
             x[: len(h) - s.shingle + 1] += _mix(h[k : len(h) - s.shingle + 1 + k] * np.uint64(2 * k + 3))
-        whole = place < np.repeat(n - s.shingle + 1, n)
-        return rows, keys[0], keys[1], np.repeat(np.arange(len(n)), n)[whole], _mix(x)[whole]
+        whole = np.ones(len(h), bool)
+        for k in range(1, s.shingle):
+            whole[ends - k] = False
+        return rows, keys[0], keys[1], np.repeat(np.arange(len(n)), n - s.shingle + 1), _mix(x[whole])
 
 
 Common = tuple[np.ndarray, np.ndarray]
 
 
+def counter(common: Common) -> Callable[[np.ndarray], np.ndarray]:
+    """Gives the counts of shingles, 0 of those that common lacks: looked for from where the shingles of equal highest bits begin."""
+    known, counts = common
+    shift = np.uint64(62 - max(len(known), 1).bit_length())
+    start = np.searchsorted(known >> shift, np.arange((1 << 64 - int(shift)) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def often(x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x), np.int64)
+        slot = (x >> shift).view(np.int64)
+        at, end = start[slot], start[slot + 1]
+        rows = np.flatnonzero(at < end)
+        at, end, y = at[rows], end[rows], x[rows]
+        while len(rows):
+            hit = known[at] == y
+            out[rows[hit]] = counts[at[hit]]
+            more = np.flatnonzero(~hit & (at + 1 < end))
+            rows, at, end, y = rows[more], at[more] + 1, end[more], y[more]
+        return out
+
+    return often
+
+
 def _within_texts(text: np.ndarray, often: np.ndarray, x: np.ndarray) -> np.ndarray:
     """The order by (text, often up to 8,191, x), mostly by one sort of packed keys."""
     often = np.minimum(often, 8191)
@@ -150,20 +187,16 @@ def _within_texts(text: np.ndarray, often: np.ndarray, x: np.ndarray) -> np.ndar
     return np.lexsort((x, often, text))
 
 
-def sketch(texts: list[str], s: Settings, common: Common) -> tuple[np.ndarray, ...]:
+def sketch(texts: list[str], s: Settings, often: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, ...]:
     """(row, key1, key2, size, (n, WIDE) signature words, prefix length, prefix shingles) of the texts with enough words.
 
-    common has shingles in order and how often they were counted.
+    often tells how often shingles were counted.
     """
     rows, k1, k2, text, x = _shingles(texts, s)
     if not len(rows):
         z = np.zeros(0, np.int64)
         return z, z, z, z, np.zeros((0, WIDE), np.int64), z, z
-    often = np.zeros(len(x), np.int64)
-    if len(common[0]):
-        at = np.minimum(np.searchsorted(common[0], x), len(common[0]) - 1)
-        often = np.where(common[0][at] == x, common[1][at], 0)
-    order = _within_texts(text, often, x)
+    order = _within_texts(text, often(x), x)
     text, x = text[order], x[order]
     new = np.ones(len(x), bool)
     new[1:] = (x[1:] != x[:-1]) | (text[1:] != text[:-1])
@@ -172,11 +205,10 @@ def sketch(texts: list[str], s: Settings, common: Common) -> tuple[np.ndarray, .
     starts = np.concatenate([[0], np.cumsum(size)[:-1]])
     with np.errstate(over="ignore"):
         bit = ((x * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(54)).astype(np.int64)
-    odd = (np.bincount(text * (64 * WIDE) + bit, minlength=64 * WIDE * len(rows)) & 1).astype(np.uint8)
-    wide = np.packbits(odd.reshape(len(rows), 64 * WIDE), axis=1, bitorder="little").view(np.uint64)
-    length = size - _ceil(s.least * size) + 1
-    first = np.arange(len(x)) - np.repeat(starts, size) < np.repeat(length, size)
-    return rows, k1, k2, size, wide.view(np.int64), length, x[first].view(np.int64)
+    wide = np.zeros((len(rows), WIDE), np.uint64)
+    np.bitwise_xor.at(wide.reshape(-1), text * WIDE + (bit >> 6), np.uint64(1) << (bit & 63).view(np.uint64))
+    length = np.minimum(size - _ceil(s.least * size) + 1, size)
+    return rows, k1, k2, size, wide.view(np.int64), length, x[_ranges(starts, length)[1]].view(np.int64)
 
 
 def folded(wide: np.ndarray) -> np.ndarray:
@@ -190,25 +222,24 @@ def _ceil(x: np.ndarray) -> np.ndarray:
 
 
 def _listed(s: Settings) -> Batches:
-    """The different shingles of each text."""
+    """The different shingles of each text, counted for each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        none = counter((np.zeros(0, np.uint64), np.zeros(0, np.int64)))
         whole = Settings(s.shingle, 0.0, s.words)
         for b in batches:
             for lo in range(0, b.num_rows, 2000):
-                x = sketch(b.slice(lo, 2000).column("content").to_pylist(), whole, none)[-1]
-                yield pa.RecordBatch.from_arrays([pa.array(x)], names=["shingle"])
+                x, n = np.unique(sketch(b.slice(lo, 2000).column("content").to_pylist(), whole, none)[-1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(n)], names=["shingle", "n"])
 
     return run
 
 
-def _common(rows: DataFrame, s: Settings) -> Common:
-    """Shingles of several texts of a sample, ordered, and their counts; at most a million."""
-    n = rows.count()
+def _common(rows: DataFrame, n: int, s: Settings) -> Common:
+    """Shingles of several texts of a sample of about n rows, ordered, and their counts; at most a million."""
     rate = min(1.0, s.sample / max(n, 1))
     picked = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < rate * (1 << 20)).select("content").distinct()
-    counts = picked.mapInArrow(_listed(s), "shingle bigint").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    counts = picked.mapInArrow(_listed(s), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1")
     got = counts.orderBy(F.desc("n")).limit(1_000_000).toArrow()
     x, often = got.column("shingle").to_numpy().view(np.uint64), got.column("n").to_numpy()
     order = np.argsort(x)
@@ -217,7 +248,7 @@ def _common(rows: DataFrame, s: Settings) -> Common:
 
 def _cut(x: np.ndarray, ends: np.ndarray) -> pa.Array:
     """The bytes of an array, cut at `ends`, as binary values."""
-    return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(x.tobytes())])
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
 
 
 def _blobs(x: np.ndarray) -> pa.Array:
@@ -227,24 +258,25 @@ def _blobs(x: np.ndarray) -> pa.Array:
 
 def _sketched(s: Settings, shared) -> Batches:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = counter(shared.value)
         for b in batches:
             for lo in range(0, b.num_rows, 2000):
                 part = b.slice(lo, 2000)
-                rows, k1, k2, size, wide, length, x = sketch(part.column("content").to_pylist(), s, shared.value)
+                rows, k1, k2, size, wide, length, x = sketch(part.column("content").to_pylist(), s, often)
                 sig = folded(wide)
                 # Of the copies within a batch one carries the buckets, of 32 bits, each with its place.
                 first = np.zeros(len(rows), bool)
                 first[np.unique(k1, return_index=True)[1]] = True
                 x = x[np.repeat(first, length)] >> 32
                 n = length[first]
-                owner = np.repeat(np.flatnonzero(first), n)
-                code = (x << 32) | (np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n))
-                turn = x.view(np.uint64) % np.uint64(s.passes)
+                at, place = _ranges(np.zeros(len(n), np.int64), n)
+                cell = (x.view(np.uint64) % np.uint64(s.passes)).astype(np.int64) * len(rows) + np.flatnonzero(first)[at]
+                code = ((x << 32) | place)[np.argsort(cell.astype(np.uint16) if s.passes * len(rows) < 1 << 16 else cell, kind="stable")]
+                ends = np.concatenate([[0], np.cumsum(np.bincount(cell, minlength=s.passes * len(rows)))])
                 lists = []
                 for k in range(s.passes):
-                    mine = turn == k
-                    ends = np.concatenate([[0], np.cumsum(np.bincount(owner[mine], minlength=len(rows)))]) * code.itemsize
-                    lists.append(_cut(code[mine], ends))
+                    e = ends[k * len(rows) : (k + 1) * len(rows) + 1]
+                    lists.append(_cut(code[e[0] : e[-1]], (e - e[0]) * code.itemsize))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id").take(pa.array(rows, pa.int64())), pa.array(k1), pa.array(k2), pa.array(size.astype(np.int32)), *(pa.array(np.ascontiguousarray(sig[:, k])) for k in range(WORDS)), _blobs(wide), *lists],
                     names=["id", "k1", "k2", "size", *_SIGNATURE, "wide", *(f"codes{k}" for k in range(s.passes))],
@@ -355,14 +387,28 @@ class Postings:
         return np.floor((self.size - self.pos) * ((1 + s.least) / s.least) - self.size + 1e-6).astype(np.int64)
 
 
+def _most(n: np.ndarray, s: Settings) -> np.ndarray:
+    """The most shingles that only one of two similar texts may have, whose sizes make n."""
+    return n - 2 * _ceil(n * (s.least / (1 + s.least)))
+
+
 def _apart(p: Postings, i: np.ndarray, j: np.ndarray, reach: np.ndarray, s: Settings) -> np.ndarray:
-    """Of the pairs of rows i, j of a bucket, j the larger, those that may be similar enough, as (n, 2) keys, smaller first."""
-    a, b = p.size[i], p.size[j]
-    ok = (a <= reach[j]) & (b <= reach[i]) & (p.key[i] != p.key[j])
-    i, j, a, b = i[ok], j[ok], a[ok], b[ok]
-    most = a + b - 2 * _ceil((a + b) * (s.least / (1 + s.least)))
-    ok = np.bitwise_count(p.words[i] ^ p.words[j]).sum(1) <= most
-    return np.sort(np.stack([p.key[i[ok]], p.key[j[ok]]], 1), axis=1)
+    """Of the pairs of rows i, j of a bucket, j the larger and within the reach of i, those that may be similar enough, as (n, 2) keys, smaller first."""
+    ok = np.flatnonzero(p.size[i] <= reach[j])
+    i, j = i[ok], j[ok]
+    x = np.bitwise_count(p.words[i] ^ p.words[j]).view(np.uint32)[:, 0]
+    x = (x & np.uint32(0xFF00FF)) + (x >> np.uint32(8) & np.uint32(0xFF00FF))
+    ok = np.flatnonzero((x & np.uint32(0xFFFF)) + (x >> np.uint32(16)) <= _most(p.size[i] + p.size[j], s))
+    i, j = p.key[i[ok]], p.key[j[ok]]
+    ok = i != j
+    return np.stack([np.minimum(i, j)[ok], np.maximum(i, j)[ok]], 1)
+
+
+def _once(out: list[np.ndarray]) -> np.ndarray:
+    """The different rows of (n, 2) arrays, in order."""
+    x = np.concatenate(out)
+    x = x[np.lexsort((x[:, 1], x[:, 0]))]
+    return x[np.concatenate([np.ones(min(len(x), 1), bool), (x[1:] != x[:-1]).any(1)])]
 
 
 def _ranges(lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -413,7 +459,8 @@ def compare(p: Postings, s: Settings, start: np.ndarray | None = None, counts: l
             alive = (_ALL << a) & (_ALL >> b)
             most = p.size[r] + p.size[np.minimum(w * 64 + 63, n - 1)]
             most = np.where(rank[np.minimum(w * 64 + 63, n - 1)] == rank[r], np.minimum(most, p.size[r] + reach[r]), p.size[r] + reach[r])
-            radius = most - 2 * _ceil(most * (s.least / (1 + s.least)))
+            # The bound for a sum of sizes may be above that for the next one: whole for all lanes only before it is cut to the sum's own.
+            radius = np.floor(most * ((1 - s.least) / (1 + s.least)) + 1e-6).astype(np.int64)
             known, q = np.unique(r, return_inverse=True)
             m = masks[:, known] if masks is not None else np.where(_bits(p.words[known]), _ALL, np.uint64(0))
             left, lanes = within(m, planes_, q, w, alive, radius, counts)
@@ -424,8 +471,8 @@ def compare(p: Postings, s: Settings, start: np.ndarray | None = None, counts: l
             at, j = _ranges(lo[thin][some], (hi - lo)[thin][some])
             out.append(_apart(p, row[thin][some][at], j, reach, s))
         if len(out) > 64:
-            out = [np.unique(np.concatenate(out), axis=0)]
-    return np.unique(np.concatenate(out), axis=0)
+            out = [_once(out)]
+    return _once(out)
 
 
 def _bits(words: np.ndarray) -> np.ndarray:
@@ -441,20 +488,34 @@ def _postings(t: pa.RecordBatch | pa.Table, key: str) -> Postings:
     return Postings(col("bucket"), col(key), col("size").astype(np.int64), col("pos").astype(np.int64), np.stack([col(w).view(np.uint64) for w in _SIGNATURE], 1))
 
 
-def _sorted(p: Postings) -> Postings:
-    """By bucket and size, rows of copies once."""
-    code = (p.bucket.astype(np.int64) << 32) | p.size
+def _order(bucket: np.ndarray, size: np.ndarray, key: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Rows by bucket and size, those of copies once."""
+    code = (bucket.astype(np.int64) << 32) | size
     order = np.argsort(code)
     c = code[order]
     same = np.zeros(len(c) + 1, bool)
     same[1:-1] = c[1:] == c[:-1]
     tied = np.flatnonzero(same[1:] | same[:-1])
-    rows = order[tied]
-    order[tied] = rows[np.lexsort((p.pos[rows], p.key[rows], c[tied]))]
-    p = p.take(order)
+    if not len(tied):
+        return order
+    rows, of = order[tied], np.cumsum(~same[:-1][tied])
+    k, p = key[rows], pos[rows]
+    mixed = (_mix(k.view(np.uint64)) ^ p.astype(np.uint64)) & np.uint64((1 << 40) - 1)
+    # One sort of packed numbers brings rows of copies together; should others fall among them, whole keys are sorted.
+    by = np.argsort((of.astype(np.uint64) << np.uint64(40)) | mixed) if of[-1] < 1 << 24 else np.lexsort((p, k, of))
+    m, again = mixed[by], (of[by][1:] == of[by][:-1]) & (k[by][1:] == k[by][:-1]) & (p[by][1:] == p[by][:-1])
+    if of[-1] < 1 << 24 and ((m[1:] == m[:-1]) & (of[by][1:] == of[by][:-1]) & ~again).any():
+        by = np.lexsort((p, k, of))
+        again = (of[by][1:] == of[by][:-1]) & (k[by][1:] == k[by][:-1]) & (p[by][1:] == p[by][:-1])
+    order[tied] = rows[by]
     new = np.ones(len(c), bool)
-    new[1:] = ~same[1:-1] | (p.key[1:] != p.key[:-1]) | (p.pos[1:] != p.pos[:-1])
-    return p if new.all() else p.take(new)
+    new[tied[1:][again]] = False
+    return order[new]
+
+
+def _sorted(p: Postings) -> Postings:
+    """By bucket and size, rows of copies once."""
+    return p.take(_order(p.bucket, p.size, p.key, p.pos))
 
 
 _POSTING = np.dtype([("bucket", np.int32), ("size", np.int32), ("pos", np.int32), ("key", np.int64), ("words", np.uint64, (WORDS,))])
@@ -481,9 +542,16 @@ def _bounds(sketches: DataFrame, parts: int, rate: float, s: Settings) -> list[B
 
 def _codes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The codes in all values of a column, and the row of each."""
-    blobs = col.to_pylist()
-    n = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 8
-    return np.repeat(np.arange(len(n)), n), np.frombuffer(b"".join(blobs), np.int64)
+    n, code = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for part in col.chunks if isinstance(col, pa.ChunkedArray) else [col]:
+        if len(part):
+            _, ends, values = part.buffers()
+            ends = np.frombuffer(ends, np.int64 if pa.types.is_large_binary(part.type) else np.int32)[part.offset : part.offset + len(part) + 1]
+            n.append(np.diff(ends.astype(np.int64)) // 8)
+            if ends[-1] > ends[0]:
+                code.append(np.frombuffer(values, np.int64, int(ends[-1] - ends[0]) // 8, int(ends[0])))
+    n = np.concatenate(n)
+    return np.repeat(np.arange(len(n)), n), code[1] if len(code) == 2 else np.concatenate(code)
 
 
 def _place(code: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -505,16 +573,21 @@ def part_of(place: np.ndarray, key: np.ndarray, bounds: Bounds) -> np.ndarray:
 def _dealt(s: Settings, shared, turn: int, most: int = 400_000) -> Batches:
     """Postings of a turn, about `most` at a time, as one value for each part they belong to, and the long texts among them."""
 
-    def deal(held: list[np.ndarray], longs: list[np.ndarray], bounds: Bounds) -> pa.RecordBatch:
-        rows, wider = np.concatenate(held), np.concatenate(longs)
-        part = part_of((rows["bucket"].astype(np.int64) << 32) | rows["size"], rows["key"], bounds)
-        order = np.argsort(part.astype(np.int32), kind="stable")
-        known, n = np.unique(part, return_counts=True)
-        blobs = _cut(rows[order], np.concatenate([[0], np.cumsum(n)]) * _POSTING.itemsize)
+    def deal(held: list[tuple[np.ndarray, ...]], longs: list[np.ndarray], bounds: Bounds) -> pa.RecordBatch:
+        code, size, key, words = (np.concatenate(x) for x in zip(*held))
+        wider = np.concatenate(longs)
+        part = part_of(_place(code, size), key, bounds)
+        order = np.argsort(part.astype(np.uint16) if len(bounds[0]) < 1 << 16 else part, kind="stable")
+        part, code, size, key = part[order], code[order], size[order], key[order]
+        rows = np.empty(len(order), _POSTING)
+        rows["bucket"], rows["pos"], rows["size"], rows["key"], rows["words"] = code >> 32, code & ((1 << 31) - 1), size, key, words[order]
+        starts = np.flatnonzero(np.diff(part, prepend=-1))
+        known = part[starts]
+        blobs = _cut(rows, np.append(starts, len(rows)) * _POSTING.itemsize)
         wider = wider[np.argsort(wider["key"], kind="stable")]
-        of = np.flatnonzero(rows["size"] >= _LONG)
+        of = np.flatnonzero(size >= _LONG)
         # The places of long texts in `wider`, once for each part.
-        pairs = np.unique(part[of] * len(wider) + np.searchsorted(wider["key"], rows["key"][of]))
+        pairs = np.unique(part[of] * len(wider) + np.searchsorted(wider["key"], key[of]))
         m = np.searchsorted(pairs, np.append(known, known[-1] + 1) * len(wider)) if len(wider) else np.zeros(len(known) + 1, np.int64)
         wides = _cut(wider[pairs % max(len(wider), 1)], m * _WIDER.itemsize)
         return pa.RecordBatch.from_arrays([pa.array(known.astype(np.int32)), blobs, wides], names=["part", "rows", "wider"])
@@ -523,20 +596,17 @@ def _dealt(s: Settings, shared, turn: int, most: int = 400_000) -> Batches:
         bounds, held, longs = shared.value[turn], [], []
         for b in batches:
             at, code = _codes(b.column(f"codes{turn}"))
-            long = np.flatnonzero(b.column("size").to_numpy() >= _LONG)
+            size, key, words = b.column("size").to_numpy(), b.column("k1").to_numpy(), np.stack([b.column(w).to_numpy() for w in _SIGNATURE], 1).view(np.uint64)
+            long = np.flatnonzero(size >= _LONG)
             wider = np.empty(len(long), _WIDER)
-            wider["key"], wider["size"] = b.column("k1").to_numpy()[long], b.column("size").to_numpy()[long]
+            wider["key"], wider["size"] = key[long], size[long]
             wider["wide"] = np.frombuffer(b"".join(b.column("wide").take(pa.array(long)).to_pylist()), np.uint64).reshape(-1, WIDE)
             # Texts of any length: as many postings as there is room for.
             for lo in range(0, len(code), most):
-                i, c = at[lo : lo + most], code[lo : lo + most]
-                rows = np.empty(len(c), _POSTING)
-                rows["bucket"], rows["pos"] = c >> 32, c & ((1 << 31) - 1)
-                rows["size"], rows["key"] = b.column("size").to_numpy()[i], b.column("k1").to_numpy()[i]
-                rows["words"] = np.stack([b.column(w).to_numpy() for w in _SIGNATURE], 1).view(np.uint64)[i]
-                held.append(rows)
+                i = at[lo : lo + most]
+                held.append((code[lo : lo + most], size[i], key[i], words[i]))
                 longs = longs if longs and longs[-1] is wider else [*longs, wider]
-                if sum(map(len, held)) >= most:
+                if sum(len(x) for x, *_ in held) >= most:
                     yield deal(held, longs, bounds)
                     held, longs = [], []
         if held:
@@ -562,7 +632,7 @@ def _wide_apart(pairs: np.ndarray, wider: np.ndarray, s: Settings) -> np.ndarray
         some = both[lo : lo + (1 << 14)]
         i, j = at[some].T
         n = wider["size"][i] + wider["size"][j]
-        keep[some] = np.bitwise_count(wider["wide"][i] ^ wider["wide"][j]).sum(1) <= n - 2 * _ceil(n * (s.least / (1 + s.least)))
+        keep[some] = np.bitwise_count(wider["wide"][i] ^ wider["wide"][j]).sum(1) <= _most(n, s)
     return pairs[keep]
 
 
@@ -589,8 +659,15 @@ def _scan(s: Settings) -> Batches:
             blobs, wides = zip(*held.pop(part))
             x, wider = np.frombuffer(b"".join(blobs), _POSTING), np.frombuffer(b"".join(wides), _WIDER)
             del blobs, wides
-            rows = _sorted(Postings(*(np.ascontiguousarray(x[c]) for c in ("bucket", "key")), *(x[c].astype(np.int64) for c in ("size", "pos")), np.ascontiguousarray(x["words"])))
-            del x
+            order = _order(*(np.ascontiguousarray(x[c]) for c in ("bucket", "size", "key", "pos")))
+            bucket = x["bucket"][order]
+            # Rows alone in their bucket, and not of one that another part may hold too, have no partner.
+            met = (bucket == bucket[0]) | (bucket == bucket[-1])
+            met[1:] |= bucket[1:] == bucket[:-1]
+            met[:-1] |= bucket[1:] == bucket[:-1]
+            order = order[met]
+            rows = Postings(bucket[met], x["key"][order], x["size"][order].astype(np.int64), x["pos"][order].astype(np.int64), x["words"][order])
+            del x, order, bucket, met
             ends = (rows.bucket == rows.bucket[0]) | (rows.bucket == rows.bucket[-1])
             yield row_batch(rows.take(ends), part)
             found = _wide_apart(compare(rows, s), wider, s)
@@ -624,7 +701,7 @@ def _close(s: Settings) -> Batches:
             x, y = (np.frombuffer(b"".join(t.column(f"wide_{e}").to_pylist()), np.uint64).reshape(t.num_rows, WIDE) for e in "ab")
             n = t.column("size_a").to_numpy().astype(np.int64) + t.column("size_b").to_numpy()
             a, b = t.column("rep_a").to_numpy(), t.column("rep_b").to_numpy()
-            ok = (np.bitwise_count(x ^ y).sum(1) <= n - 2 * _ceil(n * (s.least / (1 + s.least)))) & (a != b)
+            ok = (np.bitwise_count(x ^ y).sum(1) <= _most(n, s)) & (a != b)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[ok]), pa.array(np.maximum(a, b)[ok])], names=["rep_a", "rep_b"])
 
     return run
@@ -674,8 +751,8 @@ def _texts(chunks: DataFrame) -> DataFrame:
     return chunks.where("chunk_type = 'text' and content is not null and id is not null").select("id", "content")
 
 
-def near_links(chunks: DataFrame, settings: Settings | None = None) -> tuple[DataFrame, DataFrame]:
-    """Links (rep_a, rep_b, similarity), rep_a < rep_b, between distinct texts, and members (id, rep).
+def near_links(chunks: DataFrame, settings: Settings | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links (rep_a, rep_b, similarity), rep_a < rep_b, between distinct texts, members (id, rep), and of these the copies, id <> rep.
 
     A distinct text is a word sequence; its class is named by its least id.
     chunks has (id, content, chunk_type); only chunk_type `text` with at
@@ -685,11 +762,13 @@ def near_links(chunks: DataFrame, settings: Settings | None = None) -> tuple[Dat
     """
     s = settings or Settings()
     rows = _texts(chunks)
-    shared = rows.sparkSession.sparkContext.broadcast(_common(rows, s))
+    shared = rows.sparkSession.sparkContext.broadcast(_common(rows, chunks.where("chunk_type = 'text' and id is not null").count(), s))
     signature = ", ".join(f"{w} bigint" for w in _SIGNATURE)
     sketches = materialise(rows.mapInArrow(_sketched(s, shared), f"id bigint, k1 bigint, k2 bigint, size int, {signature}, wide binary, " + ", ".join(f"codes{k} binary" for k in range(s.passes))), "sketch")
     classes = sketches.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("wide").alias("wide"))
-    members = sketches.select("id", "k1", "k2").distinct().join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).select("id", "rep")
+    several = sketches.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last").select("k1", "k2", "rep")
+    copies = materialise(sketches.select("id", "k1", "k2").join(several, ["k1", "k2"]).where("id <> rep").select("id", "rep").distinct(), "copies")
+    members = stacked(classes.select(F.col("rep").alias("id"), "rep"), copies)
     many, texts = sketches.agg(F.sum(sum(F.length(f"codes{k}") for k in range(s.passes))), F.count("*")).first()
     many = (many or 0) // 8
     parts = max(1, math.ceil(many / s.passes / s.rows))
@@ -698,16 +777,17 @@ def near_links(chunks: DataFrame, settings: Settings | None = None) -> tuple[Dat
     bounds = rows.sparkSession.sparkContext.broadcast(_bounds(sketches, parts, min(1.0, rate), s))
     found = []
     for turn in range(s.passes):
-        posted = sketches.where(f"length(codes{turn}) > 0").select("k1", "size", "wide", *_SIGNATURE, f"codes{turn}")
+        posted = sketches.where(f"length(codes{turn}) > 0").select("k1", "size", F.when(F.col("size") >= _LONG, F.col("wide")).alias("wide"), *_SIGNATURE, f"codes{turn}")
         dealt = posted.mapInArrow(_dealt(s, bounds, turn), "part int, rows binary, wider binary").repartitionById(parts, "part")
         found.append(materialise(dealt.mapInArrow(_scan(s), _SCAN), "pairs"))
-    scanned = reduce(DataFrame.unionByName, found)
+    # One scan, which packs small files into few tasks.
+    scanned = rows.sparkSession.read.schema(found[0].schema).parquet(*sorted({f.rpartition("/")[0] for t in found for f in t.inputFiles()}))
     edges = scanned.where("b is null")
     reach = F.floor((F.col("size") - F.col("pos")) * ((1 + s.least) / s.least) - F.col("size") + 1e-6)
     # Of the partitions that a bucket spans, the sizes of the later ones are larger: those within reach are met.
     spans = edges.groupBy("bucket", "pid").agg(F.min("size").alias("least"), F.max(reach).alias("most"))
-    met = spans.alias("x").join(spans.alias("y"), F.expr("x.bucket = y.bucket and x.pid < y.pid and y.least <= x.most"))
-    met = met.select(F.col("x.bucket").alias("bucket"), F.col("x.pid").alias("lo"), F.col("y.pid").alias("hi"))
+    held = spans.groupBy("bucket").agg(F.collect_list(F.struct("pid", "least", "most")).alias("y")).where("size(y) > 1").select("bucket", "y", F.explode("y").alias("x"))
+    met = held.select("bucket", F.col("x.pid").alias("lo"), F.explode(F.expr("transform(filter(y, p -> x.pid < p.pid and p.least <= x.most), p -> p.pid)")).alias("hi"))
     sides = met.select("*", F.explode(F.array("lo", "hi")).alias("pid"))
     across = edges.drop("b").join(sides, ["bucket", "pid"]).groupBy("bucket", "lo", "hi").applyInArrow(_tile(s), "a bigint, b bigint")
     pairs = scanned.where("b is not null").select("a", "b").unionByName(across).distinct()
@@ -723,17 +803,19 @@ def near_links(chunks: DataFrame, settings: Settings | None = None) -> tuple[Dat
     both = close.join(text.withColumnsRenamed({"id": "rep_a", "text": "text_a"}), "rep_a").join(text.withColumnsRenamed({"id": "rep_b", "text": "text_b"}), "rep_b")
     links = materialise(both.mapInArrow(_jaccard(s), "rep_a bigint, rep_b bigint, similarity double"), "links")
     release(close)
-    return links, members
+    return links, members, copies
 
 
 def near_pairs(chunks: DataFrame, settings: Settings | None = None) -> DataFrame:
     """All pairs of chunks (chunk_a, chunk_b), chunk_a < chunk_b, with similar texts, copies included."""
-    links, members = near_links(chunks, settings)
-    m = members
-    a, b = m.withColumnsRenamed({"id": "x", "rep": "rep_a"}), m.withColumnsRenamed({"id": "y", "rep": "rep_b"})
-    between = links.join(a, "rep_a").join(b, "rep_b").select("x", "y")
-    same = m.select(F.col("id").alias("x"), "rep").join(m.select(F.col("id").alias("y"), "rep"), "rep").where("x < y").select("x", "y")
-    return between.unionByName(same).select(F.least("x", "y").alias("chunk_a"), F.greatest("x", "y").alias("chunk_b")).where("chunk_a < chunk_b").distinct()
+    links, _, copies = near_links(chunks, settings)
+    x, y = (copies.withColumnsRenamed({"id": v, "rep": f"rep_{e}"}) for v, e in (("x", "a"), ("y", "b")))
+    # A text stands for itself; its copies, mostly few, are joined to that.
+    left = stacked(links.select(F.col("rep_a").alias("x"), "rep_b"), links.join(x, "rep_a").select("x", "rep_b"))
+    between = stacked(left.select("x", F.col("rep_b").alias("y")), left.join(y, "rep_b").select("x", "y"))
+    same = copies.select(F.col("rep").alias("x"), F.col("id").alias("y"))
+    both = copies.select(F.col("id").alias("x"), "rep").join(copies.select(F.col("id").alias("y"), "rep"), "rep").where("x < y").select("x", "y")
+    return stacked(between, same, both).select(F.least("x", "y").alias("chunk_a"), F.greatest("x", "y").alias("chunk_b")).where("chunk_a < chunk_b").distinct()
 
 
 def near_groups(chunks: DataFrame, documents: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -744,7 +826,7 @@ def near_groups(chunks: DataFrame, documents: DataFrame, settings: Settings | No
     lower-case file_hash and chunk_index); links counts the other texts that
     the chunk's text is linked to directly.
     """
-    links, members = near_links(chunks, settings)
+    links, members, _ = near_links(chunks, settings)
     hashed = documents.where("file_hash is not null and file_hash <> ''").select("doc_id", F.lower("file_hash").alias("h"))
     placed = chunks.where("id is not null").select("id", "doc_id", "chunk_index").distinct().join(hashed.distinct(), "doc_id")
     least = placed.groupBy("h", "chunk_index").agg(F.min("id").alias("first"))

@@ -179,6 +179,41 @@ def test_compare_equals_the_pairwise_rule():
     assert {tuple(x) for x in near.compare(p, near.Settings(dense=1)).tolist()} == want and {tuple(x) for x in near.compare(p, near.Settings(dense=65)).tolist()} == want
 
 
+def test_blocks_keep_pairs_at_the_bound_of_their_sizes():
+    # Sizes 123 and 123 may differ in 82 bits, 123 and 124, of the block's last lane, in 81 only.
+    words, size = np.random.default_rng(6).integers(0, 1 << 63, (64, 4)).astype(np.uint64), np.full(64, 123)
+    size[-1] = 124
+    words[1] = words[0] ^ np.array([2**64 - 1, 2**18 - 1, 0, 0], np.uint64)
+    assert distances(words)[0, 1] == 82
+    for dense in (1, 65):
+        assert near.compare(postings(words, size, np.zeros(64, int), np.zeros(64, int)), near.Settings(dense=dense)).tolist() == [[0, 1]]
+
+
+def test_rows_of_copies_stand_once_in_the_order_of_postings():
+    rng = np.random.default_rng(9)
+    bucket, size, key, pos = rng.integers(-2, 3, 4000).astype(np.int32), rng.integers(60, 64, 4000), rng.integers(-9, 9, 4000), rng.integers(0, 4, 4000)
+    rows = list(zip(bucket.tolist(), size.tolist(), key.tolist(), pos.tolist()))
+    got = [rows[i] for i in near._order(bucket, size, key, pos)]
+    assert len(set(got)) == len(got) and set(got) == set(rows) and [r[:2] for r in got] == sorted(r[:2] for r in got)
+
+
+def test_shingles_are_counted_by_their_slots():
+    rng = np.random.default_rng(10)
+    for n in (0, 1, 5, 3000):
+        known = np.unique(np.concatenate([rng.integers(0, 1 << 63, n).astype(np.uint64) << np.uint64(1), np.arange(n, dtype=np.uint64)]))  # half of them crowd one slot
+        counts = rng.integers(2, 99, len(known))
+        x = rng.permutation(np.concatenate([known, known + np.uint64(1), rng.integers(0, 1 << 63, 500).astype(np.uint64), np.array([0, 2**64 - 1], np.uint64)]))
+        of = dict(zip(known.tolist(), counts.tolist()))
+        assert near.counter((known, counts))(x).tolist() == [of.get(v, 0) for v in x.tolist()]
+
+
+def test_pairs_are_made_of_links_and_copies_alone(spark):
+    # The sketches of all texts, most of which have no partner, are not read again for the pairs.
+    df = spark.createDataFrame([(i, t, "text", i, 0) for i, t in enumerate(corpus())], SN)
+    read = {f.split("/")[-2].split("-")[0] for f in near.near_pairs(df).inputFiles()}
+    assert read == {"links", "copies"}
+
+
 def test_hot_bucket_over_partitions(spark):
     rng = np.random.default_rng(5)
     base = [f"b{i}" for i in range(120)]
