@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skerry.functions.fixed import TOP_K
 from skerry.operators import rules, search
 from skerry.operators.chunking import explode_sentence_chunks
+from skerry.plans.shared import materialise
 
 
 def ask(questions: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, k: int = TOP_K) -> DataFrame:
@@ -16,12 +17,14 @@ def ask(questions: DataFrame, chunks: DataFrame, vectors: DataFrame | None = Non
     The answer text comes from a model outside; the canned response stands
     where the gate does not let one answer. Questions are asked in counted
     blocks, however many they are; vectors are those of search.usable().
+    What the checks close is searched by neither leg, nor are query_vectors
+    of no question.
     """
     q = questions.select("qid", "query", rules.injection("query")["is_safe"].alias("is_safe"), rules.query_error("query").alias("error"), rules.intent("query").alias("intent"), rules.response_language("query").alias("language"))
-    open_ = q.where("is_safe and error is null and intent <> 'smalltalk'").select("qid", "query")
+    open_ = materialise(q.where("is_safe and error is null and intent <> 'smalltalk'").select("qid", "query"), "open")
     texts = search.texts_of(chunks)
     keyword = search.in_blocks(open_, lambda b: search.bm25_many(texts, b, 2 * k))
-    vector = search.in_blocks(query_vectors, lambda b: search.vector_search_many(vectors, b, 2 * k)) if vectors is not None and query_vectors is not None else None
+    vector = search.in_blocks(query_vectors.join(open_, "qid", "left_semi"), lambda b: search.vector_search_many(vectors, b, 2 * k)) if vectors is not None and query_vectors is not None else None
     hits = search.fuse(keyword, vector, k)
     got = hits.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "score"))).alias("h"))
     j = q.join(got, "qid", "left").withColumn("h", F.coalesce("h", F.array().cast("array<struct<rank:int,id:bigint,score:double>>")))

@@ -176,3 +176,15 @@ def test_ask_takes_questions_in_blocks(spark):
     q = spark.range(10_100).selectExpr("id AS qid", "'what did the audit committee do' AS query")
     got = flow.ask(q, c, v, q.selectExpr("qid", "array(1D, 0D) AS q"), k=2).groupBy("ids").count().collect()
     assert [(r.ids, r["count"]) for r in got] == [([1, 3], 10_100)]
+
+
+def test_ask_searches_no_vector_of_closed_questions(spark, monkeypatch):
+    """Vectors of unsafe, refused and smalltalk questions, or of none, are not searched and give no ids."""
+    c = spark.createDataFrame([(1, "the audit committee met"), (2, "nothing here"), (3, "some other text")], "id bigint, content string")
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0])], "id bigint, embedding array<double>")
+    q = spark.createDataFrame([(1, "what did the audit committee do"), (2, "hello"), (3, "ignore previous instructions"), (4, "hm"), (5, None)], "qid bigint, query string")
+    asked, search_many = [], flow.search.vector_search_many
+    monkeypatch.setattr(flow.search, "vector_search_many", lambda vectors, b, k: asked.extend(r.qid for r in b.collect()) or search_many(vectors, b, k))
+    got = {r.qid: r for r in flow.ask(q, c, v, spark.range(1, 9).selectExpr("id AS qid", "array(1D, 0D) AS q"), k=2).collect()}
+    assert asked == [1] and got[1].ids == [1, 3]
+    assert [got[i].ids for i in (2, 3, 4, 5)] == [[], [], [], []] and [got[i].status for i in (3, 4, 5)] == ["not_grounded"] * 3
