@@ -6,8 +6,11 @@ vector is sent once to the block of its own cell, and to those further blocks
 that hold cells it has to probe. A task holds one block, scores codes with
 asymmetric distance tables, and reranks the best candidates in double
 precision on the spot, so full vectors are shuffled once per block they
-matter to. The sample bounds the number of cells; a cell that grows beyond
-`fat` vectors is cut further by centroids fitted where it is held, and a query
+matter to. The sample bounds the number of cells, and a sample in which a
+vector's neighbours no longer are says nothing of how far they lie: a model
+with more than `dense` vectors for each sampled one has its cells fitted in
+tasks, on one in `dense` of its vectors, and some vectors' neighbours are
+looked for among all. A cell that grows beyond `fat` vectors is cut further by centroids fitted where it is held, and a query
 looks only into the finer cells near it, so that what is done for a vector
 grows far slower than their number. Copies of a vector are found over all rows;
 the one of the least id is indexed and brings the k + 1 least ids of its group
@@ -34,7 +37,10 @@ Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 @dataclass
 class Settings:
-    """Parameters of the index; the fit sees at most `sample` vectors of a model and about `samples` of all.
+    """Parameters of the index; the driver sees at most `sample` vectors of a model and about `samples` of all.
+
+    A model with more than `dense` times its sample has at most `cells` cells,
+    made and looked for below those of a coarser fit: `tops` of these are probed.
 
     With `exact` every vector meets every other of its model, in blocks, and
     the result is the exact one: work grows with the square of the rows.
@@ -55,6 +61,9 @@ class Settings:
     asked: int = 6_000
     missed: float = 0.002
     models: int = 256
+    dense: int = 6
+    cells: int = 100_000
+    tops: int = 32
     exact: bool = False
 
 
@@ -66,6 +75,9 @@ class Index:
     books: np.ndarray
     margin: float
     block_of: np.ndarray
+    tops: np.ndarray | None = None
+    top_of: np.ndarray | None = None
+    size: np.ndarray | None = None
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -98,11 +110,48 @@ def fit(raw: np.ndarray, total: int, s: Settings, seed: int = 7) -> Index:
     x = unit(raw.astype(np.float64)).astype(np.float32)
     k = int(min(max(1, math.ceil(total / s.per_cell)), max(1, len(x) // 8)))
     c = kmeans(x, k, s.rounds, rng)
-    k = len(c)
     d = np.maximum(0, 1 + (c * c).sum(1)[None] - 2 * (x @ c.T))
     own = d.argmin(1)
-    dist = np.sqrt(d[np.arange(len(x)), own])
     margin = _margin(x, c, own, s, rng)
+    # A cell of more than a block is a block by itself.
+    group = kmeans(c, max(1, math.ceil(2 * total / s.block)), 6, rng)
+    of = ((group * group).sum(1)[None] - 2 * (c @ group.T)).argmin(1)
+    return _index(x, c, own, group, of, math.inf if s.exact else margin, total, s, rng)
+
+
+def fit_below(raw: np.ndarray, tops: np.ndarray, c: np.ndarray, n: np.ndarray, asked: np.ndarray, near: np.ndarray, total: int, s: Settings, seed: int = 7) -> Index:
+    """As fit(), from cells that hold n vectors of a larger sample each; near are the neighbours of the unit vectors asked."""
+    rng = np.random.default_rng(seed)
+    x = unit(raw.astype(np.float64)).astype(np.float32)
+    top_of = np.concatenate([((tops * tops).sum(1)[None] - 2 * (c[lo : lo + 4096] @ tops.T)).argmin(1) for lo in range(0, len(c), 4096)])
+    order = np.argsort(top_of, kind="stable")
+    c, n, top_of = c[order], n[order], top_of[order]
+    size = n * (total / n.sum())
+    # A few cells are looked through without tops.
+    below = (tops, top_of) if len(c) > max(256, s.sample // 8) else (None, None)
+    ix = Index(c, np.zeros(0), 0.0, np.zeros(len(c), np.int64), *below, size)
+    own = probe_cells(x, ix, s)[0]
+    # How far a neighbour's cell is beyond the own one.
+    gaps = np.zeros(1)
+    if len(near):
+        cells = probe_cells(near, ix, s)[0]
+        d = np.sqrt(np.maximum(0, ((asked - c[cells]) ** 2).sum(1)))
+        gaps = d - np.sqrt(np.maximum(0, ((asked - c[probe_cells(asked, ix, s)[0]]) ** 2).sum(1)))
+    margin = float(np.quantile(gaps, 1 - s.missed))
+    groups, of = [np.zeros((0, c.shape[1]), np.float32)], np.zeros(len(c), np.int64)
+    for t in np.unique(top_of):
+        mine = np.flatnonzero(top_of == t)
+        g = kmeans(c[mine], max(1, math.ceil(2 * total * n[mine].sum() / n.sum() / s.block)), 6, rng)
+        of[mine] = ((g * g).sum(1)[None] - 2 * (c[mine] @ g.T)).argmin(1) + sum(map(len, groups))
+        groups.append(g)
+    ix = _index(x, c, own, np.concatenate(groups), of, margin, total, s, rng, size)
+    ix.tops, ix.top_of, ix.size = *below, size
+    return ix
+
+
+def _index(x: np.ndarray, c: np.ndarray, own: np.ndarray, group: np.ndarray, of: np.ndarray, margin: float, total: int, s: Settings, rng: np.random.Generator, size: np.ndarray | None = None) -> Index:
+    """Residual codebooks, and blocks of cells that are in one group as far as they go."""
+    k = len(c)
     residual = (x - c[own])[rng.permutation(len(x))[:12_000]]
     width = s.dim // s.parts
     m = int(min(s.codes, max(1, len(residual) // 4)))
@@ -111,13 +160,12 @@ def fit(raw: np.ndarray, total: int, s: Settings, seed: int = 7) -> Index:
         b = kmeans(residual[:, p * width : (p + 1) * width], m, s.rounds, rng)
         books[p, : len(b)] = b
         books[p, len(b) :] = b[0]
-    size = np.bincount(own, minlength=k) * (total / len(x))
-    # A cell of more than a block is a block by itself.
-    group = kmeans(c, max(1, math.ceil(2 * total / s.block)), 6, rng)
-    of = ((group * group).sum(1)[None] - 2 * (c @ group.T)).argmin(1)
+    if size is None:
+        size = np.bincount(own, minlength=k) * (total / len(x))
+    held = np.bincount(of, weights=size, minlength=len(group))
     block_of = np.full(k, -1, np.int64)
     loads: list[float] = []
-    for g in sorted(range(len(group)), key=lambda g: -size[of == g].sum()):
+    for g in np.argsort(-held, kind="stable").tolist():
         todo = np.flatnonzero(of == g)
         mine: list[int] = []
         for j in todo[np.argsort(-(c[todo] @ group[g]))]:
@@ -130,7 +178,7 @@ def fit(raw: np.ndarray, total: int, s: Settings, seed: int = 7) -> Index:
                 loads.append(0.0)
             block_of[j] = at
             loads[at] += size[j]
-    return Index(c, books, math.inf if s.exact else margin, block_of)
+    return Index(c, books, margin, block_of)
 
 
 def _margin(x: np.ndarray, c: np.ndarray, own: np.ndarray, s: Settings, rng: np.random.Generator) -> float:
@@ -183,8 +231,11 @@ def probe_cells(x: np.ndarray, ix: Index, s: Settings) -> tuple[np.ndarray, np.n
     """Own cell, and (rows, probes) cells to probe with -1 for none.
 
     Of the nearest cells those are left out that are farther than the own
-    one by more than the fitted margin.
+    one by more than the fitted margin, unless nearer ones hold fewer vectors
+    than are reranked (of cells fitted in tasks, whose sizes are known).
     """
+    if ix.tops is not None:
+        return _below(x, ix, s)
     d = np.maximum(0, 1 + (ix.centroids * ix.centroids).sum(1)[None] - 2 * (x @ ix.centroids.T))
     n = d.shape[1] if s.exact else min(s.probes, d.shape[1])
     near = np.argpartition(d, n - 1, axis=1)[:, :n]
@@ -194,9 +245,144 @@ def probe_cells(x: np.ndarray, ix: Index, s: Settings) -> tuple[np.ndarray, np.n
     own = near[:, 0].copy()
     keep = dn <= dn[:, :1] + ix.margin
     keep[:, : min(2, n)] = True
+    if ix.size is not None:
+        keep |= np.cumsum(ix.size[near], axis=1) - ix.size[near] < s.rerank
     return own, np.where(keep, near, -1)
 
 
+def _below(x: np.ndarray, ix: Index, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """As probe_cells(), among the cells below the nearest tops."""
+    n = min(s.tops, len(ix.tops))
+    first = np.searchsorted(ix.top_of, np.arange(len(ix.tops) + 1))
+    half = (ix.centroids * ix.centroids).sum(1)
+    own, out = np.empty(len(x), np.int64), np.full((len(x), s.probes), -1, np.int64)
+    for lo in range(0, len(x), 1024):
+        some = x[lo : lo + 1024]
+        t = (ix.tops * ix.tops).sum(1)[None] - 2 * (some @ ix.tops.T)
+        near = np.argpartition(t, n - 1, axis=1)[:, :n]
+        order = np.argsort(near.ravel(), kind="stable")
+        of, rows = near.ravel()[order], order // n
+        edge = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]]))
+        parts, least = [], np.full(len(some), np.inf, np.float32)
+        for i, j in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            a, b = first[of[i]], first[of[i] + 1]
+            if a == b:
+                continue
+            d = half[a:b] - 2 * (some[rows[i:j]] @ ix.centroids[a:b].T)
+            least[rows[i:j]] = np.minimum(least[rows[i:j]], d.min(1))
+            parts.append((rows[i:j], a, d))
+        reach = (np.sqrt(np.maximum(0, 1 + least)) + ix.margin) ** 2 - 1
+        who, cell, far = [], [], []
+        for r, a, d in parts:
+            # The nearest of these cells stays too: two cells at least are probed.
+            i, j = np.nonzero((d <= reach[r][:, None]) | (d <= d.min(1, keepdims=True)))
+            who.append(r[i])
+            cell.append(j + a)
+            far.append(d[i, j])
+        who, cell, far = np.concatenate(who), np.concatenate(cell), np.concatenate(far)
+        order = np.lexsort((cell, far, who))
+        who, cell, far = who[order], cell[order], far[order]
+        place = np.arange(len(who)) - np.searchsorted(who, who)
+        own[lo + who[place == 0]] = cell[place == 0]
+        before = np.cumsum(ix.size[cell]) - ix.size[cell]
+        before -= before[np.searchsorted(who, who)]
+        good = (place < s.probes) & ((far <= reach[who]) | (place < 2) | (before < s.rerank))
+        out[lo + who[good], place[good]] = cell[good]
+    return own, out
+
+
+def _under(shared, s: Settings) -> Batches:
+    """The nearest top of each sampled vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tops = shared.value
+        for b in _sampled(s.dim)(batches):
+            x = unit(np.frombuffer(b"".join(b.column("v").to_pylist()), np.float32).reshape(-1, s.dim).astype(np.float64)).astype(np.float32)
+            models = np.array(b.column("model").to_pylist(), object)
+            top = np.zeros(len(x), np.int32)
+            for m, t in tops.items():
+                mine = np.flatnonzero(models == m)
+                top[mine] = ((t * t).sum(1)[None] - 2 * (x[mine] @ t.T)).argmin(1)
+            yield pa.RecordBatch.from_arrays([b.column("model"), pa.array(top), _binary(x)], names=["model", "top", "v"])
+
+    return run
+
+
+def _cells(per: dict[str, int], s: Settings) -> Callable[[pa.Table], pa.Table]:
+    """Cells of the sampled vectors under one top, one for `per` of them, with how many each holds; a heavy top is fitted on some."""
+
+    def run(t: pa.Table) -> pa.Table:
+        model = t.column("model")[0].as_py()
+        x = np.frombuffer(b"".join(t.column("v").to_pylist()), np.float32).reshape(t.num_rows, s.dim)
+        x = np.unique(x, axis=0)
+        rng = np.random.default_rng(11)
+        k = math.ceil(len(x) / per[model])
+        c = kmeans(x[rng.permutation(len(x))[: max(20_000, 8 * k)]], k, s.rounds, rng)
+        own = np.concatenate([((c * c).sum(1)[None] - 2 * (x[lo : lo + 4096] @ c.T)).argmin(1) for lo in range(0, len(x), 4096)])
+        n = np.bincount(own, minlength=len(c))
+        return pa.table({"model": pa.array([model] * len(c), pa.string()), "n": pa.array(n, pa.int64()), "v": _binary(c)})
+
+    return run
+
+
+def _nearest_of(shared, s: Settings) -> Batches:
+    """For the vectors asked of each model the k nearest others of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {m: (a, np.full((len(a), s.k), -np.inf, np.float32), np.zeros((len(a), s.k, s.dim), np.float32)) for m, a in shared.value.items()}
+        for b in batches:
+            at, raw = _vectors(b, s.dim)
+            models = np.array(b.column("model").to_pylist(), object)[at]
+            for m, (a, top, v) in best.items():
+                x = raw[models == m]
+                if not len(x):
+                    continue
+                x = unit(x.astype(np.float64)).astype(np.float32)
+                cos = a @ x.T
+                # The vector itself and its copies are no neighbours.
+                cos[cos > 1 - 1e-6] = -np.inf
+                near = np.argpartition(-cos, min(s.k, len(x)) - 1, axis=1)[:, : s.k]
+                score = np.concatenate([top, np.take_along_axis(cos, near, 1)], axis=1)
+                pick = np.argsort(-score, axis=1, kind="stable")[:, : s.k]
+                v[:] = np.take_along_axis(np.concatenate([v, x[near]], axis=1), pick[:, :, None], 1)
+                top[:] = np.take_along_axis(score, pick, 1)
+        for m, (a, top, v) in best.items():
+            i, j = np.nonzero(np.isfinite(top))
+            yield pa.RecordBatch.from_arrays([pa.array([m] * len(i), pa.string()), pa.array(i.astype(np.int32)), pa.array(top[i, j].astype(np.float64)), _binary(v[i, j])], names=["model", "asked", "cosine", "v"])
+
+    return run
+
+
+def _fitted_below(rows: DataFrame, samples: dict[str, np.ndarray], totals: dict[str, int], s: Settings) -> dict[str, Index]:
+    """Indexes of models that have more than `dense` vectors for each sampled one; what the driver gets is bounded by `cells`."""
+    sc = rows.sparkSession.sparkContext
+    rng = np.random.default_rng(7)
+    tops, asked, per = {}, {}, {}
+    for m, raw in samples.items():
+        x = unit(raw.astype(np.float64)).astype(np.float32)
+        cells = min(s.cells, math.ceil(totals[m] / s.per_cell))
+        tops[m] = kmeans(x, min(max(1, math.ceil(cells / 256)), max(1, len(x) // 8)), s.rounds, rng)
+        asked[m] = x[rng.permutation(len(x))[:400]]
+        per[m] = max(1, math.ceil(totals[m] / s.dense / cells))
+    rows = rows.where(F.col("model").isin(list(samples)))
+    # By the vector, so that copies are taken or left together.
+    some = rows.where(F.pmod(F.xxhash64("embedding"), F.lit(s.dense)) == 0)
+    under = some.mapInArrow(_under(sc.broadcast(tops), s), "model string, top int, v binary")
+    cells = under.groupBy("model", "top").applyInArrow(_cells(per, s), "model string, n bigint, v binary").toArrow()
+    near = rows.coalesce(4 * sc.defaultParallelism).mapInArrow(_nearest_of(sc.broadcast(asked), s), "model string, asked int, cosine double, v binary").toArrow()
+    out = {}
+    for m, raw in samples.items():
+        mine = cells.filter(pc.equal(cells.column("model"), m))
+        c = np.frombuffer(b"".join(mine.column("v").to_pylist()), np.float32).reshape(-1, s.dim)
+        found = near.filter(pc.equal(near.column("model"), m))
+        a, cos = found.column("asked").to_numpy(), found.column("cosine").to_numpy()
+        v = np.frombuffer(b"".join(found.column("v").to_pylist()), np.float32).reshape(-1, s.dim)
+        order = np.lexsort((-cos, a))
+        order = order[np.arange(len(order)) - np.searchsorted(a[order], a[order]) < s.k]
+        out[m] = fit_below(raw, tops[m], c, np.maximum(1, mine.column("n").to_numpy()), asked[m][a[order]], v[order], totals[m], s)
+    return out
+
+
 _SENT = "block int, model string, chunk_id bigint, v binary, own int, probes array<int>, heads array<bigint>"
 
 
@@ -419,7 +605,8 @@ def nearest_neighbours(vectors: DataFrame, settings: Settings | None = None) ->
     s = settings or Settings()
     spark = vectors.sparkSession
     rows = vectors.select("chunk_id", "embedding", "model").where(f"chunk_id is not null and model is not null and size(embedding) = {s.dim}")
-    counts = {r.model: r.n for r in rows.groupBy("model").agg(F.count("*").alias("n")).limit(s.models + 1).collect()}
+    held = rows.groupBy("model").agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("embedding"), 0.02).alias("d")).limit(s.models + 1).collect()
+    counts, totals = {r.model: r.n for r in held}, {r.model: r.d for r in held}
     if len(counts) > s.models:
         raise ValueError(f"more than {s.models} models")
     # About `sample` rows of each model, fewer if there are many models, chosen by a hash of the id.
@@ -429,6 +616,7 @@ def nearest_neighbours(vectors: DataFrame, settings: Settings | None = None) ->
     sample = chosen.mapInArrow(_sampled(s.dim), "model string, chunk_id bigint, v binary").toArrow() if counts else None
     indexes: dict[str, Index] = {}
     blocks: dict[str, int] = {}
+    below: dict[str, np.ndarray] = {}
     for m in sorted(counts):
         mine = sample.filter(pc.equal(sample.column("model"), m))
         if not mine.num_rows:
@@ -437,7 +625,13 @@ def nearest_neighbours(vectors: DataFrame, settings: Settings | None = None) ->
             continue
         raw = np.frombuffer(b"".join(mine.column("v").to_pylist()), np.float32).reshape(mine.num_rows, s.dim)
         keep = np.unique(raw, axis=0)
-        indexes[m] = fit(keep, counts[m], s)
+        if not s.exact and totals[m] > s.dense * most:
+            below[m] = keep
+        else:
+            indexes[m] = fit(keep, counts[m], s)
+    if below:
+        indexes |= _fitted_below(rows, below, totals, s)
+    for m in indexes:
         blocks[m] = int(indexes[m].block_of.max()) + 1
     if not indexes:
         return spark.createDataFrame([], _FOUND + ", rank int")

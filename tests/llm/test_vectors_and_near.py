@@ -93,6 +93,29 @@ def test_work_for_a_vector_grows_slower_than_the_vectors():
     assert work[2] < 2.5 * work[1], work
 
 
+def test_a_thin_sample_does_not_widen_the_search(spark, monkeypatch):
+    """Of 240 groups of 50 vectors the sample has few of each: cells and margin are fitted on more than it, and few cells are probed."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(240, 16))
+    x = (centres / np.linalg.norm(centres, axis=1, keepdims=True))[np.arange(12_000) % 240] + 0.03 * rng.normal(size=(12_000, 16))
+    x = x.astype(np.float32)
+    s, held, assign = neighbours.Settings(dim=16, parts=8, block=1_000, per_cell=32, sample=400), [], neighbours._assign
+    monkeypatch.setattr(neighbours, "_assign", lambda shared, s: held.append(shared.value[0]["m"]) or assign(shared, s))
+    df = spark.createDataFrame([(i, [float(v) for v in r], "m") for i, r in enumerate(x)], SCHEMA)
+    found = {}
+    for r in neighbours.nearest_neighbours(df, s).where("chunk_id % 40 = 0").collect():
+        found.setdefault(r.chunk_id, set()).add(r.neighbour)
+    u = neighbours.unit(x.astype(np.float64)).astype(np.float32)
+    ask = np.arange(0, 12_000, 40)
+    best = np.argsort(-(u[ask] @ u.T), axis=1)[:, 1:6]
+    assert np.mean([len(set(b.tolist()) & found[i]) / 5 for i, b in zip(ask.tolist(), best)]) >= 0.98
+    own, probes = neighbours.probe_cells(u, held[0], s)
+    assert (probes >= 0).sum() / len(u) < 6 and (probes[np.arange(len(u)), 0] == own).all()
+    # The cells below the tops are those that all cells together give.
+    d = (held[0].centroids**2).sum(1)[None] - 2 * (u @ held[0].centroids.T)
+    assert (d.argmin(1) == own).mean() > 0.999
+
+
 def test_few_and_none(spark):
     one = spark.createDataFrame([(1, [1.0] * 96, "m")], SCHEMA)
     assert neighbours.neighbour_pairs(one).count() == 0 and neighbours.neighbour_pairs(one.limit(0)).count() == 0
